@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality
+from . import fingerprints, mixing, pii, quality
 
 QUERIES = {
+    "op2_personal_data": pii.op2_personal_data,
     "op3_imatch_fingerprints": fingerprints.op3_imatch_fingerprints,
     "op7_pivotal_mixing": mixing.op7_pivotal_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
