@@ -259,8 +259,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["k"] == kind)).cast("long")
+
+
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_personal_data(docs)
     base = F.filter("spans", lambda x: x["k"].isin(*BASE))
-    return found.select("doc_id", *(F.size(F.filter("spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.encode(_joined(base), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(_count(k).alias(f"n_{k}") for k in BASE), F.sha2(F.encode(_joined(base), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, pii, quality
+from . import chat, fingerprints, licenses, mixing, ngram_join, packing, pii, quality, secrets, token_files
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_personal_data": pii.op2_personal_data,
     "op3_imatch_fingerprints": fingerprints.op3_imatch_fingerprints,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_retrieval_packing": packing.op5_retrieval_packing,
+    "op6_bit_packed_tokens": token_files.op6_bit_packed_tokens,
     "op7_pivotal_mixing": mixing.op7_pivotal_mixing,
+    "op8_secret_linking": secrets.op8_secret_linking,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
-SQL = {"op9_quality_rules": quality.SQL}
+SQL = {"op1_chat_format": chat.SQL, "op9_quality_rules": quality.SQL}
