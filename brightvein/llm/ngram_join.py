@@ -14,11 +14,12 @@ Heavy part. Larger sets scan inverted lists:
     of them. A linked pair shares more than n // 10 of these, so a set that
     shares fewer with any other set is done (most are).
  2. The sets of those that remain are read again. Their shingles are ordered,
-    frequent ones last, and a prefix of n - ceil(0.8 n) + 1 is indexed: linked
-    pairs share a shingle of it.
+    those of one set only first and frequent ones last, and a prefix of
+    n - ceil(0.8 n) + 1 is indexed: linked pairs share a shingle of it.
  3. Lists are not joined with themselves at once. In each round every list
     tests its members against one hub only; what links is contracted. Only
-    members still in different components are then tested pairwise.
+    members still in different components are then tested pairwise, unless
+    one of them has too few shingles in common with anyone.
 
 The boundary is where the summed costs, from the histogram of set sizes, are
 least. Hashes have 64 bits; within a pair of sets a chance match is about
@@ -47,6 +48,8 @@ FREQUENT = 16
 #: ... and that many such shingles are told at most (a higher bar is set where there are more).
 FREQUENT_MOST = 500_000
 HUB_ROUNDS = 6
+#: Slots of the bit table of shared shingles, as a power of two: 16 MB.
+SHARED_BITS = 27
 #: Rows up to which a table of ids or hashes is broadcast; beyond, it is joined by a shuffle.
 BROADCAST = 3_000_000
 
@@ -150,37 +153,55 @@ def _candidate_classes(heavy: DataFrame) -> DataFrame:
     return materialise(met.filter("s > n DIV 10").select("cid"), "candidates")
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """The shingles that come last in the order, FREQUENT_MOST at most."""
-    counts = materialise(sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(f"c > {FREQUENT}"), "frequent")
+def _ordering(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What orders the shingles: a bit table that has every shingle of two sets or more, and the frequent ones, ascending.
+
+    The table has SHARED_BITS slots and the list FREQUENT_MOST entries, whatever
+    the corpus. Shingles that share a slot with a shared one count as shared,
+    which costs time only.
+    """
+    counts = materialise(sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+    slot = F.col("t").bitwiseAND(F.lit((1 << SHARED_BITS) - 1)) + 1
+    rows = counts.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    table = np.zeros((1 << SHARED_BITS) // 8, np.uint8)
+    for r in rows:
+        table[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     bar = FREQUENT
     while counts.filter(f"c > {bar}").count() > FREQUENT_MOST:
         bar *= 2
-    out = np.array(sorted(r["t"] for r in counts.filter(f"c > {bar}").select("t").collect()), np.int64)
+    frequent = np.array(sorted(r["t"] for r in counts.filter(f"c > {bar}").select("t").collect()), np.int64)
     discard(counts)
-    return out
+    return table, frequent
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The index: `t`, `cid`, `n` for each set's prefix, frequent shingles last and else by hash."""
-    last = sets.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT_MOST * 8 bytes at most
+def _prefixes(sets: DataFrame, table: np.ndarray, frequent: np.ndarray) -> DataFrame:
+    """The index: `t`, `cid`, `n`, `u` for each set's prefix; shingles of one set come first in it, frequent ones last.
+
+    Those of one set meet no other and are not listed; `u` counts the others of
+    the whole set, which is the most it can share with any.
+    """
+    held = sets.sparkSession.sparkContext.broadcast((table, frequent))
 
     def work(batches):
-        late = last.value
+        bits, late = held.value
         for b in batches:
-            tokens, cids, ns = [], [], []
+            tokens, cids, ns, us = [], [], [], []
             for cid, n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 own = np.asarray(own.values)
+                slot = own & ((1 << SHARED_BITS) - 1)
+                own = own[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
                 at = np.searchsorted(late, own)
                 is_late = late[np.minimum(at, len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
-                prefix = np.concatenate([own[~is_late], own[is_late]])[: n - needed(n) + 1]
+                room = max(n - needed(n) + 1 - (n - len(own)), 0)
+                prefix = np.concatenate([own[~is_late], own[is_late]])[:room]
                 tokens.append(prefix)
                 cids.append(np.full(len(prefix), cid, np.int64))
                 ns.append(np.full(len(prefix), n, np.int32))
+                us.append(np.full(len(prefix), len(own), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, cids, ns)], names=["t", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, cids, ns, us)], names=["t", "cid", "n", "u"])
 
-    return sets.select("cid", "n", "tokens").mapInArrow(work, "t long, cid long, n int")
+    return sets.select("cid", "n", "tokens").mapInArrow(work, "t long, cid long, n int, u int")
 
 
 def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
@@ -193,17 +214,16 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
     sets = materialise(sets, "sets")
     if sets.count() != own.count():  # rows that share id and text
         sets = materialise(sets.dropDuplicates(["cid"]), "sets1")
-    index = materialise(_prefixes(sets, _frequent(sets)), "index")
+    index = materialise(_prefixes(sets, *_ordering(sets)), "index")
     met = index.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
-    lists = materialise(index.join(met, "t"), "lists")
-    discard(index)
-    rank = lists.groupBy("cid").agg((F.count("*") / F.max("n")).alias("share"))
-    lists = materialise(lists.join(rank, "cid"), "ranked")
+    lists = index.join(met, "t")
+    lists = materialise(lists.withColumn("share", F.col("u") / F.col("n")), "ranked")
     postings = lists.count()
     links: list[DataFrame] = []
     seen: DataFrame | None = None
     labels: DataFrame | None = None
-    near = f"100 * least(n, hn) >= {SIMILAR} * greatest(n, hn)"
+    near = f"100 * least(n, hn) >= {SIMILAR} * greatest(n, hn) AND {100 + SIMILAR} * least(u, hu) >= {SIMILAR} * (n + hn)"
+    had = math.inf
     for turn in range(HUB_ROUNDS + 1):
         now = lists.withColumn("label", F.col("cid")) if labels is None else lists.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
         parts = now.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).filter("m * m > s")
@@ -212,14 +232,15 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
         if not work:
             break
         now = now.join(parts.select("t"), "t")
-        ending = turn == HUB_ROUNDS or (turn > 0 and work <= 2 * postings)
+        ending = turn == HUB_ROUNDS or (turn > 0 and (work <= 2 * postings or work > had / 2))
+        had = work
         if ending:
-            now = materialise(now.select("t", "cid", "n", "label"), "open")
-            other = now.select(F.col("t").alias("t2"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("label").alias("hl"))
+            now = materialise(now.select("t", "cid", "n", "u", "label"), "open")
+            other = now.select(F.col("t").alias("t2"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("u").alias("hu"), F.col("label").alias("hl"))
             pairs = now.join(other, (F.col("t") == F.col("t2")) & (F.col("cid") < F.col("hub")) & (F.col("label") != F.col("hl")) & F.expr(near))
         else:
-            order = F.struct("share", "cid", "n", "label") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "cid").alias("share"), "cid", "n", "label")
-            hubs = now.groupBy("t").agg(F.max(order).alias("h")).select(F.col("t").alias("t2"), F.col("h.cid").alias("hub"), F.col("h.n").alias("hn"), F.col("h.label").alias("hl"))
+            order = F.struct("share", "cid", "n", "u", "label") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "cid").alias("share"), "cid", "n", "u", "label")
+            hubs = now.groupBy("t").agg(F.max(order).alias("h")).select(F.col("t").alias("t2"), F.col("h.cid").alias("hub"), F.col("h.n").alias("hn"), F.col("h.u").alias("hu"), F.col("h.label").alias("hl"))
             pairs = now.join(hubs, F.col("t") == F.col("t2")).filter(F.col("label") != F.col("hl")).filter(near)
         pairs = pairs.select(F.least("cid", "hub").alias("lo"), F.greatest("cid", "hub").alias("hi"), F.col("cid").alias("a"), F.col("hub").alias("b")).groupBy("lo", "hi").agg(F.max_by("a", "b").alias("a"), F.max("b").alias("b"))
         if seen is not None:
