@@ -19,7 +19,7 @@ Heavy part. Larger sets scan inverted lists:
  3. Lists are not joined with themselves at once. In each round every list
     tests its members against one hub only; what links is contracted. Only
     members still in different components are then tested pairwise, unless
-    one of them has too few shingles in common with anyone.
+    what they share with the hub and beyond it is too little for a link.
 
 The boundary is where the summed costs, from the histogram of set sizes, are
 least. Hashes have 64 bits; within a pair of sets a chance match is about
@@ -137,12 +137,15 @@ def _light_links(classes: DataFrame, most: int) -> DataFrame:
     return keys.join(met, F.col("key") == F.col("k")).filter("cid <> hub AND (n = m OR lo <> hi)").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked. The set of `a` travels with the pair to that of `b`."""
-    first = pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with `shared`, the shingles they have in common, `beyond`, the frequent ones of `a` that `b` lacks, and whether they are `linked`.
+
+    The set of `a` travels with the pair to that of `b`.
+    """
+    first = pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("late").alias("la")), "a")
     both = first.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * shared >= SIMILAR * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("beyond", F.size("la") - F.size(F.array_intersect("la", "tb")))
+    return both.select("a", "b", "shared", "beyond", (100 * F.col("shared") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("shared"))).alias("linked"))
 
 
 def _candidate_classes(heavy: DataFrame) -> DataFrame:
@@ -174,34 +177,33 @@ def _ordering(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table, frequent
 
 
-def _prefixes(sets: DataFrame, table: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """The index: `t`, `cid`, `n`, `u` for each set's prefix; shingles of one set come first in it, frequent ones last.
+def _ordered(sets: DataFrame, table: np.ndarray, frequent: np.ndarray) -> DataFrame:
+    """`cid`, `n`, and of each set: `tokens`, its shingles that other sets may have too; `late`, the frequent ones of these; `prefix`, what is indexed.
 
-    Those of one set meet no other and are not listed; `u` counts the others of
-    the whole set, which is the most it can share with any.
+    In the order of the prefix, shingles of one set come first (they meet no
+    other and are left out), then the rare ones by hash, then the frequent ones.
     """
     held = sets.sparkSession.sparkContext.broadcast((table, frequent))
 
     def work(batches):
         bits, late = held.value
         for b in batches:
-            tokens, cids, ns, us = [], [], [], []
-            for cid, n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            every, lates, prefixes = [], [], []
+            for n, own in zip(b.column(1).to_pylist(), b.column(2)):
                 own = np.asarray(own.values)
                 slot = own & ((1 << SHARED_BITS) - 1)
                 own = own[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
                 at = np.searchsorted(late, own)
                 is_late = late[np.minimum(at, len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
                 room = max(n - needed(n) + 1 - (n - len(own)), 0)
-                prefix = np.concatenate([own[~is_late], own[is_late]])[:room]
-                tokens.append(prefix)
-                cids.append(np.full(len(prefix), cid, np.int64))
-                ns.append(np.full(len(prefix), n, np.int32))
-                us.append(np.full(len(prefix), len(own), np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, cids, ns, us)], names=["t", "cid", "n", "u"])
+                every.append(own)
+                lates.append(own[is_late])
+                prefixes.append(np.concatenate([own[~is_late], own[is_late]])[:room])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(list(map(len, x)))]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (every, lates, prefixes) if x]
+            if lists:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["cid", "n", "tokens", "late", "prefix"])
 
-    return sets.select("cid", "n", "tokens").mapInArrow(work, "t long, cid long, n int, u int")
+    return sets.select("cid", "n", "tokens").mapInArrow(work, "cid long, n int, tokens array<long>, late array<long>, prefix array<long>")
 
 
 def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
@@ -214,42 +216,49 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
     sets = materialise(sets, "sets")
     if sets.count() != own.count():  # rows that share id and text
         sets = materialise(sets.dropDuplicates(["cid"]), "sets1")
-    index = materialise(_prefixes(sets, *_ordering(sets)), "index")
-    met = index.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
-    lists = index.join(met, "t")
-    lists = materialise(lists.withColumn("share", F.col("u") / F.col("n")), "ranked")
+    table, frequent = _ordering(sets)
+    ordered = materialise(_ordered(sets, table, frequent), "ordered")
+    discard(sets)
+    sets = ordered
+    index = sets.select(F.explode("prefix").alias("t"), "cid", "n", F.size("tokens").alias("u"))
+    met = index.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t", (F.col("c") > FREQUENT).alias("long"))
+    lists = materialise(index.join(met, "t").withColumn("share", F.col("u") / F.col("n")), "lists")
     postings = lists.count()
     links: list[DataFrame] = []
-    seen: DataFrame | None = None
-    labels: DataFrame | None = None
+    seen = labels = info = None
     near = f"100 * least(n, hn) >= {SIMILAR} * greatest(n, hn) AND {100 + SIMILAR} * least(u, hu) >= {SIMILAR} * (n + hn)"
     had = math.inf
     for turn in range(HUB_ROUNDS + 1):
         now = lists.withColumn("label", F.col("cid")) if labels is None else lists.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
-        parts = now.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).filter("m * m > s")
-        parts = materialise(parts, "parts")
-        work = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        work = _open(now).agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
         if not work:
             break
-        now = now.join(parts.select("t"), "t")
         ending = turn == HUB_ROUNDS or (turn > 0 and (work <= 2 * postings or work > had / 2))
         had = work
         if ending:
-            now = materialise(now.select("t", "cid", "n", "u", "label"), "open")
-            other = now.select(F.col("t").alias("t2"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("u").alias("hu"), F.col("label").alias("hl"))
-            pairs = now.join(other, (F.col("t") == F.col("t2")) & (F.col("cid") < F.col("hub")) & (F.col("label") != F.col("hl")) & F.expr(near))
+            now = _still_open(now, info)
+            now = materialise(now.join(_open(now).select(F.col("t").alias("t3")), F.col("t") == F.col("t3")).drop("t3"), "open")
+            other = now.select(F.col("t").alias("t2"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("u").alias("hu"), F.col("label").alias("hl"), F.col("shared").alias("hs"), F.col("beyond").alias("hb"))
+            reach = F.expr(f"shared IS NULL OR hs IS NULL OR {100 + SIMILAR} * (least(shared, hs) + least(beyond, hb)) >= {SIMILAR} * (n + hn)")
+            pairs = now.join(other, (F.col("t") == F.col("t2")) & (F.col("cid") < F.col("hub")) & (F.col("label") != F.col("hl")) & F.expr(near) & reach)
         else:
+            now = now.join(_open(now).select("t"), "t")
             order = F.struct("share", "cid", "n", "u", "label") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "cid").alias("share"), "cid", "n", "u", "label")
             hubs = now.groupBy("t").agg(F.max(order).alias("h")).select(F.col("t").alias("t2"), F.col("h.cid").alias("hub"), F.col("h.n").alias("hn"), F.col("h.u").alias("hu"), F.col("h.label").alias("hl"))
-            pairs = now.join(hubs, F.col("t") == F.col("t2")).filter(F.col("label") != F.col("hl")).filter(near)
-        pairs = pairs.select(F.least("cid", "hub").alias("lo"), F.greatest("cid", "hub").alias("hi"), F.col("cid").alias("a"), F.col("hub").alias("b")).groupBy("lo", "hi").agg(F.max_by("a", "b").alias("a"), F.max("b").alias("b"))
+            pairs = now.join(hubs, F.col("t") == F.col("t2")).filter(F.col("label") != F.col("hl"))
+            pairs = pairs.filter(F.col("long") | F.expr(near)) if turn == 0 else pairs.filter(near)
+        pairs = pairs.select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
         if seen is not None:
-            pairs = pairs.join(seen, ["lo", "hi"], "left_anti")
-        pairs = materialise(pairs, f"pairs{turn}")
-        links.append(materialise(_tested(pairs.select("a", "b"), sets), f"links{turn}"))
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        tested = materialise(_overlaps(pairs, sets), f"tested{turn}")
+        links.append(tested.filter("linked").select("a", "b"))
         if ending:
             break
-        seen = pairs.select("lo", "hi") if seen is None else seen.unionByName(pairs.select("lo", "hi"))
+        if turn == 0:
+            firsts = lists.filter("long").groupBy("t").agg(F.max(F.struct("share", "cid")).alias("h")).select(F.col("t").alias("t4"), F.col("h.cid").alias("h4"))
+            info = (firsts, tested.select(F.col("a").alias("a4"), F.col("b").alias("b4"), "shared", "beyond"))
+        both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen = both if seen is None else seen.unionByName(both)
         every = links[0]
         for x in links[1:]:
             every = every.unionByName(x)
@@ -257,6 +266,30 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
     return links
 
 
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists `t` with members in several components: `m` members, `s` the sum of the squares of each component's."""
+    return lists.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).filter("m * m > s")
+
+
+def _still_open(lists: DataFrame, info) -> DataFrame:
+    """The members that may yet be linked within their list, with `shared` and `beyond` as against the first hub of a long list.
+
+    Two members of a long list that share a rare shingle also meet in that
+    one's list: where a frequent one is in both prefixes, all their rare ones
+    are too. Otherwise they share frequent shingles only: those of the hub that
+    both have, and some that neither shares with it. So at most
+    min(shared) + min(beyond), and a member that stays below what a link to the
+    least set of the list takes is left out.
+    """
+    firsts, tested = info
+    known = lists.filter("long").join(firsts, F.col("t") == F.col("t4")).filter("cid <> h4")
+    known = known.join(tested, (F.col("cid") == F.col("a4")) & (F.col("h4") == F.col("b4")), "left").drop("t4", "h4", "a4", "b4")
+    least = known.groupBy("t").agg(F.min("n").alias("least")).withColumnRenamed("t", "t4")
+    known = known.join(least, F.col("t") == F.col("t4")).filter(f"shared IS NULL OR {100 + SIMILAR} * (shared + beyond) >= {SIMILAR} * (n + greatest(least, CAST(ceil({SIMILAR} * n / 100D - 1e-9) AS INT)))").drop("t4", "least")
+    rest = lists.filter("NOT long").withColumn("shared", F.lit(None).cast("int")).withColumn("beyond", F.lit(None).cast("int"))
+    return known.unionByName(rest)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: `doc_id`, `n_shingles`, `component_id`.
 
