@@ -1,2 +1,8 @@
-QUERIES = {}
-SQL = {}
+"""Every query of the engine by name, and the DuckDB SQL it is held against."""
+
+from __future__ import annotations
+
+from . import corpus_queries, report_queries, retrieval_queries
+
+QUERIES = corpus_queries.QUERIES | report_queries.QUERIES | retrieval_queries.QUERIES
+SQL = corpus_queries.SQL | report_queries.SQL | retrieval_queries.SQL
