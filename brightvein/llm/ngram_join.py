@@ -312,8 +312,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if cut.groupBy("cid", "doc_id").count().filter("count > 1").limit(1).count():
         heavy = heavy.dropDuplicates(["cid"])
     links += _heavy_links(docs, heavy)
-    every = links[0]
-    for x in links[1:]:
+    every = classes.filter("false").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    for x in links:
         every = every.unionByName(x)
     labels = components(every)
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
