@@ -127,14 +127,16 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs`, each as often as the mix takes it: what a pipeline stage needs.
 
     Rows that share id, source and size are told apart by their order by text.
+    Rows and their copies meet in one exchange of the rows: for each key there
+    are as many of either, so sorted by number each row follows its copies.
     """
     key = F.struct(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{source_col}`").alias("s"), F.regexp_count(text_of(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long").alias("n"))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__bv_row"), F.xxhash64(key).alias("__bv_key"), F.col(f"`{text_col}`").alias("__bv_text"))
-    own = own.withColumn("__bv_nth", F.row_number().over(Window.partitionBy("__bv_key").orderBy("__bv_text"))).drop("__bv_text")
-    taken = mix(docs, id_col, text_col, source_col, seed=seed).select(F.xxhash64(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"))).alias("__bv_key"), "copies")
-    taken = taken.withColumn("__bv_nth", F.row_number().over(Window.partitionBy("__bv_key").orderBy(F.desc("copies")))).filter("copies > 0")
-    both = own.join(taken, ["__bv_key", "__bv_nth"])
-    return both.select("__bv_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__bv_row.*")
+    own = docs.select(F.xxhash64(key).alias("key"), F.lit(None).cast("long").alias("copies"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = mix(docs, id_col, text_col, source_col, seed=seed).select(F.xxhash64(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"))).alias("key"), "copies", F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+    both = own.unionByName(taken).withColumn("is_row", F.col("row").isNotNull()).repartition("key")
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy("key", "is_row").orderBy(F.col("row")[text_col], F.desc("copies"))))
+    both = both.withColumn("due", F.lag("copies").over(Window.partitionBy("key").orderBy("nth", "is_row"))).filter("is_row AND due > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("due").cast("int")))).select("row.*")
 
 
 def op7_pivotal_mixing(spark, sf_dir: str) -> DataFrame:
