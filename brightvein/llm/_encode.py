@@ -8,7 +8,9 @@ import re
 import numpy as np
 
 #: Words remembered at most; then the memory starts afresh.
-REMEMBER = 400_000
+REMEMBER = 700_000
+#: New words to a text that the tokenizer gets (it is slower on long ones), and texts to a call.
+TOGETHER, TEXTS = 200, 20
 #: Characters of text worked on at once, unless one text alone is longer.
 STEP = 2_000_000
 #: Where cutting a text at its spaces could change its ids: a space between white space, or in it at the end.
@@ -68,14 +70,14 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         plain = [p for p in new if p and p[0] != "\x00" and not p[0].isspace() and not p[-1].isspace()]
         other = list(new.difference(plain))
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = self._whole([" " + " ".join(part)])[0]
-            first = np.flatnonzero(self.spaced[ids])
-            if len(first) != len(part):
-                other += part
-            else:
-                self._add(part, ids, np.diff(np.append(first, len(ids))))
+        for i in range(0, len(plain), TOGETHER * TEXTS):
+            parts = [plain[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * TEXTS, len(plain)), TOGETHER)]
+            for part, ids in zip(parts, self._whole([" " + " ".join(p) for p in parts])):
+                first = np.flatnonzero(self.spaced[ids])
+                if len(first) != len(part):
+                    other += part
+                else:
+                    self._add(part, ids, np.diff(np.append(first, len(ids))))
         if other:
             ids = self._whole([p[1:] if p[:1] == "\x00" else " " + p for p in other])
             self._add(other, np.concatenate(ids), np.array(list(map(len, ids))))
