@@ -14,7 +14,7 @@ TOGETHER, TEXTS = 200, 20
 #: Characters of text worked on at once, unless one text alone is longer.
 STEP = 2_000_000
 #: Where cutting a text at its spaces could change its ids: a space between white space, or in it at the end.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)|\x00")
+_UNSAFE = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
 def default_path() -> str:
@@ -68,7 +68,7 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        plain = [p for p in new if p and p[0] != "\x00" and not p[0].isspace() and not p[-1].isspace()]
+        plain = [p for p in new if p and p[0] != "\x00" and len(p.strip()) == len(p)]
         other = list(new.difference(plain))
         for i in range(0, len(plain), TOGETHER * TEXTS):
             parts = [plain[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * TEXTS, len(plain)), TOGETHER)]
@@ -99,7 +99,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBER:
             self._forget()
-        safe = [not _UNSAFE.search(t) and not any(s in t for s in self.specials) for t in texts]
+        safe = ["\x00" not in t and not _UNSAFE.search(t) and not any(s in t for s in self.specials) for t in texts]
         pieces: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):

@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     out = path or fresh_path(spark, "tokens")
     ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -180,7 +180,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[lo:hi], mask=reader.nulls[lo:hi].astype(bool)), pa.array(reader.firsts[lo:hi] + start), pa.array(np.diff(edge)), values], schema=schema)
                     lo = hi
 
-    spread = manifest.select("file", "start").repartition("file")
+    files = manifest.select("file", "start")
+    spread = files.repartition(min(max(files.count(), 1), 10_000), "file")  # a number of its own, so that small rows don't meet in one task
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
