@@ -116,9 +116,10 @@ def next_lower(ids: DataFrame) -> DataFrame:
 def op3_imatch_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form.
 
-    The text travels once by id (both sides of the second join read that one
-    exchange) and its head once more. A repeated id lends its smallest text; a
-    null id has no next document.
+    The text travels once by id: both sides of the second join read that one
+    exchange, for which rows without an id go their own way. Its head travels
+    once more. A repeated id lends its smallest text; a null id has no next
+    document.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_of("text").alias("text"))
     lexicon = build_lexicon(docs)
@@ -126,14 +127,17 @@ def op3_imatch_fingerprints(spark, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     halves = docs.select("doc_id", half.alias("half")).groupBy("doc_id").agg(F.max("half").alias("half"), F.count("*").alias("rows"))
     halves = materialise(halves, "halves")
-    lenders = base
+    known = base.filter("doc_id IS NOT NULL")
+    lenders = known
     if halves.filter("rows > 1").limit(1).count():
         one = base.groupBy("doc_id").agg(F.min(F.struct("text", "sigs")).alias("one"))
         lenders = one.select("doc_id", "one.text", "one.sigs")
     nxt = next_lower(halves.select("doc_id")).join(halves.select("doc_id", "half"), "doc_id")
     nxt = nxt.select(F.col("doc_id").alias("to_id"), "half", "next_id")
     heads = lenders.join(nxt, F.col("doc_id") == F.col("next_id")).select("to_id", F.left("text", F.col("half")).alias("head"), F.col("sigs").alias("next_sigs"))
-    both = base.join(heads, F.col("doc_id") == F.col("to_id"), "left")
+    both = known.join(heads, F.col("doc_id") == F.col("to_id"), "left").select("doc_id", "text", "sigs", "head", "next_sigs")
+    unknown = base.filter("doc_id IS NULL").select("doc_id", "text", "sigs", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sigs"))
+    both = both.unionByName(unknown)
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("head", F.lit("")), half))
     both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
     both = with_fingerprint(both.withColumnRenamed("sigs", "own"), lexicon, "edited")
