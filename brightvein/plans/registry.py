@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, report_queries, retrieval_queries
+from . import corpus_queries, report_queries, retrieval_queries, structure_queries
 
-QUERIES = corpus_queries.QUERIES | report_queries.QUERIES | retrieval_queries.QUERIES
-SQL = corpus_queries.SQL | report_queries.SQL | retrieval_queries.SQL
+QUERIES = corpus_queries.QUERIES | report_queries.QUERIES | retrieval_queries.QUERIES | structure_queries.QUERIES
+SQL = corpus_queries.SQL | report_queries.SQL | retrieval_queries.SQL | structure_queries.SQL
