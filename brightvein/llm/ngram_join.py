@@ -220,9 +220,13 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
     ordered = materialise(_ordered(sets, table, frequent), "ordered")
     discard(sets)
     sets = ordered
-    index = sets.select(F.explode("prefix").alias("t"), "cid", "n", F.size("tokens").alias("u"))
-    met = index.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t", (F.col("c") > FREQUENT).alias("long"))
-    lists = materialise(index.join(met, "t").withColumn("share", F.col("u") / F.col("n")), "lists")
+    # a prefix has its rare shingles first, so those from place u - l on are the frequent ones
+    index = sets.select(F.posexplode("prefix").alias("at", "t"), "cid", "n", F.size("tokens").alias("u"), F.size("late").alias("l"))
+    index = index.select("t", "cid", "n", "u", (F.col("at") >= F.col("u") - F.col("l")).alias("is_late"))
+    met = index.groupBy("t").agg(F.count("*").alias("c"), F.max("is_late").alias("is_late")).filter("c > 1")
+    # only lists of shingles that the order puts last: what `_still_open` leaves out rests on that
+    met = met.select("t", ((F.col("c") > FREQUENT) & F.col("is_late")).alias("long"))
+    lists = materialise(index.drop("is_late").join(met, "t").withColumn("share", F.col("u") / F.col("n")), "lists")
     postings = lists.count()
     links: list[DataFrame] = []
     seen = labels = info = None
@@ -274,6 +278,9 @@ def _open(lists: DataFrame) -> DataFrame:
 def _still_open(lists: DataFrame, info) -> DataFrame:
     """The members that may yet be linked within their list, with `shared` and `beyond` as against the first hub of a long list.
 
+    Long lists are those of frequent shingles alone, by the bar that `_ordering`
+    took; all others keep every member.
+
     Two members of a long list that share a rare shingle also meet in that
     one's list: where a frequent one is in both prefixes, all their rare ones
     are too. Otherwise they share frequent shingles only: those of the hub that

@@ -273,6 +273,17 @@ def test_ngram_join_group(spark):
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute_components(made)
 
 
+def test_ngram_join_higher_bar(spark, monkeypatch):
+    """Chains of windows sliding over a text, each shingle in some 17 of them: too many for the table of frequent shingles."""
+    monkeypatch.setattr(ngram_join, "FREQUENT_MOST", 3)
+    r, made = random.Random(4), []
+    for _ in range(4):
+        w = [prose(r, 1) + str(r.randint(0, 999)) for _ in range(1000)]
+        made += [(len(made) + i, " ".join(w[i * 8 : i * 8 + 145])) for i in range(100)]
+    got = ngram_join.similar_documents(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute_components(made)
+
+
 def test_boundary_follows_costs():
     assert ngram_join.boundary({5: 100}) >= 5 and ngram_join.boundary({20: 100}) < 20
 
