@@ -19,6 +19,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +34,19 @@ SEQUENCE = 1024
 #: Ids a shard holds at most, unless one document alone has more.
 SHARD_IDS = 2_000_000
 K1, B = 1.2, 0.75
-#: Words in more than this share of a shard's documents don't tell them apart and are not looked up.
+#: Words in more than this share of a shard's documents have their weights as rows of a table, which add faster than postings.
 COMMON = 0.1
+#: Neighbours sorted at first; where a window takes more, so many times more are.
+FIRST_NEIGHBOURS, MORE = 64, 8
 
 
 class Index:
-    """BM25 over the words of one shard: postings by term, as flat arrays."""
+    """BM25 over the words of one shard: postings by term, as flat arrays.
+
+    No word is left out but those of one document, which lead to no other. A
+    common word's weights are a row of `table`, over all documents; with at most
+    1 / COMMON times as many cells as there are postings, it is bounded as they are.
+    """
 
     def __init__(self, ids: np.ndarray, edge: np.ndarray, spaced: np.ndarray, wordy: np.ndarray):
         docs = len(edge) - 1
@@ -49,7 +58,7 @@ class Index:
         begins[heads] = word[heads]
         at = np.flatnonzero(word)
         if not len(at):
-            self.first = self.first_term = np.zeros(docs + 1, np.int64)
+            self.first_term = self.first_common = np.zeros(docs + 1, np.int64)
             return
         starts = np.flatnonzero(begins[at])
         place = at - at[starts][np.cumsum(begins[at]) - 1]
@@ -64,28 +73,49 @@ class Index:
         terms, owner = terms[at], owner[at]
         head = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
         df = np.diff(np.append(head, len(terms)))
-        keep = (df >= 2) & (df <= max(2, COMMON * docs))
         idf = np.log1p((docs - df + 0.5) / (df + 0.5))
         weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / max(length.mean(), 1)))
+        common = df > max(2, COMMON * docs)
+        self.table = np.zeros((int(common.sum()), docs))
+        self.owner, self.weight, term, self.terms_of, self.first_term = self._of(owner, weight, df, (df >= 2) & ~common)
+        self.head = np.concatenate([[0], np.cumsum(df[(df >= 2) & ~common])])
+        owner, weight, term, self.commons_of, self.first_common = self._of(owner, weight, df, common)
+        self.table[term, owner] = weight
+
+    def _of(self, owner: np.ndarray, weight: np.ndarray, df: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The postings of the terms to `keep`, the terms numbered anew, and of each document the terms and where they begin."""
         chosen = np.repeat(keep, df)
-        self.owner, self.weight = owner[chosen], weight[chosen]
-        df = df[keep]
-        self.head = np.concatenate([[0], np.cumsum(df)])
+        owner, df = owner[chosen], df[keep]
         term = np.repeat(np.arange(len(df)), df)
-        by = np.argsort(self.owner, kind="stable")
-        self.terms_of = term[by]
-        self.first_term = np.concatenate([[0], np.cumsum(np.bincount(self.owner, minlength=docs))])
-
-    def ranked(self, doc: int, free: np.ndarray) -> np.ndarray:
-        """Documents still `free`, the most like `doc` first; ties by their place."""
-        terms = self.terms_of[self.first_term[doc] : self.first_term[doc + 1]] if self.first_term[-1] else np.zeros(0, np.int64)
-        if not len(terms):
-            return terms
-        lo, n = self.head[terms], self.head[terms + 1] - self.head[terms]
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.owner[at], self.weight[at], self.docs)
+        first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=self.docs))])
+        return owner, weight[chosen], term, term[np.argsort(owner, kind="stable")], first
+
+    def scores(self, doc: int) -> np.ndarray:
+        """Of every document, the summed weights of the words it shares with `doc`."""
+        score = np.zeros(self.docs)
+        if self.first_term[-1]:
+            terms = self.terms_of[self.first_term[doc] : self.first_term[doc + 1]]
+            lo, n = self.head[terms], self.head[terms + 1] - self.head[terms]
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score += np.bincount(self.owner[at], self.weight[at], self.docs)
+        if self.first_common[-1]:
+            for t in self.commons_of[self.first_common[doc] : self.first_common[doc + 1]]:
+                score += self.table[t]
+        return score
+
+    def ranked(self, doc: int, free: np.ndarray) -> Iterator[int]:
+        """Documents `free` at first, the most like `doc` first; ties by their place. They are sorted as far as they are taken."""
+        score = self.scores(doc)
         hits = np.flatnonzero((score > 0) & free)
-        return hits[np.lexsort((hits, -score[hits]))]
+        score = -score[hits]
+        size = FIRST_NEIGHBOURS
+        while len(hits):
+            if size < len(hits):
+                now = score <= np.partition(score, size - 1)[size - 1]  # and all that tie with the last
+            else:
+                now = np.ones(len(hits), bool)
+            yield from hits[now][np.argsort(score[now], kind="stable")]
+            hits, score, size = hits[~now], score[~now], size * MORE
 
 
 def pack_shard(ids: np.ndarray, edge: np.ndarray, index: Index, length: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -104,7 +134,7 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, index: Index, length: int = SE
         window = length if left >= length else 1 << (left.bit_length() - 1)
         while not free[seed]:
             seed += 1
-        chosen, i, filled = seed, 0, 0
+        chosen, filled = seed, 0
         neighbours = None
         spare = seed
         while filled < window:
@@ -118,11 +148,8 @@ def pack_shard(ids: np.ndarray, edge: np.ndarray, index: Index, length: int = SE
                 break
             if neighbours is None:
                 neighbours = index.ranked(seed, free)
-            while i < len(neighbours) and not free[neighbours[i]]:
-                i += 1
-            if i < len(neighbours):
-                chosen = neighbours[i]
-            else:
+            chosen = next((d for d in neighbours if free[d]), None)
+            if chosen is None:
                 while not free[spare]:
                     spare += 1
                 chosen = spare

@@ -203,6 +203,34 @@ def test_packing(docs, nothing):
     assert got == want
 
 
+def test_packing_finds_common_words():
+    """Copies that are a third of a shard have each other as neighbours; the ranking is that of a plain BM25 over every word."""
+    r = random.Random(9)
+    texts = [prose(r, 40) for _ in range(40)] + [""]
+    for at in range(0, 60, 3):
+        texts.insert(at, "every word here is held by each of the copies alone")
+    enc = encoder()
+    ids, n = packing.with_end(*enc.encode(texts), 0)
+    index = packing.Index(ids, np.concatenate([[0], np.cumsum(n)]), enc.spaced, enc.wordy)
+    words = [collections.Counter(f"^{t}".split() if t else []) for t in texts]  # a text's first word has other ids
+    df = collections.Counter(w for c in words for w in c)
+    mean = sum(c.total() for c in words) / len(words)
+
+    def score(a, b):
+        part = lambda w: np.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * words[b][w] * 2.2 / (words[b][w] + 1.2 * (0.25 + 0.75 * words[b].total() / mean))
+        return sum(part(w) for w in words[a] if w in words[b] and df[w] > 1)
+
+    free = np.ones(len(texts), bool)
+    for a in range(len(texts)):
+        want = [score(a, b) for b in range(len(texts))]
+        assert index.scores(a).tolist() == pytest.approx(want) if texts[a] else not any(want)
+        got = list(index.ranked(a, free))
+        assert sorted(got) == [b for b, x in enumerate(want) if x > 0]
+        assert all(want[x] > want[y] - 1e-9 for x, y in zip(got, got[1:]))
+    copies = [i for i, t in enumerate(texts) if t.startswith("every")]
+    assert list(index.ranked(copies[3], free))[: len(copies)] == copies
+
+
 def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
     got = mixing.mix(docs).collect()
