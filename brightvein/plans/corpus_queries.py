@@ -102,10 +102,12 @@ def e2_heading_levels(t):
     return blocks(t.documents).select("doc_id", "ordinal", X.heading_level(F.col("text")).alias("level"))
 
 
-@query()
+@query(f"""WITH b AS ({_BLOCKS}), h AS (SELECT doc_id, ordinal, text, length(text) % 3 + 1 AS level FROM b WHERE length(text) BETWEEN 1 AND 80),
+m AS (SELECT *, min(level) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM h)
+SELECT doc_id, list(text ORDER BY ordinal) AS path FROM m WHERE later IS NULL OR later > level GROUP BY 1""")
 def e4_heading_paths(t):
     """Headings are short blocks; their level follows their length."""
-    own = blocks(t.documents).filter("length(text) BETWEEN 1 AND 80").select("doc_id", F.struct("ordinal", (F.length("text") % 3 + 1).alias("level"), F.left("text", F.lit(20)).alias("title")).alias("h"))
+    own = blocks(t.documents).filter("length(text) BETWEEN 1 AND 80").select("doc_id", F.struct("ordinal", (F.length("text") % 3 + 1).alias("level"), F.col("text").alias("title")).alias("h"))
     return own.groupBy("doc_id").agg(sections.heading_paths(F.array_sort(F.collect_list("h"))).alias("path"))
 
 

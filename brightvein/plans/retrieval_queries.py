@@ -105,10 +105,10 @@ def g11_stand_in_rerank(t):
     return t.benchmark.select("item_id", F.round(value / F.lit(18446744073709551616.0), 9).alias("score"))
 
 
-@query()
+@query(f"WITH {_POST}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s), k AS (SELECT h.query_id, h.rank, h.doc_id, h.ordinal, row_number() OVER (PARTITION BY h.query_id, b.text ORDER BY h.rank) AS r FROM h JOIN b USING (doc_id, ordinal) WHERE h.rank <= 5) SELECT query_id, rank, doc_id, ordinal FROM k WHERE r = 1")
 def g12_evidence_dedupe(t):
-    """Ranked passages of a query; one that shares a source block's first word with one kept before is absorbed."""
-    hits = QUERIES["g3_bm25_search"](t.spark, t.folder).join(R.blocks(t.documents).select("doc_id", "ordinal", F.array(F.left("text", F.lit(12))).alias("elements")), ["doc_id", "ordinal"])
+    """Ranked passages of a query; one whose source block is, as a whole, that of one kept before is absorbed."""
+    hits = QUERIES["g3_bm25_search"](t.spark, t.folder).join(R.blocks(t.documents).select("doc_id", "ordinal", F.array(F.sha2("text", 256)).alias("elements")), ["doc_id", "ordinal"])
     items = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "ordinal", "elements"))).alias("items"))
     return items.select("query_id", F.explode(R.greedy_dedupe(F.col("items"))).alias("x")).select("query_id", "x.rank", "x.doc_id", "x.ordinal")
 

@@ -78,6 +78,18 @@ def test_dedupe_not_transitive(spark):
     assert [x["i"] for x in items.select(R.greedy_dedupe(F.col("items")).alias("k")).first()["k"]] == [1, 3, 4]
 
 
+def test_whole_texts_tell_blocks_apart(spark, tmp_path):
+    """Blocks that begin alike are separate evidence and separate titles; equal ones are the same evidence."""
+    same = "alike at the very beginning, then"
+    rows = [(1, f"{same} one", "en", "s"), (2, f"{same} another", "en", "s"), (3, f"{same} one", "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, f"{same} one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["g12_evidence_dedupe"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in got) == [(7, 1), (7, 2)]
+    paths = registry.QUERIES["e4_heading_paths"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["path"] for r in paths} == {i: [t] for i, t, _, _ in rows}
+
+
 def test_fusion_scores(spark):
     lists = spark.createDataFrame([(1, "a", "x", 1), (1, "b", "x", 2), (1, "a", "y", 2)], "query_id long, retriever string, id string, rank int")
     got = {r["id"]: r["score"] for r in R.fuse(lists, "id").collect()}
