@@ -1,18 +1,24 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Texts are read as words of letters and digits, lower-cased. For each class of
-template length L, windows of 2L words start every L words, so any L words in a
-row lie whole in some window. Window and template are compared on `HASHES`
-minima of their word shingles, one to a band: a template that lies in a window
-has a Jaccard likeness of about a half, so all bands miss it with a chance
-below 2**-HASHES. Retrieved pairs are then verified on the words themselves:
-the share of the template's shingles that the window holds must reach
-`CONTAINED`.
+Texts are read as words of letters and digits, lower-cased. For each template
+length L, windows of 2L words start every L words, so any L words in a row lie
+whole in some window. Window and template are compared on `HASHES` minima of
+their word shingles, one to a band: a template that lies in a window has a
+Jaccard likeness of about a half, so all bands miss it with a chance of about
+2**-HASHES; one of which a window holds four fifths has a likeness of about
+0.36 and is missed with a chance of about 2e-5. Retrieved pairs are then
+verified on the words themselves: the share of the template's shingles that
+the window holds must reach `CONTAINED`, and the words that tell its licence
+from its siblings (`TELLING`) must be there.
+
+Notices of sibling licences differ in a few words. Where matches of different
+licences cover the same words, the best contained one stays, then the longest.
 
 Defined results: null and empty texts match nothing; repeated rows match alike;
 an empty table gives an empty result; extra columns are not read. Of
 overlapping windows that match one template, the best counts, then the first.
-Spans are code points of the first matching shingle's start to the last's end.
+Spans are code points, from the first shingle's start to the last's end of the
+shortest stretch that holds all the template's shingles that the window holds.
 """
 
 from __future__ import annotations
@@ -39,12 +45,36 @@ TEMPLATES = {
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
+#: Words in a row that a match of a licence's templates must have, where the template itself has them.
+TELLING = {
+    "apache-2.0": ("apache license", "version 2 0"),
+    "cc-by-nc-4.0": ("by nc 4 0",),
+    "cc-by-4.0": ("by 4 0",),
+    "cc-by-sa-4.0": ("by sa 4 0",),
+    "gpl-2.0": ("gnu general public license", "version 2"),
+    "gpl-3.0": ("gnu general public license", "version 3"),
+    "lgpl-2.0": ("gnu library general public license", "version 2"),
+    "lgpl-2.1": ("gnu lesser general public license", "version 2 1"),
+    "lgpl-3.0": ("gnu lesser general public license", "version 3"),
+    "agpl-3.0": ("gnu affero general public license", "version 3"),
+    "mit": ("mit license",),
+    "mpl-2.0": ("mozilla public license", "v 2 0"),
+}
 _WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,6 +85,10 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].translate(_lower), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def licence_of(template: str) -> str:
+    return template.removesuffix("-header").removesuffix("-text")
+
+
 def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))}
 
@@ -64,13 +98,14 @@ class Matcher:
 
     def __init__(self, templates: dict[str, str], contained: float):
         self.contained = contained
-        self.names, self.sets, self.classes = list(templates), [], {}
+        self.names, self.sets, self.telling, self.classes = list(templates), [], [], {}
         for i, text in enumerate(templates.values()):
             words = [w for w, _, _ in tokens(text)]
             if len(words) < SHINGLE:
                 raise ValueError(f"{self.names[i]}: a template needs {SHINGLE} words")
             self.sets.append(shingle_set(words))
-            self.classes.setdefault(1 << (len(words) - 1).bit_length(), []).append(i)
+            self.telling.append([p for p in TELLING.get(licence_of(self.names[i]), ()) if f" {p} " in f" {' '.join(words)} "])
+            self.classes.setdefault(len(words), []).append(i)
         self.minima = {}
         for length, members in self.classes.items():
             rows = []
@@ -111,20 +146,47 @@ class Matcher:
 
     def verified(self, text: str, candidates: set[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         words = tokens(text)
-        best: dict[int, list] = {}
+        grams = [tuple(w for w, _, _ in words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))]
+        found = []
         for t, lo, hi in sorted(candidates):
-            own = words[lo:hi]
-            held = [i for i in range(max(len(own) - SHINGLE + 1, 1)) if tuple(w for w, _, _ in own[i : i + SHINGLE]) in self.sets[t]]
-            share = len({tuple(w for w, _, _ in own[i : i + SHINGLE]) for i in held}) / len(self.sets[t])
+            held = [i for i in range(lo, max(min(hi, len(words)) - SHINGLE + 1, lo + 1)) if grams[i] in self.sets[t]]
+            share = len({grams[i] for i in held}) / len(self.sets[t])
             if share >= self.contained:
-                best.setdefault(t, []).append((own[held[0]][1], own[min(held[-1] + SHINGLE, len(own)) - 1][2], share))
+                first, last = _shortest(held, grams)
+                end = min(last + SHINGLE, len(words))
+                own = f" {' '.join(w for w, _, _ in words[first:end])} "
+                if all(f" {p} " in own for p in self.telling[t]):
+                    found.append((share, len(self.sets[t]), first, end, t))
+        taken: list[tuple[int, int, int]] = []
         out = []
-        for t, spans in best.items():
-            for s in sorted(spans, key=lambda x: (-x[2], x[0], x[1])):
-                if not any(n == self.names[t] and s[0] < e and b < s[1] for n, b, e, _ in out):
-                    out.append((self.names[t], *s))
+        for share, _, first, end, t in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3], x[4])):
+            if not any(self._barred(t, first, end, *other) for other in taken):
+                taken.append((t, first, end))
+                out.append((self.names[t], words[first][1], words[end - 1][2], share))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def _barred(self, t: int, first: int, end: int, other: int, begin: int, stop: int) -> bool:
+        """Whether a better match has these words: of one template any of them, of another licence more than half of the shorter span."""
+        common = min(end, stop) - max(first, begin)
+        if t == other:
+            return common > 0
+        return licence_of(self.names[t]) != licence_of(self.names[other]) and 2 * common > min(end - first, stop - begin)
+
+
+def _shortest(held: list[int], grams: list[tuple[str, ...]]) -> tuple[int, int]:
+    """The first and last place of the shortest stretch of `held` that has all the different shingles at these places."""
+    different = len({grams[i] for i in held})
+    counts: dict[tuple[str, ...], int] = {}
+    best, lo = (held[0], held[-1]), 0
+    for i in held:
+        counts[grams[i]] = counts.get(grams[i], 0) + 1
+        while counts[grams[held[lo]]] > 1:
+            counts[grams[held[lo]]] -= 1
+            lo += 1
+        if len(counts) == different and i - held[lo] < best[1] - best[0]:
+            best = (held[lo], i)
+    return best
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """One row a match: `doc_id`, `template`, `start`, `end`, `contained`."""

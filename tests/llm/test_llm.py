@@ -149,6 +149,34 @@ def test_licenses(docs, nothing):
         assert name in [x[0] for x in found]
 
 
+def test_sibling_licenses():
+    """A notice is reported as its own licence and no other, alone, worn and beside its siblings; unknown versions are not taken for known ones."""
+    import pyarrow as pa
+
+    from brightvein.llm import _shingles
+
+    m = licenses.Matcher(licenses.TEMPLATES, licenses.CONTAINED)
+
+    def scan(whole):
+        (_, data, offsets), *_ = _shingles.steps(pa.array([whole]))
+        return m.verified(whole, m.candidates(data, offsets).get(0, set()))
+
+    head = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    made = {"gpl-2.0": ("program", "", "2"), "lgpl-2.1": ("library", "Lesser ", "2.1"), "lgpl-3.0": ("program", "Lesser ", "3"), "agpl-3.0": ("program", "Affero ", "3"), "gpl-3.0": ("program", "", "3"), "lgpl-2.0": ("library", "Library ", "2")}
+    r = random.Random(7)
+    for name, parts in made.items():
+        text = head.format(*parts)
+        for whole in (text, f"{prose(r, 77)} {text} {prose(r, 90)}", text.replace("you can redistribute", "anyone can redistribute")):
+            assert {x[0].removesuffix("-header") for x in scan(whole)} == {name}
+    assert [x[0] for x in scan(head.format("library", "Lesser ", "3"))] == ["lgpl-3.0-header"]
+    both = " ".join(head.format(*p) for p in made.values())
+    found = scan(both)
+    assert [x[0].removesuffix("-header") for x in found] == list(made)
+    assert [both[s:e] for _, s, e, _ in found] == [head.format(*p).removesuffix(".") for p in made.values()]
+    assert scan(head.format("program", "", "4")) == []
+    assert [x[0] for x in scan("This work is licensed under the GNU General Public License, version 2.")] == ["gpl-2.0"]
+
+
 def whole_ids(t):
     return encoder().tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
 
