@@ -106,6 +106,13 @@ def d4_sections_by_version(t):
     return ranked(n, ["user_id"], [F.desc("n"), "event_type"], 3).drop("rank")
 
 
+@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events WHERE event_type <> '' GROUP BY 1, 2) WHERE r <= 10")
+def d4_sections_by_version_ten(t):
+    """As d4_sections_by_version, with the ten most frequent values of each key."""
+    n = t.events.filter("event_type <> ''").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return ranked(n, ["user_id"], [F.desc("n"), "event_type"], 10).drop("rank")
+
+
 @query("SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 200")
 def d5_distinct_sections(t):
     return t.part.select("p_type").distinct().orderBy("p_type").limit(200)

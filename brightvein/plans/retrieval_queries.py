@@ -56,6 +56,14 @@ def b1_filtered_search(t):
     return R.bm25(scoped, idf, _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
 
 
+@query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, rank FROM (SELECT query_id, doc_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s SEMI JOIN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 1000) d USING (doc_id)) WHERE rank <= 5")
+def b1_filtered_search_whole(t):
+    """As b1_filtered_search, over all documents: its range is one of lengths without an upper bound, not of ids."""
+    _, post, idf = _index(t)
+    scope = R.hard_filter(t.documents, lang=["en", "de"], n_chars=(1000, None)).select("doc_id")
+    return R.bm25(post.join(scope, "doc_id", "left_semi"), idf, _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
+
+
 _DENSE = "n AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings), d AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 9) AS score FROM n a, n b WHERE a.vec_id % 100 = 0)"
 
 

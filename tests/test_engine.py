@@ -90,6 +90,14 @@ def test_whole_texts_tell_blocks_apart(spark, tmp_path):
     assert {r["doc_id"]: r["path"] for r in paths} == {i: [t] for i, t, _, _ in rows}
 
 
+def test_filtered_search_reaches_every_document(spark, duck):
+    """Documents outside the ids 100 to 600 are found too, and more than three values of a key are kept."""
+    got = {r["doc_id"] for r in registry.QUERIES["b1_filtered_search_whole"](spark, FOLDER).collect()}
+    assert min(got) < 100
+    per = registry.QUERIES["d4_sections_by_version_ten"](spark, FOLDER).groupBy("user_id").count().agg(F.max("count")).first()[0]
+    assert per == min(10, duck.sql("SELECT max(k) FROM (SELECT count(DISTINCT event_type) AS k FROM events WHERE event_type <> '' GROUP BY user_id)").fetchall()[0][0])
+
+
 def test_fusion_scores(spark):
     lists = spark.createDataFrame([(1, "a", "x", 1), (1, "b", "x", 2), (1, "a", "y", 2)], "query_id long, retriever string, id string, rank int")
     got = {r["id"]: r["score"] for r in R.fuse(lists, "id").collect()}
