@@ -7,8 +7,9 @@
 5. packing: what is left is packed into sequences; one row a piece.
 
 All stages but the last return the columns of `documents`. SQL can't express
-the stages from the third on, so there is no ORACLE_SQL; tests hold them
-against brute force.
+the stages from the third on, so there is no ORACLE_SQL. Tests hold the
+operators of some stages against brute force; of the stages themselves and of
+`run` they check names, columns, empty input and that there are rows.
 """
 
 from __future__ import annotations
