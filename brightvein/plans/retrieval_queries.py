@@ -1,4 +1,4 @@
-"""BM25, dense and hybrid retrieval, and the steps from ranked passages to evidence."""
+"""BM25 and dense retrieval, and the steps from ranked passages to evidence."""
 
 from __future__ import annotations
 
