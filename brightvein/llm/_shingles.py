@@ -46,8 +46,8 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def steps(column: pa.Array):
-    """(first row, bytes, offsets) over runs of rows of about STEP bytes; nulls are empty texts."""
+def steps(column: pa.Array, step: int = STEP):
+    """(first row, bytes, offsets) over runs of rows of about `step` bytes; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
@@ -57,7 +57,7 @@ def steps(column: pa.Array):
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1)
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._encode import encoder, with_end
+from ._encode import encoder
 from ._shared import fresh_path, materialise, text_of
 
 MAGIC = b"BVBITS01"
@@ -143,7 +143,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         shard = TaskContext.get().partitionId()
         writer, name = None, f"{shard:06d}-{uuid.uuid4().hex}.tok"
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, end_id)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -151,8 +151,8 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 fs, root = _file_system(out)
                 fs.create_dir(root, recursive=True)
                 writer = Writer(fs.open_output_stream(posixpath.join(root, name)), bits_for(enc.size))
-            ids, counts = with_end(*enc.encode(b.column(1).to_pylist()), end_id)
-            writer.add(b.column(0).to_pylist(), ids, counts)
+            for at, ids, counts in enc.stream(b.column(1), end=True):
+                writer.add(b.column(0).slice(at, len(counts)).to_pylist(), ids, counts)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{out}/{name}"], "docs": [len(writer.ids)], "ids": [writer.total]}, schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))

@@ -15,6 +15,7 @@ from brightvein.llm import chat, fingerprints, licenses, mixing, ngram_join, pac
 from brightvein.llm._encode import encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def prose(r, n):
@@ -182,9 +183,26 @@ def whole_ids(t):
 
 
 def test_encoder_is_exact(rows):
-    texts = [x[1] or "" for x in rows] + ["a  b", "a   b ", "a \n b", "a\n \nb", " a b ", "x <|endoftext|> y", "é" * 500, "a  b", "\x00 a", "\ta\t b"]
-    ids, n = encoder().encode(texts)
-    assert np.split(ids, np.cumsum(n)[:-1]) and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole_ids(t)[:-1] for t in texts]
+    """Ids of texts with every kind of white space, marks, special strings and long words are the tokenizer's own; also after the memory starts afresh."""
+    texts = [x[1] or "" for x in rows] + ["a  b", "a   b ", "a \n b", "a\n \nb", " a b ", "x <|endoftext|> y", "é" * 500, "a  b", "\x00 a", "\ta\t b", "a.\nB", "a. \nB", "I'm. don't, we'll! 're. x're.", "é à « b »", "w" * 70 + " " + "w" * 71 + ", x", "b\n\x85c", "a\u3000 b"]
+    r = random.Random(1)
+    texts += ["".join(r.choice(list(" \n\t.,'aB1é\u00a0\u3000\x1c!?sx")) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    want = [x.ids for x in encoder().tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for end in (False, True):
+        ids, n = encoder().encode(texts, end)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x + [0] * end for x in want]
+
+
+def test_encoder_forgets(monkeypatch):
+    from brightvein.llm import _encode
+
+    monkeypatch.setattr(_encode, "REMEMBER", 300)
+    monkeypatch.setattr(_encode, "STEP", 2000)
+    r = random.Random(2)
+    texts = [prose(r, 60) for _ in range(60)]
+    enc = _encode.Encoder()
+    ids, n = enc.encode(texts)
+    assert enc.known < 1500 and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole_ids(t)[:-1] for t in texts]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 9, 13, 16, 17, 24])
@@ -231,27 +249,56 @@ def test_packing(docs, nothing):
     assert got == want
 
 
-def test_packing_finds_common_words():
-    """Copies that are a third of a shard have each other as neighbours; the ranking is that of a plain BM25 over every word."""
+def plain_words(t):
+    return re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t.translate(LOW))
+
+
+def hashed(texts):
+    import pyarrow as pa
+
+    from brightvein.llm import _shingles
+
+    (_, data, offsets), *_ = _shingles.steps(pa.array(texts))
+    return packing.words(data, offsets)
+
+
+def test_packing_statistics(docs, spark):
+    """Counts over the corpus are those of plain Python; words below the floor all weigh alike."""
+    own = docs.selectExpr("doc_id", "coalesce(text, '') AS text")
+    stats = packing.statistics(own)
+    texts = [r["text"] for r in own.collect()]
+    each = [plain_words(t) for t in texts]
+    df = collections.Counter(w for x in each for w in set(x))
+    assert stats.docs == len(texts) and stats.mean == pytest.approx(sum(map(len, each)) / len(texts))
+    for w, n in df.items():
+        d = n if n >= 2 else 1
+        (term,), _ = hashed([w])
+        (idf,), (known,) = stats.look_up(np.array([term]))
+        assert known == (n >= 2) and idf == pytest.approx(np.log1p((len(texts) - d + 0.5) / (d + 0.5)))
+
+
+def test_packing_ranks_as_plain_bm25(spark):
+    """In a shard, neighbours come in the order of a plain BM25 with the corpus's statistics, copies of a third of it included."""
     r = random.Random(9)
-    texts = [prose(r, 40) for _ in range(40)] + [""]
+    texts = [prose(r, 40) for _ in range(40)] + ["", "... !", "Only, these; words!"]
     for at in range(0, 60, 3):
         texts.insert(at, "every word here is held by each of the copies alone")
-    enc = encoder()
-    ids, n = packing.with_end(*enc.encode(texts), 0)
-    index = packing.Index(ids, np.concatenate([[0], np.cumsum(n)]), enc.spaced, enc.wordy)
-    words = [collections.Counter(f"^{t}".split() if t else []) for t in texts]  # a text's first word has other ids
-    df = collections.Counter(w for c in words for w in c)
-    mean = sum(c.total() for c in words) / len(words)
+    corpus = texts + [prose(r, 25) for _ in range(50)]
+    stats = packing.statistics(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"))
+    index = packing.Index(*hashed(texts), stats)
+    words = [collections.Counter(plain_words(t)) for t in texts]
+    df = collections.Counter(w for t in corpus for w in set(plain_words(t)))
+    here = collections.Counter(w for c in words for w in c)
+    mean = sum(len(plain_words(t)) for t in corpus) / len(corpus)
 
     def score(a, b):
-        part = lambda w: np.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * words[b][w] * 2.2 / (words[b][w] + 1.2 * (0.25 + 0.75 * words[b].total() / mean))
-        return sum(part(w) for w in words[a] if w in words[b] and df[w] > 1)
+        part = lambda w: np.log1p((len(corpus) - df[w] + 0.5) / (df[w] + 0.5)) * words[b][w] * 2.2 / (words[b][w] + 1.2 * (0.25 + 0.75 * words[b].total() / mean))
+        return sum(part(w) for w in words[a] if w in words[b] and here[w] > 1)
 
     free = np.ones(len(texts), bool)
     for a in range(len(texts)):
         want = [score(a, b) for b in range(len(texts))]
-        assert index.scores(a).tolist() == pytest.approx(want) if texts[a] else not any(want)
+        assert index.scores(a).tolist() == pytest.approx(want)
         got = list(index.ranked(a, free))
         assert sorted(got) == [b for b, x in enumerate(want) if x > 0]
         assert all(want[x] > want[y] - 1e-9 for x, y in zip(got, got[1:]))
@@ -259,6 +306,47 @@ def test_packing_finds_common_words():
     assert list(index.ranked(copies[3], free))[: len(copies)] == copies
 
 
+def test_packing_windows_hold_the_best_unused(spark):
+    """Every window is its seed and then the unused documents in the order of their scores, until it is full."""
+    r = random.Random(12)
+    texts = [prose(r, 30) for _ in range(60)]
+    stats = packing.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    index = packing.Index(*hashed(texts), stats)
+    sizes = [len(whole_ids(t)) for t in texts]
+    pieces = packing.pack_shard(np.concatenate([[0], np.cumsum(sizes)]), index, 256)
+    left, windows = dict(enumerate(sizes)), collections.defaultdict(list)
+    for d, _, n, q, _ in pieces:
+        windows[q].append((d, n))
+    for q in sorted(windows):
+        got = windows[q]
+        seed = got[0][0]
+        assert seed == min(left)
+        score = index.scores(seed)
+        order = [seed, *sorted((d for d in left if d != seed and score[d] > 0), key=lambda d: (-score[d], d)), *sorted(d for d in left if d != seed and score[d] <= 0)]
+        room = sum(n for _, n in got)
+        for (d, n), w in zip(got, order):
+            assert d == w and n == min(room, left[d])
+            room -= n
+            left[d] -= n
+        left = {d: n for d, n in left.items() if n}
+    assert not left
+
+
+def test_packing_routes_copies_together(spark):
+    """Copies and near copies spread over the partitions meet in a shard; a group larger than a range of keys is split."""
+    r = random.Random(10)
+    texts = [prose(r, 80) + f" own{i}" for i in range(300)]
+    base = [t.split() for t in texts[:100]]
+    near = [" ".join(w[:-2] + ["changed", "here"]) for w in base]
+    df = spark.createDataFrame(list(enumerate(texts + near + ["one text said very often"] * 200)), "doc_id long, text string").repartition(7, "doc_id")
+    own = packing.routed(df, packing.statistics(df)).collect()
+    key = {r["doc_id"]: (r["k0"], r["k1"], r["k2"]) for r in own}
+    place = {d: i for i, d in enumerate(sorted(key, key=key.get))}
+    assert sum(abs(place[i] - place[300 + i]) <= 5 for i in range(100)) >= 80
+    assert len({(r["k0"], r["k1"], r["k2"], r["nth"]) for r in own}) == 600
+    assert len({key[400 + i] for i in range(200)}) == 1
+
+
 def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
     got = mixing.mix(docs).collect()
@@ -288,10 +376,9 @@ def test_mixing_comes_near(spark):
 
 
 def brute_components(rows):
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for i, t, *_ in rows:
-        w = WORD.findall((t or "").translate(low))
+        w = WORD.findall((t or "").translate(LOW))
         sets.append((i, {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()))
     label = list(range(len(sets)))
     changed = True
