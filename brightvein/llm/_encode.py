@@ -23,12 +23,12 @@ import pyarrow as pa
 from ._shingles import mix, steps
 
 #: Units remembered at most; then those met only once since the last time are forgotten.
-REMEMBER = 1_200_000
+REMEMBER = 500_000
 #: New units to a text that the tokenizer gets (it is slower on long ones), and texts to a call.
 TOGETHER, TEXTS = 50, 80
 LONGEST = 64
 #: Bytes of text worked on at once, unless one text alone is longer.
-STEP = 2 << 20
+STEP = 1 << 20
 #: The first entry of an encoder's memory: the id that ends a text.
 END = 0
 

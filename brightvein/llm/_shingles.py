@@ -7,6 +7,9 @@ depend on where the word stands; hashes are mixed before use.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -37,6 +40,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def trimmed(batches):
+    """The batches as they come; between them a worker's free memory goes back to the system."""
+    trim = None
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        trim = ctypes.CDLL(None).malloc_trim
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
         size = max(n, STEP + 1)

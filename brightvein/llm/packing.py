@@ -127,7 +127,7 @@ def statistics(own: DataFrame) -> Statistics:
         def rows(t, n):
             return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-        for b in batches:
+        for b in _shingles.trimmed(batches):
             for _, data, offsets in _shingles.steps(b.column(0)):
                 terms, counts = words(data, offsets)
                 _, own_terms = distinct(terms, counts)
@@ -297,7 +297,7 @@ def routed(own: DataFrame, stats: Statistics) -> DataFrame:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in _shingles.trimmed(batches):
             for first, data, offsets in _shingles.steps(b.column(1)):
                 keys = keys_of(*words(data, offsets), held.value)
                 n = keys.shape[1]
@@ -344,7 +344,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first += len(full)
             names, held_ids, counts, terms, term_counts, total = [], [], [], [], [], 0
 
-        for b in batches:
+        for b in _shingles.trimmed(batches):
             keys = b.column(0)
             for at, data, offsets in _shingles.steps(b.column(1), 1 << 20):
                 ids, n = enc.encode_bytes(data, offsets, end=True)

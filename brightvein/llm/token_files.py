@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._encode import encoder
+from ._shingles import trimmed
 from ._shared import fresh_path, materialise, text_of
 
 MAGIC = b"BVBITS01"
@@ -144,7 +145,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         shard = TaskContext.get().partitionId()
         writer, name = None, f"{shard:06d}-{uuid.uuid4().hex}.tok"
         enc = encoder(tokenizer, end_id)
-        for b in batches:
+        for b in trimmed(batches):
             if not b.num_rows:
                 continue
             if writer is None:
@@ -167,13 +168,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def read(batches):
-        for b in batches:
+        for b in trimmed(batches):
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 fs, at = _file_system(file)
                 reader = Reader(fs.open_input_file(at))
                 lo = 0
                 while lo < len(reader.doc_ids):
-                    hi = max(lo + 1, int(np.searchsorted(reader.firsts, reader.firsts[lo] + 1_000_000, "right")) - 1)
+                    hi = max(lo + 1, int(np.searchsorted(reader.firsts, reader.firsts[lo] + 500_000, "right")) - 1)
                     ids = reader.ids(int(reader.firsts[lo]), int(reader.firsts[hi] - reader.firsts[lo])).astype("<u4")
                     edge = reader.firsts[lo : hi + 1] - reader.firsts[lo]
                     values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(ids)])
