@@ -23,21 +23,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """`node`, `label` (the least node of its component) for every node of `edges` (a, b).
+def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """`node`, `label` (the least node of its component) for every node of `links` (a, b) and of `before`, an earlier result.
 
     Every step is a written table; none gathers a component in one task, and
-    the number of steps grows with the logarithm of the longest path.
+    the number of steps grows with the logarithm of the longest path. With
+    `before`, the links join its components to larger ones.
     """
-    now = materialise(edges.filter("a <> b"), "edges")
-    before = None
+    links = links.filter("a <> b").select("a", "b")
+    if before is not None:
+        links = links.unionByName(before.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    now = materialise(links, "edges")
+    state = None
     while True:
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if state == before:
+        had, state = state, now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if state == had or not state[0]:
             break
-        before = state
         new = materialise(_small_star(_large_star(now)), "edges")
         discard(now)
         now = new
     roots = now.select(F.col("b").alias("node")).distinct()
-    return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))).distinct(), "labels")
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))).distinct(), "labels")
+    discard(now)
+    return out

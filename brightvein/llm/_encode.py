@@ -20,7 +20,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from ._shingles import mix, steps
+from ._shingles import hashes, steps
 
 #: Units remembered at most; then those met only once since the last time are forgotten.
 REMEMBER = 500_000
@@ -32,8 +32,6 @@ STEP = 1 << 20
 #: The first entry of an encoder's memory: the id that ends a text.
 END = 0
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _bytes = lambda *values: np.isin(np.arange(256), [v for x in values for v in (x if isinstance(x, range) else [x])])
 _BLANK = _bytes(range(9, 14), range(28, 33))
 #: Bytes that white space may end and begin with.
@@ -48,33 +46,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as one number each; nothing is copied but the bytes themselves."""
-    held = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
-
-
-def hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start : start + length]; never 0. Slices of up to seven bytes have different ones."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    eights = _eights(data)
-    out = eights[start] & _MASKS[np.minimum(length, 8)]
-    short = length < 8
-    out = mix(np.where(short, out | (length.astype(np.uint64) << np.uint64(56)), mix(out + length.astype(np.uint64) * _A) ^ _B))
-    far = np.flatnonzero(length > LONGEST + 8)
-    if len(far):
-        import xxhash
-
-        out[far] = [xxhash.xxh64_intdigest(data[s : s + n]) for s, n in zip(start[far].tolist(), length[far].tolist())]
-    left, at = np.flatnonzero((length > 8) & (length <= LONGEST + 8)), 8
-    while len(left):
-        out[left] = mix(out[left] * _B ^ (eights[start[left] + at] & _MASKS[np.minimum(length[left] - at, 8)]))
-        at += 8
-        left = left[length[left] > at]
-    return np.maximum(out, np.uint64(1))
-
-
 class Table:
     """Numbers by 64-bit hash: open addressing, a column of keys at a time."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own; a cluster, whose
+    executors would not see that, gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brightvein-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -67,12 +74,19 @@ def _clean() -> None:
             _delete(spark, path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def rows_of(df: DataFrame) -> int:
+    """The rows of a written table, from its files' footers; read once."""
+    if getattr(df, "_brightvein_rows", None) is None:
+        df._brightvein_rows = df.count()
+    return df._brightvein_rows
+
+
+def small(df: DataFrame, rows: int, of: DataFrame | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, so that Spark shuffles.
 
-    ``df`` should be a written table: its count is then a metadata read.
+    ``df`` should be a written table, or have no more rows than the written table ``of``.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if rows_of(df if of is None else of) <= rows else df
 
 
 def text_of(text: str | Column) -> Column:

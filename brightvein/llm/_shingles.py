@@ -1,8 +1,7 @@
 """Words and word shingles of whole texts as 64-bit hashes, a column at a time in numpy.
 
-Texts stay the bytes Arrow delivers them in. A word's hash is the difference of
-two entries of a running polynomial sum (mod 2**64), so its cost does not
-depend on where the word stands; hashes are mixed before use.
+Texts stay the bytes Arrow delivers them in; a word's hash is made from the
+eight-byte numbers it consists of, so nothing is kept per byte of text.
 """
 
 from __future__ import annotations
@@ -14,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once, unless one text alone is longer.
-STEP = 4 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+STEP = 1 << 20
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Slices of more bytes are hashed one by one.
+LONG = 72
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -53,13 +52,25 @@ def trimmed(batches):
             trim(0)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        size = max(n, STEP + 1)
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
+def hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start : start + length]; never 0. Slices of up to seven bytes have different ones."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    # the eight bytes from every place on, as one number each; only the bytes themselves are copied
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = eights[start] & _MASKS[np.minimum(length, 8)]
+    out = mix(np.where(length < 8, out | (length.astype(np.uint64) << np.uint64(56)), mix(out + length.astype(np.uint64) * _A) ^ _B))
+    far = np.flatnonzero(length > LONG)
+    if len(far):
+        import xxhash
+
+        out[far] = [xxhash.xxh64_intdigest(data[s : s + n]) for s, n in zip(start[far].tolist(), length[far].tolist())]
+    left, at = np.flatnonzero((length > 8) & (length <= LONG)), 8
+    while len(left):
+        out[left] = mix(out[left] * _B ^ (eights[start[left] + at] & _MASKS[np.minimum(length[left] - at, 8)]))
+        at += 8
+        left = left[length[left] > at]
+    return np.maximum(out, np.uint64(1))
 
 
 def steps(column: pa.Array, step: int = STEP):
@@ -89,10 +100,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORDS) ->
     begins[cuts] = inside[1:-1][cuts]
     ends[cuts - 1] = inside[1:-1][cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[_LOWER[data]] * _power("up", _BASE, n), out=running[1:])
-    hashes = mix((running[end] - running[start]) * _power("down", _INVERSE, n + 1)[start])
-    return start, end, hashes, np.searchsorted(start, offsets)
+    return start, end, hashes(_LOWER[data], start, end - start), np.searchsorted(start, offsets)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

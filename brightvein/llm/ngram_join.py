@@ -32,12 +32,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _shingles
 from ._components import components
-from ._shared import discard, materialise, small, text_of
+from ._shared import discard, fresh_name, materialise, rows_of, small, text_of
 
 SHINGLE = 5
 SIMILAR = 80
@@ -50,8 +51,8 @@ FREQUENT_MOST = 500_000
 HUB_ROUNDS = 6
 #: Slots of the bit table of shared shingles, as a power of two: 16 MB.
 SHARED_BITS = 27
-#: Rows up to which a table of ids or hashes is broadcast; beyond, it is joined by a shuffle.
-BROADCAST = 3_000_000
+#: Rows up to which a table of ids or hashes is broadcast, some 70 bytes each in memory: 14 MB. Beyond, it is joined by a shuffle.
+BROADCAST = 200_000
 
 
 def overlap(n: int, m: int) -> int:
@@ -84,15 +85,14 @@ def boundary(sizes: dict[int, int]) -> int:
 
 
 def _sets(docs: DataFrame, cut: bool) -> DataFrame:
-    """`doc_id`, `n`, the class id `cid` and `tokens`: the set's lowest hashes (`cut`) or all, ascending.
+    """Of `docs` (doc_id, th, text): `doc_id`, `th`, `n`, the class id `cid` and `tokens`: the set's lowest hashes (`cut`) or all, ascending.
 
     `cid` is a hash of the whole set.
     """
 
     def work(batches):
-        for b in batches:
-            ids = b.column(0)
-            for at, data, offsets in _shingles.steps(b.column(1)):
+        for b in _shingles.trimmed(batches):
+            for at, data, offsets in _shingles.steps(b.column(2)):
                 _, _, h, first = _shingles.words(data, offsets)
                 grams, edge = _shingles.shingles(h, first, SHINGLE)
                 held, sizes, cids = [], [], []
@@ -106,18 +106,18 @@ def _sets(docs: DataFrame, cut: bool) -> DataFrame:
                 counts = np.array(list(map(len, held)), np.int64)
                 values = np.concatenate(held) if held else np.zeros(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes, pa.int32()), pa.array(cids, pa.int64()), lists], names=["doc_id", "n", "cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sizes)), b.column(1).slice(at, len(sizes)), pa.array(sizes, pa.int32()), pa.array(cids, pa.int64()), lists], names=["doc_id", "th", "n", "cid", "tokens"])
 
-    return docs.mapInArrow(work, "doc_id long, n int, cid long, tokens array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(work, "doc_id long, th long, n int, cid long, tokens array<long>")
 
 
-def _light_links(classes: DataFrame, most: int) -> DataFrame:
-    """Links (a, b) among classes of size `most` or less: subsets met by a class of either size, each tied to the least class there."""
+def _light_labels(classes: DataFrame, most: int) -> DataFrame | None:
+    """Components of the links among classes of size `most` or less: subsets met by a class of either size, each tied to the least class there; None without links."""
 
     def work(batches):
         from itertools import combinations
 
-        for b in batches:
+        for b in _shingles.trimmed(batches):
             rows = []
             for cid, n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = np.array(own, np.int64).view(np.uint64)
@@ -134,7 +134,10 @@ def _light_links(classes: DataFrame, most: int) -> DataFrame:
     keys = materialise(keys, "subsets")
     met = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"))
     met = met.filter("c > 1").select(F.col("key").alias("k"), "hub", "lo", "hi")
-    return keys.join(met, F.col("key") == F.col("k")).filter("cid <> hub AND (n = m OR lo <> hi)").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    links = materialise(keys.join(met, F.col("key") == F.col("k")).filter("cid <> hub AND (n = m OR lo <> hi)").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "light_links")
+    labels = components(links) if rows_of(links) else None
+    discard(keys, links)
+    return labels
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,7 +156,9 @@ def _candidate_classes(heavy: DataFrame) -> DataFrame:
     listed = heavy.select("cid", "n", F.explode(F.expr(f"slice(tokens, 1, n - CAST(ceil({SIMILAR} * n / 100D - 1e-9) AS INT) + 1 + n DIV 10)")).alias("t"))
     common = materialise(listed.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t"), "common")
     met = listed.join(small(common, BROADCAST), "t").groupBy("cid", "n").agg(F.count("*").alias("s"))
-    return materialise(met.filter("s > n DIV 10").select("cid"), "candidates")
+    out = materialise(met.filter("s > n DIV 10").select("cid"), "candidates")
+    discard(common)
+    return out
 
 
 def _ordering(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +192,7 @@ def _ordered(sets: DataFrame, table: np.ndarray, frequent: np.ndarray) -> DataFr
 
     def work(batches):
         bits, late = held.value
-        for b in batches:
+        for b in _shingles.trimmed(batches):
             every, lates, prefixes = [], [], []
             for n, own in zip(b.column(1).to_pylist(), b.column(2)):
                 own = np.asarray(own.values)
@@ -206,19 +211,21 @@ def _ordered(sets: DataFrame, table: np.ndarray, frequent: np.ndarray) -> DataFr
     return sets.select("cid", "n", "tokens").mapInArrow(work, "cid long, n int, tokens array<long>, late array<long>, prefix array<long>")
 
 
-def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
-    """Links among the large classes, as written tables; enough of them to connect whatever is linked."""
+def _heavy_labels(docs: DataFrame, heavy: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """The components of `labels` (node, label) joined by the links among the large classes; None if there are no links at all."""
     chosen = _candidate_classes(heavy)
     own = materialise(heavy.join(small(chosen, BROADCAST), "cid").select("cid", F.col("rep").alias("r")), "chosen")
     # the sets are read from the texts again, for the chosen classes' first documents only
-    texts = docs.join(small(own.select("r").distinct(), BROADCAST), F.col("doc_id").eqNullSafe(F.col("r"))).select("doc_id", "text")
-    sets = _sets(texts, cut=False).join(small(own.select("cid"), BROADCAST), "cid").select("cid", "n", "tokens")
+    texts = docs.join(small(own.select("r").distinct(), BROADCAST, own), F.col("doc_id").eqNullSafe(F.col("r"))).select("doc_id", "th", "text")
+    sets = _sets(texts, cut=False).join(small(own.select("cid"), BROADCAST, own), "cid").select("cid", "n", "tokens")
     sets = materialise(sets, "sets")
-    if sets.count() != own.count():  # rows that share id and text
-        sets = materialise(sets.dropDuplicates(["cid"]), "sets1")
+    if rows_of(sets) != rows_of(own):  # rows that share id and text
+        once = materialise(sets.dropDuplicates(["cid"]), "sets1")
+        discard(sets)
+        sets = once
     table, frequent = _ordering(sets)
     ordered = materialise(_ordered(sets, table, frequent), "ordered")
-    discard(sets)
+    discard(sets, own, chosen)
     sets = ordered
     # a prefix has its rare shingles first, so those from place u - l on are the frequent ones
     index = sets.select(F.posexplode("prefix").alias("at", "t"), "cid", "n", F.size("tokens").alias("u"), F.size("late").alias("l"))
@@ -227,35 +234,42 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
     # only lists of shingles that the order puts last: what `_still_open` leaves out rests on that
     met = met.select("t", ((F.col("c") > FREQUENT) & F.col("is_late")).alias("long"))
     lists = materialise(index.drop("is_late").join(met, "t").withColumn("share", F.col("u") / F.col("n")), "lists")
-    postings = lists.count()
-    links: list[DataFrame] = []
-    seen = labels = info = None
+    postings = rows_of(lists)
+    done = [ordered, lists]
+    seen = info = None
     near = f"100 * least(n, hn) >= {SIMILAR} * greatest(n, hn) AND {100 + SIMILAR} * least(u, hu) >= {SIMILAR} * (n + hn)"
     had = math.inf
     for turn in range(HUB_ROUNDS + 1):
-        now = lists.withColumn("label", F.col("cid")) if labels is None else lists.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
-        work = _open(now).agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        now = lists.withColumn("label", F.col("cid")) if labels is None else lists.join(small(labels, BROADCAST), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
+        still = materialise(_open(now), "open")
+        done.append(still)
+        work = still.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
         if not work:
             break
         ending = turn == HUB_ROUNDS or (turn > 0 and (work <= 2 * postings or work > had / 2))
         had = work
         if ending:
             now = _still_open(now, info)
-            now = materialise(now.join(_open(now).select(F.col("t").alias("t3")), F.col("t") == F.col("t3")).drop("t3"), "open")
+            now = materialise(now.join(_open(now).select(F.col("t").alias("t3")), F.col("t") == F.col("t3")).drop("t3"), "ending")
+            done.append(now)
             other = now.select(F.col("t").alias("t2"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("u").alias("hu"), F.col("label").alias("hl"), F.col("shared").alias("hs"), F.col("beyond").alias("hb"))
             reach = F.expr(f"shared IS NULL OR hs IS NULL OR {100 + SIMILAR} * (least(shared, hs) + least(beyond, hb)) >= {SIMILAR} * (n + hn)")
             pairs = now.join(other, (F.col("t") == F.col("t2")) & (F.col("cid") < F.col("hub")) & (F.col("label") != F.col("hl")) & F.expr(near) & reach)
         else:
-            now = now.join(_open(now).select("t"), "t")
+            now = now.join(small(still.select("t"), BROADCAST), "t")
             order = F.struct("share", "cid", "n", "u", "label") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "cid").alias("share"), "cid", "n", "u", "label")
             hubs = now.groupBy("t").agg(F.max(order).alias("h")).select(F.col("t").alias("t2"), F.col("h.cid").alias("hub"), F.col("h.n").alias("hn"), F.col("h.u").alias("hu"), F.col("h.label").alias("hl"))
-            pairs = now.join(hubs, F.col("t") == F.col("t2")).filter(F.col("label") != F.col("hl"))
+            pairs = now.join(small(hubs, BROADCAST // 2, still), F.col("t") == F.col("t2")).filter(F.col("label") != F.col("hl"))
             pairs = pairs.filter(F.col("long") | F.expr(near)) if turn == 0 else pairs.filter(near)
         pairs = pairs.select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         tested = materialise(_overlaps(pairs, sets), f"tested{turn}")
-        links.append(tested.filter("linked").select("a", "b"))
+        done.append(tested)
+        linked = tested.filter("linked").select("a", "b")
+        if linked.limit(1).count():
+            had_labels, labels = labels, components(linked, labels)
+            discard(*([had_labels] if had_labels is not None else []))
         if ending:
             break
         if turn == 0:
@@ -263,11 +277,8 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame) -> list[DataFrame]:
             info = (firsts, tested.select(F.col("a").alias("a4"), F.col("b").alias("b4"), "shared", "beyond"))
         both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = both if seen is None else seen.unionByName(both)
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        labels = components(every)
-    return links
+    discard(*done)
+    return labels
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -297,16 +308,9 @@ def _still_open(lists: DataFrame, info) -> DataFrame:
     return known.unionByName(rest)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: `doc_id`, `n_shingles`, `component_id`.
-
-    Defined results: null and empty texts have no shingles, are linked with
-    nothing and form their own component; rows with equal sets are linked; a
-    component bears its least document id (null if it has none); repeated ids
-    are separate rows; an empty table gives an empty result; other columns are
-    not read.
-    """
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("text"))
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row of `docs`: `doc_id`, `th` (a hash of its text), `n` and, unless it has no shingles, its component's `label` and least id `component_id`."""
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("text")).withColumn("th", F.xxhash64("text"))
     cut = materialise(_sets(docs, cut=True), "cut")
     classes = cut.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = materialise(classes, "classes")
@@ -314,31 +318,65 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     most = boundary(sizes)
     reps = cut.filter("n > 0").select("cid", "n", "tokens", F.col("doc_id").alias("d")).join(classes.select(F.col("cid").alias("c"), "rep"), (F.col("cid") == F.col("c")) & F.col("d").eqNullSafe(F.col("rep"))).drop("c", "d")
     light = materialise(reps.filter(f"n <= {most}").dropDuplicates(["cid"]), "light")
-    links = [materialise(_light_links(light, most), "light_links")] if most else []
+    labels = _light_labels(light, most) if most else None
     heavy = reps.filter(f"n >= {max(needed(most + 1), 1)}")
     if cut.groupBy("cid", "doc_id").count().filter("count > 1").limit(1).count():
         heavy = heavy.dropDuplicates(["cid"])
-    links += _heavy_links(docs, heavy)
-    every = classes.filter("false").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    for x in links:
-        every = every.unionByName(x)
-    labels = components(every)
-    named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
+    labels = _heavy_labels(docs, heavy, labels)
+    discard(light)
+    named = classes.withColumn("label", F.col("cid"))
+    if labels is not None:
+        named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     named = materialise(named, "named")
+    discard(classes, *([labels] if labels is not None else []))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(least, "label").select(F.col("cid").alias("c"), "component_id")
-    out = cut.select("doc_id", "n", "cid").join(by_class, (F.col("cid") == F.col("c")) & (F.col("n") > 0), "left")
+    by_class = named.join(least, "label").select(F.col("cid").alias("c"), "label", "component_id")
+    return cut.select("doc_id", "th", "n", "cid").join(by_class, (F.col("cid") == F.col("c")) & (F.col("n") > 0), "left").select("doc_id", "th", "n", "label", "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of `docs`: `doc_id`, `n_shingles`, `component_id`.
+
+    Defined results: null and empty texts have no shingles, are linked with
+    nothing and form their own component; rows with equal sets are linked; a
+    component bears its least document id (null if it has none); repeated ids
+    are separate rows; an empty table gives an empty result; other columns are
+    not read, whatever they are called.
+    """
+    out = _labelled(docs, id_col, text_col)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without copies: of each component the row with its least id (of rows that share it, one)."""
-    found = similar_documents(docs, id_col, text_col)
-    stays = found.filter("doc_id <=> component_id OR n_shingles = 0").select(F.col("doc_id").alias("__bv_id")).distinct()
-    kept = docs.join(stays, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bv_id"))).drop("__bv_id")
-    if docs.groupBy(f"`{id_col}`").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates()
-    return kept
+    """The rows of `docs` without copies: of each component one row stays.
+
+    That is the row with the least id (null ids last), of equal ids the one
+    whose text has the least hash. Rows without shingles are linked with
+    nothing and stay, but rows that share id and text are one document's
+    repeats, of which the first by their other columns stays. A row is known by
+    its id and a hash of its text, so an id may be used for several texts.
+    """
+    found = materialise(_labelled(docs, id_col, text_col), "found")
+    chosen = found.filter("n > 0").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
+    stays = chosen.unionByName(found.filter("n = 0").select("doc_id", "th").distinct())
+    repeats = found.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count()
+    i, h, nth = (fresh_name(x, docs.columns) for x in ("stay_id", "stay_hash", "nth"))
+    stays = stays.select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    own = (F.col(f"`{id_col}`").cast("long"), F.xxhash64(text_of(F.col(f"`{text_col}`"))))
+    kept = docs.join(stays, own[0].eqNullSafe(F.col(i)) & (own[1] == F.col(h)))
+    if repeats:
+        order = [F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)]
+        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(i, h).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)
+    return kept.drop(i, h)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    """Whether Spark can't order by a column of this type."""
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

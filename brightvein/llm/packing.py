@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shingles
-from ._encode import Table, encoder, hashes
+from ._encode import Table, encoder
 from ._shared import discard, materialise, text_of
 
 SEQUENCE = 1024
@@ -51,8 +51,6 @@ SEED = np.uint64(0x51ED270B7F1A93C5)
 COMMON = 0.1
 #: Neighbours sorted at first; where a window takes more, so many times more are.
 FIRST_NEIGHBOURS, MORE = 64, 8
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 #: Bits of a word's hash; the rest of a 64-bit number holds a document's place in a step or shard, so sorts are of plain numbers.
@@ -61,16 +59,8 @@ TERM_BITS, PLACE_BITS = 42, 22
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (1 or more) of all words (runs of letters, digits and bytes above ASCII; A-Z as a-z), and how many each text has."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _shingles.ALNUM[data]
-    begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
-    begins[cuts] = inside[1:-1][cuts]
-    ends[cuts - 1] = inside[1:-1][cuts - 1]
-    start = np.flatnonzero(begins)
-    found = hashes(_LOWER[data], start, np.flatnonzero(ends) + 1 - start) >> np.uint64(64 - TERM_BITS)
-    return np.maximum(found, np.uint64(1)), np.diff(np.searchsorted(start, offsets))
+    _, _, found, first = _shingles.words(data, offsets, _shingles.ALNUM)
+    return np.maximum(found >> np.uint64(64 - TERM_BITS), np.uint64(1)), np.diff(first)
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -346,7 +336,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for b in _shingles.trimmed(batches):
             keys = b.column(0)
-            for at, data, offsets in _shingles.steps(b.column(1), 1 << 20):
+            for at, data, offsets in _shingles.steps(b.column(1)):
                 ids, n = enc.encode_bytes(data, offsets, end=True)
                 t, m = words(data, offsets)
                 names += keys.slice(at, len(n)).to_pylist()
