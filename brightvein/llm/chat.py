@@ -24,11 +24,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shingles import trimmed
+
 HEAD, MIDDLE, END = b"### ", b": ", b" </turn>\n"
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 TRAINED = "assistant"
 _ESCAPE = 92
 _IN_TEXT = np.isin(np.arange(256), [ord("\\"), ord("#"), ord("<")])
@@ -75,6 +78,16 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return buffer, edge, start, start + tl
 
 
+def _steps(batch: pa.RecordBatch):
+    """The batch in slices of about PART_BYTES of text, unless one turn alone is longer: what is assembled at once."""
+    sizes = np.cumsum([x or 0 for x in pc.binary_length(batch.column(3)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 _PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("turns", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
@@ -86,30 +99,31 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     texts in the part's text.
     """
     own = turns.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), *(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(a) for c, a in ((role_col, "role"), (text_col, "text"))))
-    own = own.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
+    own = own.repartitionByRange("conv_id", "turn", F.left("role", F.lit(64)), F.left("text", F.lit(64))).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def work(batches):
         from pyspark import TaskContext
 
         task, part = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            buffer, edge, start, end = assemble(b.column(2), b.column(3))
-            conv = np.array([-(1 << 63) if x is None else x for x in b.column(0).to_pylist()], np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], (conv[1:] != conv[:-1]) | (edge[1:-1] // PART_BYTES != edge[:-2] // PART_BYTES)]))
-            to = np.append(cut[1:], len(conv))
-            points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
-            trains = np.array([x == trained for x in b.column(2).to_pylist()])
-            picked = np.flatnonzero(trains)
-            which = np.searchsorted(cut, picked, "right") - 1
-            base = points[edge[cut]][which]
-            spans = pa.StructArray.from_arrays([pa.array(points[start[picked]] - base), pa.array(points[end[picked]] - base)], names=["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(picked, np.append(cut, len(conv))).astype(np.int32)), spans)
-            text = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(np.append(edge[cut], edge[-1]).astype(np.int32)), pa.py_buffer(buffer)])
-            ids = pa.array(conv[cut], mask=conv[cut] == -(1 << 63))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(task + part + np.arange(len(cut))), pa.array(to - cut), text, lists], schema=_PARTS)
-            part += len(cut)
+        for whole in trimmed(batches):
+            for b in _steps(whole):
+                buffer, edge, start, end = assemble(b.column(2), b.column(3))
+                if len(buffer) >= 1 << 31:
+                    raise ValueError("a turn of 2 GB or more does not fit a text column")
+                null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+                conv = b.column(0).fill_null(0).to_numpy()
+                cut = np.flatnonzero(np.concatenate([[True], (conv[1:] != conv[:-1]) | (null[1:] != null[:-1]) | (edge[1:-1] // PART_BYTES != edge[:-2] // PART_BYTES)]))
+                to = np.append(cut[1:], len(conv))
+                points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80, dtype=np.int32)])
+                trains = np.array([x == trained for x in b.column(2).to_pylist()])
+                picked = np.flatnonzero(trains)
+                which = np.searchsorted(cut, picked, "right") - 1
+                base = points[edge[cut]][which]
+                spans = pa.StructArray.from_arrays([pa.array((points[start[picked]] - base).astype(np.int64)), pa.array((points[end[picked]] - base).astype(np.int64))], names=["start", "end"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(picked, np.append(cut, len(conv))).astype(np.int32)), spans)
+                text = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(np.append(edge[cut], edge[-1]).astype(np.int32)), pa.py_buffer(buffer)])
+                yield pa.RecordBatch.from_arrays([pa.array(conv[cut], mask=null[cut]), pa.array(task + part + np.arange(len(cut))), pa.array(to - cut), text, lists], schema=_PARTS)
+                part += len(cut)
 
     return own.mapInArrow(work, "conv_id long, part long, turns long, text string, loss array<struct<start:long,end:long>>")
 
@@ -147,7 +161,7 @@ def chat_digests(parts: DataFrame) -> DataFrame:
         fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
         done = lambda s: (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5])
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], schema=pa.schema(fields))
-        for b in batches:
+        for b in trimmed(batches):
             rows = []
             for conv, text, loss in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if state is None or conv != now:

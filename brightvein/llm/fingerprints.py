@@ -6,9 +6,10 @@ terms in it are made distinct, sorted, and hashed once for each of several
 random subsets of the lexicon. Two fingerprints are as alike as the share of
 subsets on which they agree.
 
-Document frequencies are counted over all documents by hashed term (2**BITS
-slots), so the lexicon is a bit table of fixed size whatever the corpus: 128 KB
-for 20 bits. It travels inside the plan as one literal.
+Document frequencies are counted exactly, by 64-bit term hash, over all
+documents. The lexicon holds at most (mean distinct terms a document) /
+BAND[0] terms, whatever the corpus; it travels inside the plan as two literal
+arrays, the terms by bucket and where each bucket begins.
 
 Defined results: null and empty texts have no terms and share one fingerprint;
 where a subset holds none of a text's terms, all its distinct terms are hashed
@@ -18,12 +19,13 @@ fingerprints; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialise, small, text_of, words_of
+from ._shared import discard, fresh_name, materialise, small, text_of, words_of
 
-BITS = 20
 #: Shares of documents between which a term is kept.
 BAND = (0.002, 0.25)
 SUBSETS = 8
@@ -38,32 +40,48 @@ def _hashed_words(text: Column) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def build_lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, bits: int = BITS) -> Column:
-    """The lexicon as an array literal of 64-bit words, one bit a slot."""
-    slots = F.array_distinct(F.transform(words_of(F.lower(text_of(F.col(f"`{text_col}`")))), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << bits) - 1))))
-    counts = materialise(docs.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("df")), "df")
+@dataclass(frozen=True)
+class Lexicon:
+    """Terms by bucket (their low bits), ascending within, and where the buckets begin, as texts of numbers."""
+
+    terms: str
+    starts: str
+    buckets: int
+
+
+def lexicon_of(hashes: list[int]) -> Lexicon:
+    buckets = 1 << max(4, (2 * len(hashes)).bit_length())
+    own = sorted(hashes, key=lambda h: (h & (buckets - 1), h))
+    starts, at = [], 0
+    for b in range(buckets + 1):
+        while at < len(own) and own[at] & (buckets - 1) < b:
+            at += 1
+        starts.append(at)
+    return Lexicon(",".join(map(str, own)), ",".join(map(str, starts)), buckets)
+
+
+def build_lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> Lexicon:
+    """The terms whose share of documents lies in the band; with very few documents, also those of one document."""
+    found = F.array_distinct(_hashed_words(text_of(F.col(f"`{text_col}`"))))
+    counts = materialise(docs.select(F.explode(found).alias("h")).groupBy("h").agg(F.count("*").alias("df")), "df")
     n = docs.count()
-    rows = (
-        counts.filter((F.col("df") >= F.lit(band[0] * n)) & (F.col("df") <= F.lit(max(band[1] * n, 1.0))))
-        .groupBy(F.shiftright("slot", 6).alias("at"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("w"))
-        .collect()
-    )  # at most 2**bits / 64 rows
+    rows = counts.filter((F.col("df") >= F.lit(band[0] * n)) & (F.col("df") <= F.lit(max(band[1] * n, 1.0)))).collect()  # bounded as the lexicon is
     discard(counts)
-    table = [0] * (1 << (bits - 6))
-    for r in rows:
-        table[r["at"]] = r["w"]
-    return F.lit(",".join(map(str, table)))
+    return lexicon_of([r["h"] for r in rows])
 
 
-def signatures(text: Column, lexicon: Column, bits: int = BITS, subsets: int = SUBSETS, keep_one_in: int = KEEP_ONE_IN) -> list[tuple[str, Column]]:
-    """Columns to add one after the other; the last, `sigs`, is the array of subset hashes."""
+def signatures(text: Column, lexicon: Lexicon, names: dict[str, str], subsets: int = SUBSETS, keep_one_in: int = KEEP_ONE_IN) -> list[tuple[str, Column]]:
+    """Columns to add one after the other, under `names`; the last, `sigs`, is the array of subset hashes."""
     width = keep_one_in.bit_length() - 1
-    table = F.split(lexicon, ",").cast("array<bigint>")
-    slot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1))
-    listed = lambda h: F.get(table, F.shiftright(slot(h), 6).cast("int"))
-    bit = lambda h: F.expr("1L") == F.call_function("shiftrightunsigned", listed(h), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    hashes, terms, dealt = F.col("__fp_hashes"), F.col("__fp_terms"), F.col("__fp_dealt")
+    terms_of = F.split(F.lit(lexicon.terms), ",").try_cast("array<bigint>")
+    starts = F.split(F.lit(lexicon.starts), ",").cast("array<int>")
+
+    def listed(h: Column) -> Column:
+        bucket = h.bitwiseAND(F.lit(lexicon.buckets - 1)).cast("int")
+        first, end = F.get(starts, bucket), F.get(starts, bucket + 1)
+        return (end > first) & F.array_contains(F.slice(terms_of, first + 1, end - first), h)
+
+    hashes, terms, dealt = (F.col(names[k]) for k in ("hashes", "terms", "dealt"))
     whole = F.xxhash64(F.array_sort(F.array_distinct(hashes)))
 
     def subset(k: int) -> Column:
@@ -71,19 +89,20 @@ def signatures(text: Column, lexicon: Column, bits: int = BITS, subsets: int = S
         return F.xxhash64(F.lit(k), F.when(F.exists(dealt, lambda t: F.shiftrightunsigned(t["g"], width * k).bitwiseAND(F.lit(keep_one_in - 1)) == 0), F.xxhash64(F.transform(own, lambda t: t["h"]))).otherwise(whole))
 
     return [
-        ("__fp_hashes", _hashed_words(text)),
-        ("__fp_terms", F.array_sort(F.array_distinct(F.filter(hashes, bit)))),
-        ("__fp_dealt", F.transform(terms, lambda h: F.struct(h.alias("h"), F.xxhash64(F.lit(SEED), h).alias("g")))),
+        ("hashes", _hashed_words(text)),
+        ("terms", F.array_sort(F.array_distinct(F.filter(hashes, listed)))),
+        ("dealt", F.transform(terms, lambda h: F.struct(h.alias("h"), F.xxhash64(F.lit(SEED), h).alias("g")))),
         ("sigs", F.array(*(subset(k) for k in range(subsets)))),
     ]
 
 
-def with_fingerprint(df: DataFrame, lexicon: Column, text_col: str = "text", out: str = "sigs") -> DataFrame:
-    """`df` with the subset hashes of its text in `out`."""
-    keep = df.columns
-    for name, col in signatures(text_of(F.col(f"`{text_col}`")), lexicon):
-        df = df.withColumn(out if name == "sigs" else name, col)
-    return df.select(*(F.col(f"`{c}`") for c in keep if c != out), out)
+def with_fingerprint(df: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "sigs") -> DataFrame:
+    """`df` with the subset hashes of its text in `out`, which takes the place of a column of that name; other columns stay."""
+    keep = [c for c in df.columns if c.lower() != out.lower()]
+    names = {k: fresh_name(f"__fp_{k}", [*df.columns, out]) for k in ("hashes", "terms", "dealt", "sigs")}
+    for name, col in signatures(text_of(F.col(f"`{text_col}`")), lexicon, names):
+        df = df.withColumn(names[name], col)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(names["sigs"]).alias(out))
 
 
 def printed(sigs: Column) -> Column:

@@ -1,15 +1,20 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Texts are read as words of letters and digits, lower-cased. For each template
-length L, windows of 2L words start every L words, so any L words in a row lie
-whole in some window. Window and template are compared on `HASHES` minima of
-their word shingles, one to a band: a template that lies in a window has a
-Jaccard likeness of about a half, so all bands miss it with a chance of about
-2**-HASHES; one of which a window holds four fifths has a likeness of about
-0.36 and is missed with a chance of about 2e-5. Retrieved pairs are then
-verified on the words themselves: the share of the template's shingles that
-the window holds must reach `CONTAINED`, and the words that tell its licence
-from its siblings (`TELLING`) must be there.
+Texts are read as words of letters and digits, lower-cased. Templates are put in
+classes by length, C words in each class (C / GROWTH < length <= C). For a
+class, windows of 2C words start every C words, so any C words in a row lie
+whole in some window. A window's signature is the least value of each of
+`BANDS` hash functions over its word shingles, one row to a band; each band is
+a sorted table from value to templates, so a window costs a look-up a band
+whatever the number of templates.
+
+A window that holds the share c of a template's S shingles is as alike to it as
+c S / (2C + (1 - c) S) or more, with S >= C / GROWTH - SHINGLE + 1; `least_likeness`
+gives the least over all classes, 0.2 for c = 0.8, and all bands miss a pair
+with a chance of (1 - likeness) ** BANDS, below 1e-6 (below 1e-8 for
+exact copies). Retrieved pairs are then verified on the words themselves: the
+share of the template's shingles that the window holds must reach `CONTAINED`,
+and the words that tell its licence from its siblings (`TELLING`) must be there.
 
 Notices of sibling licences differ in a few words. Where matches of different
 licences cover the same words, the best contained one stays, then the longest.
@@ -23,6 +28,7 @@ shortest stretch that holds all the template's shingles that the window holds.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -34,7 +40,8 @@ from . import _shingles
 from ._shared import text_of
 
 SHINGLE = 3
-HASHES = 24
+BANDS = 64
+GROWTH = 1.25
 CONTAINED = 0.8
 #: Notices as their publishers word them.
 TEMPLATES = {
@@ -58,6 +65,13 @@ TEMPLATES = {
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mit-warranty-text": 'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.',
+    "bsd-warranty-text": 'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.',
+    "bsd-3-clause-text": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-text": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0-header": "Distributed under the Boost Software License, Version 1.0.",
+    "0bsd-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 #: Words in a row that a match of a licence's templates must have, where the template itself has them.
@@ -72,12 +86,13 @@ TELLING = {
     "lgpl-2.1": ("gnu lesser general public license", "version 2 1"),
     "lgpl-3.0": ("gnu lesser general public license", "version 3"),
     "agpl-3.0": ("gnu affero general public license", "version 3"),
+    "bsl-1.0": ("boost software license", "version 1 0"),
     "mit": ("mit license",),
     "mpl-2.0": ("mozilla public license", "v 2 0"),
 }
 _WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 _rng = np.random.default_rng(77)
-_ODD = _rng.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(1, 1 << 62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -94,26 +109,47 @@ def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Matcher:
-    """The templates' minima by length class, and the verification of what they retrieve."""
+    """The band index over the templates, by length class, and the verification of what it retrieves."""
 
     def __init__(self, templates: dict[str, str], contained: float):
         self.contained = contained
-        self.names, self.sets, self.telling, self.classes = list(templates), [], [], {}
+        self.names, self.sets, self.telling, sizes = list(templates), [], [], []
         for i, text in enumerate(templates.values()):
             words = [w for w, _, _ in tokens(text)]
             if len(words) < SHINGLE:
                 raise ValueError(f"{self.names[i]}: a template needs {SHINGLE} words")
             self.sets.append(shingle_set(words))
             self.telling.append([p for p in TELLING.get(licence_of(self.names[i]), ()) if f" {p} " in f" {' '.join(words)} "])
-            self.classes.setdefault(len(words), []).append(i)
-        self.minima = {}
-        for length, members in self.classes.items():
-            rows = []
-            for i in members:
-                for _, data, offsets in _shingles.steps(pa.array([list(templates.values())[i]])):
-                    _, _, h, first = _shingles.words(data, offsets, _shingles.ALNUM)
-                    rows.append((_shingles.shingles(h, first, SHINGLE)[0][:, None] * _ODD).min(0))
-            self.minima[length] = np.array(rows)
+            sizes.append(len(words))
+        #: class length -> its templates; classes end at lengths that occur
+        self.classes: dict[int, list[int]] = {}
+        top = math.inf
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            if not self.classes or sizes[i] * GROWTH <= top:
+                top = sizes[i]
+            self.classes.setdefault(top, []).append(i)
+        #: per class and band the values, ascending, and the template of each
+        self.bands = {length: self._bands([list(templates.values())[i] for i in members], members) for length, members in self.classes.items()}
+
+    @staticmethod
+    def _bands(texts: list[str], members: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows = []
+        for text in texts:
+            least = np.full(BANDS, np.iinfo(np.uint64).max, np.uint64)
+            for _, data, offsets in _shingles.steps(pa.array([text])):
+                _, _, h, first = _shingles.words(data, offsets, _shingles.ALNUM)
+                least = np.minimum(least, (_shingles.shingles(h, first, SHINGLE)[0][:, None] * _ODD).min(0))
+            rows.append(least)
+        out = []
+        for values in np.array(rows).T:
+            order = np.argsort(values, kind="stable")
+            out.append((values[order], np.array(members)[order]))
+        return out
+
+    def least_likeness(self) -> float:
+        """Of a window and a template of which it holds the share `contained`, over all classes."""
+        own = lambda t, length: self.contained * len(self.sets[t]) / (2 * length + (1 - self.contained) * len(self.sets[t]))
+        return min(own(t, length) for length, members in self.classes.items() for t in members)
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
         """Per text: (template, first word, last word) of the windows retrieved."""
@@ -129,19 +165,18 @@ class Matcher:
             owner = np.repeat(np.arange(len(blocks)), blocks)
             nth = np.arange(edge[-1]) - edge[owner]
             grids[length] = (at[owner] + nth * length, owner, nth, np.append(owner[1:] == owner[:-1], False))
-        hit = {length: np.zeros((len(m), len(grids[length][0])), bool) for length, m in self.minima.items()}
-        for k in range(HASHES):
+        for k in range(BANDS):
             value = grams * _ODD[k]
-            for length, m in self.minima.items():
-                begins, _, _, follows = grids[length]
+            for length, bands in self.bands.items():
+                begins, owner, nth, follows = grids[length]
                 low = np.minimum.reduceat(value, begins)
                 pair = np.where(follows, np.minimum(low, np.append(low[1:], low[-1:])), low)
-                for j in range(len(m)):
-                    hit[length][j] |= (pair == m[j, k]) | (low == m[j, k])
-        for length, members in self.classes.items():
-            _, owner, nth, _ = grids[length]
-            for j, b in zip(*np.nonzero(hit[length])):
-                found.setdefault(int(owner[b]), set()).add((members[j], int(nth[b]) * length, (int(nth[b]) + 2) * length + SHINGLE - 1))
+                values, templates = bands[k]
+                for seen in (pair, low):
+                    lo, hi = np.searchsorted(values, seen, "left"), np.searchsorted(values, seen, "right")
+                    for w in np.flatnonzero(hi > lo).tolist():
+                        for t in templates[lo[w] : hi[w]].tolist():
+                            found.setdefault(int(owner[w]), set()).add((t, int(nth[w]) * length, (int(nth[w]) + 2) * length + SHINGLE - 1))
         return found
 
     def verified(self, text: str, candidates: set[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
@@ -194,7 +229,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def scan(batches):
         matcher = Matcher(templates, contained)
-        for b in batches:
+        for b in _shingles.trimmed(batches):
             ids, texts = b.column(0), b.column(1)
             rows = []
             for at, data, offsets in _shingles.steps(texts):

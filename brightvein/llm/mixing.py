@@ -80,11 +80,26 @@ def _settle(seed: int, level: int) -> Column:
     return F.expr(f"aggregate(items, named_struct('c', {none}, 'out', CAST(array() AS {_DONE})), (acc, x) -> {step})")
 
 
+def _repeated(alike: DataFrame, times: Column, copies: Column) -> DataFrame:
+    """Each row `times` times, made in arrays of bounded length."""
+    rows = alike.select("source", "doc_id", "size", copies.cast("long").alias("copies"), times.cast("long").alias("times")).filter("times > 0")
+    rows = rows.withColumn("chunk", F.explode(F.expr("sequence(0L, (times - 1) DIV 4096)")))
+    return rows.select("source", "doc_id", "size", "copies", F.explode(F.expr("sequence(1L, least(4096L, times - chunk * 4096L))")).alias("nth")).drop("nth")
+
+
 def pivotal_copies(due: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Round `copies_due` (with `source`, `doc_id`, `size`) to whole `copies`; one row out for each row in."""
     whole = F.floor(F.col("copies_due") + EPS)
-    rows = due.withColumn("base", whole.cast("long")).withColumn("p", F.greatest(F.col("copies_due") - whole, F.lit(0.0)))
-    settled = [rows.filter(f"size = 0 OR p <= {EPS!r}D").select("source", "doc_id", "size", "base").withColumnRenamed("base", "copies")]
+    # rows that share source, id and size are alike: their fractions meet each other first, which leaves whole rows and one fraction at most
+    alike = due.groupBy("source", "doc_id", "size", "copies_due").agg(F.count("*").alias("rows"))
+    alike = alike.withColumn("base", whole.cast("long")).withColumn("p", F.greatest(F.col("copies_due") - whole, F.lit(0.0)))
+    alike = alike.withColumn("up", F.floor(F.col("rows") * F.col("p") + EPS).cast("long")).withColumn("left", F.greatest(F.col("rows") * F.col("p") - F.col("up"), F.lit(0.0)))
+    alike = alike.withColumn("left", F.when(F.col("left") > EPS, F.col("left")).otherwise(0.0))
+    alike = materialise(alike, "alike")
+    several = alike.filter("rows > 1")
+    settled = [_repeated(several, F.col("up"), F.col("base") + 1), _repeated(several, F.col("rows") - F.col("up") - (F.col("left") > 0).cast("long"), F.col("base"))]
+    rows = alike.filter("rows = 1 OR left > 0").withColumn("p", F.when(F.col("rows") > 1, F.col("left")).otherwise(F.col("p")))
+    settled += [rows.filter(f"size = 0 OR p <= {EPS!r}D").select("source", "doc_id", "size", "base").withColumnRenamed("base", "copies")]
     left = rows.filter(f"size > 0 AND p > {EPS!r}D").select("source", "doc_id", "size", "base", "p")
     level = 0
     while True:

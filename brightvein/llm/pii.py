@@ -26,7 +26,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import text_of
+from ._shared import fresh_name, text_of
 
 #: kind -> (pattern, condition on the match m)
 BASE = {
@@ -229,26 +229,51 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "span
     """`docs` with `out`: array<struct<k, s, e>> of base spans by kind, then the selected wide ones by kind and start."""
     trees, limits = model or train(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() != out.lower()]
-    df = docs.withColumn("__pii_text", text_of(F.col(f"`{text_col}`")))
-    for k, sql in _base("__pii_text").items():
-        df = df.withColumn(f"__pii_{k}", F.expr(sql))
-    df = df.withColumn("__pii_base", F.concat(*(f"__pii_{k}" for k in BASE)))
+    taken = [*docs.columns, out]
+    text, strict, wide = (fresh_name(f"__pii_{x}", taken) for x in ("text", "base", "wide"))
+    each = {k: fresh_name(f"__pii_{k}", taken) for k in BASE}
+    df = docs.withColumn(text, text_of(F.col(f"`{text_col}`")))
+    for k, sql in _base(text).items():
+        df = df.withColumn(each[k], F.expr(sql))
+    df = df.withColumn(strict, F.concat(*each.values()))
     total = " + ".join(_tree_sql(t, "y.f") for t in trees)
     limit = "CASE y.k " + " ".join(f"WHEN '{k}' THEN {('1e300' if math.isinf(v) else repr(v))}D" for k, v in limits.items()) + " END"
-    scored = f"transform({_candidates('__pii_text')}, y -> named_struct('k', y.k, 's', y.s, 'e', y.e, 'v', {total}, 'l', {limit}))"
-    df = df.withColumn("__pii_wide", F.expr(f"filter({scored}, y -> y.v >= y.l)"))
-    order = "array_sort(__pii_wide, (p, q) -> CASE WHEN p.v > q.v THEN -1 WHEN p.v < q.v THEN 1 WHEN p.s < q.s THEN -1 WHEN p.s > q.s THEN 1 WHEN p.e > q.e THEN -1 WHEN p.e < q.e THEN 1 ELSE 0 END)"
-    apart = "aggregate({o}, CAST(array() AS array<struct<k:string,s:int,e:int>>), (acc, y) -> IF(exists(acc, z -> z.s < y.e AND y.s < z.e) OR exists(__pii_base, z -> z.s < y.e AND y.s < z.e), acc, concat(acc, array(named_struct('k', y.k, 's', y.s, 'e', y.e)))))"
+    scored = f"transform({_candidates(text)}, y -> named_struct('k', y.k, 's', y.s, 'e', y.e, 'v', {total}, 'l', {limit}))"
+    df = df.withColumn(wide, F.expr(f"filter({scored}, y -> y.v >= y.l)"))
+    chosen = F.expr(f"CASE WHEN size({wide}) > 0 THEN {_chosen(wide, strict)} ELSE CAST(array() AS {_SPANS}) END")
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.concat(F.col(strict), chosen).alias(out))
+
+
+_SPANS = "array<struct<k:string,s:int,e:int>>"
+
+
+def _chosen(wide: str, strict: str) -> str:
+    """SQL for the selected wide spans: none that a base span overlaps, and of overlapping ones the most probable, then the leftmost.
+
+    Spans are put in order of their start and cut into runs that overlap in a
+    chain (base spans hold theirs); the choice is made within each run, so it
+    costs in proportion to the text unless spans overlap each other.
+    """
+    order = f"array_sort(concat(transform({strict}, z -> named_struct('s', z.s, 'e', z.e, 'b', true, 'k', '', 'v', 0D)), transform({wide}, y -> named_struct('s', y.s, 'e', y.e, 'b', false, 'k', y.k, 'v', y.v))), (p, q) -> CASE WHEN p.s <> q.s THEN p.s - q.s WHEN p.b <> q.b THEN IF(p.b, -1, 1) WHEN p.v <> q.v THEN IF(p.v > q.v, -1, 1) ELSE p.e - q.e END)"
+    ends = f"aggregate(chunk, named_struct('m', acc.m, 'o', CAST(array() AS array<int>)), (st, x) -> named_struct('m', greatest(st.m, x.e), 'o', concat(st.o, array(IF(x.s >= st.m, 1, 0))))) "
+    chunks = f"element_at(transform(array({order}), z -> transform(sequence(0, (size(z) - 1) DIV 256), c -> slice(z, c * 256 + 1, 256))), 1)"
+    marks = f"flatten(aggregate({chunks}, named_struct('m', -1, 'o', CAST(array() AS array<array<int>>)), (acc, chunk) -> element_at(transform(array({ends}), r -> named_struct('m', r.m, 'o', concat(acc.o, array(r.o)))), 1)).o)"
+    both = f"zip_with({order}, {marks}, (x, m) -> named_struct('x', x, 'm', m))"
+    heads = f"filter(transform({both}, (y, i) -> IF(y.m = 1, i, NULL)), i -> i IS NOT NULL)"
+    runs = f"element_at(transform(array(named_struct('z', {order}, 'h', {heads})), r -> zip_with(r.h, concat(slice(r.h, 2, size(r.h)), array(size(r.z))), (a, b) -> slice(r.z, a + 1, b - a))), 1)"
+    best = "array_sort(filter(run, y -> NOT y.b), (p, q) -> CASE WHEN p.v > q.v THEN -1 WHEN p.v < q.v THEN 1 WHEN p.s <> q.s THEN p.s - q.s ELSE p.e - q.e END)"
+    apart = f"aggregate({best}, filter(run, z -> z.b), (acc, y) -> IF(exists(acc, z -> z.s < y.e AND y.s < z.e), acc, concat(acc, array(y))))"
+    picked = f"flatten(transform({runs}, run -> IF(size(run) = 1, run, {apart})))"
     kinds = "array(" + ", ".join(f"'{k}'" for k in WIDE) + ")"
-    sort = "array_sort({a}, (p, q) -> CASE WHEN array_position({k}, p.k) <> array_position({k}, q.k) THEN CAST(array_position({k}, p.k) - array_position({k}, q.k) AS INT) ELSE p.s - q.s END)"
-    chosen = F.expr(f"CASE WHEN size(__pii_wide) > 0 THEN {sort.format(a=apart.format(o=order), k=kinds)} ELSE CAST(array() AS array<struct<k:string,s:int,e:int>>) END")
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.concat(F.col("__pii_base"), chosen).alias(out))
+    sort = f"array_sort(filter({picked}, y -> NOT y.b), (p, q) -> CASE WHEN p.k <> q.k THEN CAST(array_position({kinds}, p.k) - array_position({kinds}, q.k) AS INT) ELSE p.s - q.s END)"
+    return f"transform({sort}, y -> named_struct('k', y.k, 's', y.s, 'e', y.e))"
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[{}]") -> DataFrame:
     """`docs` with every span of its text replaced by its kind's mask; where spans overlap, the first to start wins."""
-    found = find_personal_data(docs, text_col, "__pii_spans")
-    sorted_spans = "array_sort(__pii_spans, (p, q) -> CASE WHEN p.s <> q.s THEN p.s - q.s ELSE q.e - p.e END)"
+    spans = fresh_name("__pii_spans", docs.columns)
+    found = find_personal_data(docs, text_col, spans)
+    sorted_spans = f"array_sort({spans}, (p, q) -> CASE WHEN p.s <> q.s THEN p.s - q.s ELSE q.e - p.e END)"
     left, right = mask.split("{}")
     body = f"aggregate({sorted_spans}, named_struct('p', 0, 't', ''), (acc, y) -> IF(y.s < acc.p, acc, named_struct('p', y.e, 't', concat(acc.t, substring(`{text_col}`, acc.p + 1, y.s - acc.p), '{left}', y.k, '{right}'))), acc -> concat(acc.t, substring(`{text_col}`, acc.p + 1)))"
     new = F.when(F.col(f"`{text_col}`").isNotNull(), F.expr(body))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, materialise, small, text_of, words_of
+from ._shared import SPACE, fresh_name, materialise, small, text_of, words_of
 
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -36,8 +36,8 @@ def text_counts(df: DataFrame, text_col: str = "text", prefix: str = "") -> Data
     The 8-word windows are hashed by doubling (1, 2, 4, 8 words); only texts in
     which some window repeats are sorted to find which words repeats cover.
     """
-    at = {k: f"__bv_{k}" for k in ("text", "words", "w1", "w2", "w4", "w8", "sorted", "places")}
     keep = df.columns
+    at = {k: fresh_name(f"__bv_{k}", keep) for k in ("text", "words", "w1", "w2", "w4", "w8", "sorted", "places", "lines")}
     df = df.withColumn(at["text"], text_of(F.col(f"`{text_col}`")))
     df = df.withColumn(at["words"], words_of(F.col(at["text"])))
     df = df.withColumn(at["w1"], F.transform(at["words"], lambda w: F.xxhash64(w)))
@@ -55,25 +55,25 @@ def text_counts(df: DataFrame, text_col: str = "text", prefix: str = "") -> Data
     df = df.withColumn(at["places"], F.when(F.col(at["sorted"]).isNotNull(), F.array_sort(F.array_compact(marked))))
     gaps = F.zip_with(at["places"], F.slice(at["places"], F.lit(2), F.greatest(F.size(at["places"]), F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))).cast("long"))
     lines = F.filter(F.split(F.col(at["text"]), "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    df = df.withColumn("__bv_lines", lines)
+    df = df.withColumn(at["lines"], lines)
     return df.select(
         *(F.col(f"`{c}`") for c in keep),
         F.size(at["words"]).cast("long").alias(prefix + "n_words"),
         F.length(F.regexp_replace(at["text"], SPACE, "")).cast("long").alias(prefix + "word_chars"),
         F.length(F.regexp_replace(at["text"], r"[^#*$%&|<>]+", "")).cast("long").alias(prefix + "n_symbols"),
-        (F.size("__bv_lines") - F.size(F.array_distinct("__bv_lines"))).cast("long").alias(prefix + "n_dup_lines"),
+        (F.size(at["lines"]) - F.size(F.array_distinct(at["lines"]))).cast("long").alias(prefix + "n_dup_lines"),
         F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")).alias(prefix + "n_repeat_words"),
     )
 
 
-def host_verdicts(judged: DataFrame, host_limit: float, prefix: str) -> DataFrame:
+def host_verdicts(judged: DataFrame, host_limit: float, host: str, fails: dict[str, str]) -> DataFrame:
     """One row per host: `host`, its documents, and whether any shrunk failure rate is above `host_limit`.
 
     The prior of each rule is a beta distribution fitted by moments to the
     hosts' rates, the binomial noise taken off their variance. It is one row of
     numbers, whatever the number of hosts.
     """
-    hosts = judged.groupBy(F.col(f"{prefix}host").alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.col(f"{prefix}fails_{r}").cast("long")).alias(f"f_{r}") for r in RULES))
+    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.col(fails[r]).cast("long")).alias(f"f_{r}") for r in RULES))
     hosts = materialise(hosts, "hosts")
     rate = {r: F.col(f"f_{r}") / F.col("n") for r in RULES}
     prior = hosts.agg(*(x for r in RULES for x in (F.avg(rate[r]).alias(f"m_{r}"), F.var_samp(rate[r]).alias(f"v_{r}"))), F.avg(1 / F.col("n")).alias("noise")).first()
@@ -94,17 +94,25 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     back, so the join's small side holds the few that fail.
     """
     carry = docs.columns if carry is None else carry
-    counted = text_counts(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col, host_col]))), text_col, prefix)
-    failed = {r: F.expr(_named(cond, prefix)) for r, cond in RULES.items()}
-    judged = counted.select(*(F.col(f"`{c}`") for c in carry), *(prefix + c for c in COUNTS), F.col(f"`{host_col}`").alias(f"{prefix}host"), *(failed[r].alias(f"{prefix}fails_{r}") for r in RULES))
+    taken = [*docs.columns, *(prefix + c for c in (*COUNTS, "base_failed", "kept"))]
+    if len({c.lower() for c in (*carry, *taken[len(docs.columns) :])}) < len(carry) + len(COUNTS) + 2:
+        raise ValueError("a carried column is named like a result; give a prefix")
+    inner = "__bv_n_"
+    while any(c.lower().startswith(inner) for c in taken):
+        inner = f"_{inner}"
+    host = fresh_name("__bv_host", taken)
+    fails = {r: fresh_name(f"__bv_fails_{r}", taken) for r in RULES}
+    other, flag = fresh_name("__bv_other", taken), fresh_name("__bv_condemned", taken)
+    counted = text_counts(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col, host_col]))), text_col, inner)
+    judged = counted.select(*(F.col(f"`{c}`") for c in carry), *(F.col(inner + c).alias(prefix + c) for c in COUNTS), F.col(f"`{host_col}`").alias(host), *(F.expr(_named(cond, inner)).alias(fails[r]) for r, cond in RULES.items()))
     judged = materialise(judged, "judged")
-    verdicts = host_verdicts(judged, host_limit, prefix)
-    condemned = materialise(verdicts.filter("condemned").select(F.col("host").alias("__bv_host"), F.lit(True).alias("__bv_condemned")), "condemned")
-    joined = judged.join(small(condemned, 100_000), F.col(f"{prefix}host").eqNullSafe(F.col("__bv_host")), "left")
+    verdicts = host_verdicts(judged, host_limit, host, fails)
+    condemned = materialise(verdicts.filter("condemned").select(F.col("host").alias(other), F.lit(True).alias(flag)), "condemned")
+    joined = judged.join(small(condemned, 100_000), F.col(host).eqNullSafe(F.col(other)), "left")
     base = F.lit(False)
     for r in BASE:
-        base = base | F.col(f"{prefix}fails_{r}")
-    kept = ~base & F.col("__bv_condemned").isNull()
+        base = base | F.col(fails[r])
+    kept = ~base & F.col(flag).isNull()
     return joined.select(*(F.col(f"`{c}`") for c in carry), *(prefix + c for c in COUNTS), base.alias(prefix + "base_failed"), kept.alias(prefix + "kept"))
 
 
@@ -116,8 +124,11 @@ def _named(cond: str, prefix: str) -> str:
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
     """The rows of `docs` that pass, with its own columns: what a filtering stage needs."""
-    judged = quality_rules(docs, text_col, host_col, host_limit=host_limit, prefix="__bv_q_")
-    return judged.filter("__bv_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = "__bv_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    judged = quality_rules(docs, text_col, host_col, host_limit=host_limit, prefix=prefix)
+    return judged.filter(F.col(f"{prefix}kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

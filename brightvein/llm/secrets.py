@@ -84,17 +84,23 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     holders = sorted([*secrets, *(x for x in base if x[2] in ("assign", "hex"))])
 
     def meets(parts: list, others: list) -> list:
-        """The parts that some interval of `others` comes within reach of: one sweep over both, in order of start."""
-        heads, widest = [o[0] for o in others], max((o[1] - o[0] for o in others), default=0)
-        out = []
-        for p in parts:
-            i = bisect.bisect_left(heads, p[0] - reach - widest)
-            while i < len(others) and heads[i] <= p[1] + reach:
-                o = others[i]
-                if o[1] >= p[0] - reach and scope(o) == scope(p) and o != p:
-                    out.append(p)
-                    break
+        """The parts that some other interval of their scope comes within reach of.
+
+        One sweep in order of start: per scope, of the intervals that begin
+        before a part's end plus reach, only the two that end last can matter
+        (one may be the part itself).
+        """
+        ends: dict[int, list] = {}
+        out, i = [], 0
+        for p in sorted(parts, key=lambda x: x[1]):
+            while i < len(others) and others[i][0] <= p[1] + reach:
+                own = ends.setdefault(scope(others[i]), [])
+                own.append(others[i])
+                if len(own) > 2:
+                    own.remove(min(own, key=lambda x: x[1]))
                 i += 1
+            if any(o[1] >= p[0] - reach and o != p for o in ends.get(scope(p), ())):
+                out.append(p)
         return out
 
     return [*meets(secrets, either), *meets(sorted([*endpoints, *named]), holders)]
@@ -110,7 +116,12 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "spans", reach: int = REACH, redact: str | None = None) -> DataFrame:
-    """`docs` with `out`, the spans of each text; with `redact`, a template such as "[{}]", also with the spans' text replaced by their kind."""
+    """`docs` with `out`, the spans of each text; with `redact`, a template such as "[{}]", also with the spans' text replaced by their kind.
+
+    A column of `docs` that is called like `out` gives way to it; the text column can't.
+    """
+    if out.lower() == text_col.lower():
+        raise ValueError("`out` is the text column")
     keep = [c for c in docs.columns if c.lower() != out.lower()]
     docs = docs.select(*(F.col(f"`{c}`") for c in keep))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, _SPANS)])
