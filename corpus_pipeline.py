@@ -7,9 +7,9 @@
 5. packing: what is left is packed into sequences; one row a piece.
 
 All stages but the last return the columns of `documents`. SQL can't express
-the stages from the third on, so there is no ORACLE_SQL. Tests hold the
-operators of some stages against brute force; of the stages themselves and of
-`run` they check names, columns, empty input and that there are rows.
+the stages from the third on, so there is no ORACLE_SQL; tests/llm holds each
+stage's rows against plain Python. An empty table gives an empty result, and
+extra columns, whatever they are called, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -18,32 +18,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightvein.llm import mixing, ngram_join, packing, quality, secrets
-from brightvein.llm._shared import discard, materialise
+from brightvein.llm._shared import discard, fresh_name, materialise
 
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the rules reject: null, empty and short texts, repetitive ones, and documents of condemned hosts (a null source is one). Repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the least id of each component, null ids last. Texts without a word stay; rows that share id and text are one."""
     return ngram_join.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`n_chars`, where the table has it, follows the redacted text."""
-    clean = secrets.find_secrets(docs, out="__bv_spans", redact="[{}]").drop("__bv_spans")
+    """Redacts; no row goes. Null texts stay null. `n_chars`, where the table has it, follows the redacted text."""
+    spans = fresh_name("spans", docs.columns)
+    clean = secrets.find_secrets(docs, out=spans, redact="[{}]").drop(spans)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return clean.select(*docs.columns)
+    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out rows as the mix says. Texts without a word have size 0 and go; null sources are one source, null ids stay null."""
     return mixing.mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece; repeated rows are packed one by one, null and empty texts are the end id alone, null ids stay null."""
     pieces = packing.pack_documents(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
