@@ -8,8 +8,8 @@ subsets on which they agree.
 
 Document frequencies are counted exactly, by 64-bit term hash, over all
 documents. The lexicon holds at most (mean distinct terms a document) /
-BAND[0] terms, whatever the corpus; it travels inside the plan as two literal
-arrays, the terms by bucket and where each bucket begins.
+BAND[0] terms, whatever the corpus; it travels inside the plan as literal
+arrays, the terms by bucket, and where each bucket begins and its size.
 
 Defined results: null and empty texts have no terms and share one fingerprint;
 where a subset holds none of a text's terms, all its distinct terms are hashed
@@ -19,6 +19,7 @@ fingerprints; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,24 +41,28 @@ def _hashed_words(text: Column) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
 
+#: Terms to a bucket of the lexicon, on average at most.
+IN_A_BUCKET = 8
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms by bucket (their low bits), ascending within, and where the buckets begin, as texts of numbers."""
+    """Terms by bucket (their low bits), and of each bucket its first place, from 1, and its size, as texts of numbers."""
 
     terms: str
-    starts: str
+    first: str
+    size: str
     buckets: int
 
 
 def lexicon_of(hashes: list[int]) -> Lexicon:
-    buckets = 1 << max(4, (2 * len(hashes)).bit_length())
-    own = sorted(hashes, key=lambda h: (h & (buckets - 1), h))
-    starts, at = [], 0
-    for b in range(buckets + 1):
-        while at < len(own) and own[at] & (buckets - 1) < b:
-            at += 1
-        starts.append(at)
-    return Lexicon(",".join(map(str, own)), ",".join(map(str, starts)), buckets)
+    buckets = 1 << max(4, (len(hashes) // IN_A_BUCKET).bit_length())
+    held: list[list[int]] = [[] for _ in range(buckets)]
+    for h in sorted(hashes):
+        held[h & (buckets - 1)].append(h)
+    sizes = [len(x) for x in held]
+    firsts = itertools.accumulate([1, *sizes[:-1]])
+    return Lexicon(*(",".join(map(str, x)) for x in (itertools.chain(*held), firsts, sizes)), buckets)
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> Lexicon:
@@ -74,12 +79,12 @@ def signatures(text: Column, lexicon: Lexicon, names: dict[str, str], subsets: i
     """Columns to add one after the other, under `names`; the last, `sigs`, is the array of subset hashes."""
     width = keep_one_in.bit_length() - 1
     terms_of = F.split(F.lit(lexicon.terms), ",").try_cast("array<bigint>")
-    starts = F.split(F.lit(lexicon.starts), ",").cast("array<int>")
+    # each literal is named once, so that plans hold it once
+    first, size = (F.split(F.lit(x), ",").cast("array<int>") for x in (lexicon.first, lexicon.size))
 
     def listed(h: Column) -> Column:
         bucket = h.bitwiseAND(F.lit(lexicon.buckets - 1)).cast("int")
-        first, end = F.get(starts, bucket), F.get(starts, bucket + 1)
-        return (end > first) & F.array_contains(F.slice(terms_of, first + 1, end - first), h)
+        return F.array_contains(F.slice(terms_of, F.get(first, bucket), F.get(size, bucket)), h)
 
     hashes, terms, dealt = (F.col(names[k]) for k in ("hashes", "terms", "dealt"))
     whole = F.xxhash64(F.array_sort(F.array_distinct(hashes)))
