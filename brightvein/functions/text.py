@@ -19,9 +19,9 @@ ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 
 
 def normalise_glyphs(text: Column) -> Column:
-    """Hyphens to `-`, a hyphen at a line's end closed up, ligatures spelt out, space variants to a space, invisibles and controls dropped."""
+    """Hyphens to `-`, a hyphen between letters at a line's end closed up (blanks around the line feed too), ligatures spelt out, space variants to a space, invisibles and controls dropped."""
     out = F.translate(text, HYPHENS, "--")
-    out = F.regexp_replace(out, r"([A-Za-z])-\n([A-Za-z])", "$1-$2")
+    out = F.regexp_replace(out, r"(?<=\p{L})-[ \t]*+\n[ \t]*+(?=\p{L})", "-")
     for glyph, letters in LIGATURES.items():
         out = F.replace(out, F.lit(glyph), F.lit(letters))
     out = F.translate(out, SPACES + INVISIBLE, " " * len(SPACES))
@@ -33,16 +33,47 @@ def join_digit_groups(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\d),(?=\d{2,3}(?!\d))", "")
 
 
+def for_analysis(text: Column) -> Column:
+    """Digit groups joined, and the closed-up spellings of hyphenated words after the text, so either spelling is found."""
+    joined = join_digit_groups(text)
+    parted = F.array_distinct(F.regexp_extract_all(joined, F.lit(r"(?<![\p{L}-])(\p{L}+(?:-\p{L}+)+)(?![\p{L}-])"), F.lit(1)))
+    return F.concat_ws(" ", joined, F.array_join(F.transform(parted, lambda w: F.replace(w, F.lit("-"), F.lit(""))), " "))
+
+
 def analysed(text: Column) -> Column:
     """Terms of a text or a query: lower case, words of letters, and numbers with their decimals."""
     return F.regexp_extract_all(F.lower(join_digit_groups(text)), F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)?)"), F.lit(1))
 
 
+def figures(text: Column) -> Column:
+    """A text's numerals in order, as exact canonical texts: sign, digits without leading zeros, fraction without trailing ones.
+
+    Commas may group digits in any way. A minus sign before the digits, or
+    parentheses that touch the number on both sides, make it negative.
+    """
+    signed = r"[(]?[-−–]?[0-9][0-9,]*(?:[.][0-9]+)?[)]?"
+    raw = F.regexp_extract_all(text, F.lit(f"({signed})"), F.lit(1))
+
+    def canonical(r: Column) -> Column:
+        plain = F.regexp_replace(r, r"[^0-9.]", "")
+        whole = F.regexp_replace(F.substring_index(plain, ".", 1), "^0+(?=[0-9])", "")
+        part = F.regexp_replace(F.when(F.contains(plain, F.lit(".")), F.substring_index(plain, ".", -1)).otherwise(F.lit("")), "0+$", "")
+        value = F.concat(whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")))
+        negative = (F.startswith(r, F.lit("(")) & F.endswith(r, F.lit(")"))) | r.rlike("^[(]?[-−–]")
+        return F.when(negative & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
+
+    return F.transform(raw, canonical)
+
+
 def numerals(text: Column) -> Column:
-    """Signed decimals of a text in order; digit grouping of any kind, a minus sign or a pair of parentheses for negatives."""
-    raw = F.regexp_extract_all(text, F.lit(r"(\(\s*[0-9][0-9,]*(?:\.[0-9]+)?\s*\)|[-−–]?[0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1))
-    sign = lambda r: F.when(r.rlike(r"^[(\-−–]"), F.lit("-")).otherwise(F.lit(""))
-    return F.filter(F.transform(raw, lambda r: F.concat(sign(r), F.regexp_replace(r, r"[^0-9.]", "")).try_cast("decimal(38,10)")), lambda x: x.isNotNull())
+    """The values of `figures` as decimals; null in the place of one that 38 digits with ten decimals can't hold exactly."""
+    fits = lambda f: f.rlike(r"^-?[0-9]{1,28}([.][0-9]{1,10})?$")
+    return F.transform(figures(text), lambda f: F.when(fits(f), f.try_cast("decimal(38,10)")))
+
+
+def unsupported(claim: Column, support: Column) -> Column:
+    """The figures of a claim that its support lacks, one for each value, in the claim's order."""
+    return F.array_except(figures(claim), figures(support))
 
 
 def token_estimate(text: Column) -> Column:
@@ -51,10 +82,9 @@ def token_estimate(text: Column) -> Column:
 
 
 def looks_numeric(text: Column) -> Column:
-    """Digits once currencies, separators, parentheses, percent and signs are taken off."""
-    money = "|".join(x.replace(".", "\\.").replace("$", "\\$") for c in sorted(CURRENCIES, key=len, reverse=True) for x in dict.fromkeys((c, c.upper())))
-    bare = F.regexp_replace(text, f"({money})", "")
-    return F.regexp_replace(bare, "[\\s\u00a0,.()%+\\-−–]", "").rlike("^[0-9]+$")
+    """Only digits remain when currencies (in any case), blanks, separators, parentheses, percent and signs are left out of account."""
+    named = "|".join(sorted((c.replace(".", "[.]").replace("$", "[$]") for c in CURRENCIES), key=len, reverse=True))
+    return text.rlike(f"(?i)^(?:{named}|[\\s\u00a0\u202f,.()%+−–-])*+(?:[0-9](?:{named}|[\\s\u00a0\u202f,.()%+−–-])*+)+$")
 
 
 def states_units(text: Column) -> Column:
@@ -68,18 +98,27 @@ def is_marker(token: Column) -> Column:
     return token.rlike("^([0-9]+|[A-Za-z])$") | F.lower(token).isin(*ROMANS)
 
 
-_MARKED = r"^(\S.*?)\s*(\(([A-Za-z0-9]{1,3})\)|[*†‡#]+)$"
+def _last_mark(text: Column) -> Column:
+    """What ends a trimmed cell and may be a marker: a short name in parentheses, or a run of reference signs; empty for neither."""
+    return F.regexp_extract(F.trim(text), r"([(][0-9A-Za-z]{1,3}[)]|[*#\u2020\u2021]+)$", 1)
+
+
+def without_marker(text: Column) -> Column:
+    """A cell's body, trimmed, without the marker that ends it."""
+    whole, mark = F.trim(text), _last_mark(text)
+    body = F.rtrim(F.left(whole, F.length(whole) - F.length(mark)))
+    counts = ~F.startswith(mark, F.lit("(")) | is_marker(F.btrim(mark, F.lit("()")))
+    return F.when((mark != "") & (body != "") & counts, body).otherwise(whole)
 
 
 def footnote_marker(text: Column) -> Column:
     """The marker that ends a cell after a body, as `a`, `2` or `*`; null if there is none, or if parentheses hold an abbreviation."""
-    part = lambda n: F.regexp_extract(F.trim(text), _MARKED, n)
-    return F.when(part(3) != "", F.when(is_marker(part(3)), part(3))).when(part(2) != "", part(2))
+    return F.when(F.length(without_marker(text)) < F.length(F.trim(text)), F.btrim(_last_mark(text), F.lit("()")))
 
 
-def without_marker(text: Column) -> Column:
-    """A cell's body, trimmed, without the marker that ends it."""
-    return F.when(footnote_marker(text).isNotNull(), F.trim(F.regexp_extract(F.trim(text), _MARKED, 1))).otherwise(F.trim(text))
+def marker_key(token: Column) -> Column:
+    """A marker without its parentheses, in lower case: what a cell's marker and its footnote are matched on."""
+    return F.lower(F.btrim(F.trim(token), F.lit("()")))
 
 
 def total_word(text: Column) -> Column:
@@ -102,16 +141,24 @@ def is_retrievable(text: Column) -> Column:
     return (F.length(F.regexp_replace(text, r"\s", "")) > 0) & ~(text.rlike(r"[._]{10,}") & (leader_share(text) >= 0.30))
 
 
+#: Words that name a part of a filing.
+PARTS = ("item", "note", "notes", "annexure", "annex", "schedule", "section", "part", "chapter", "appendix")
+
+
 def heading_level(text: Column, most: int = 120) -> Column:
-    """1 to 4 for a numbered heading, 1 for an item or part, else null; a title starts with a capital, has 3 letters and doesn't end like prose."""
-    t = F.trim(text)
-    number = F.regexp_extract(t, r"^([0-9]{1,2}(?:\.[0-9]{1,2})*)\.?\s+[A-Z]", 1)
-    title = F.regexp_extract(t, r"^[0-9]{1,2}(?:\.[0-9]{1,2})*\.?\s+([A-Z].*)$", 1)
-    dotted = t.rlike(r"^[0-9]{1,2}(\.[0-9]{1,2})*\.\s") | t.rlike(r"^[0-9]{1,2}\.[0-9]")
-    levels = F.length(number) - F.length(F.replace(number, F.lit("."))) + 1
-    ok = (F.length(t) <= most) & ~t.rlike(r"[.!?]$")
-    keyword = t.rlike(r"^(?i:item|part|chapter|section|note|schedule|annexure)\s+([0-9]+[A-Za-z]?|[IVXivx]+)\b")
-    return F.when(ok & (number != "") & dotted & (F.length(title) >= 3), F.least(levels, F.lit(4))).when(ok & keyword, F.lit(1))
+    """The depth of a dotted number (1 to 4) before a title, 1 for a named part with its number, else null.
+
+    White space is collapsed first. A title has three characters or more,
+    begins with a capital and doesn't end a sentence. A number without a dot
+    isn't one of a heading: tables are full of them.
+    """
+    line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    first, title = F.substring_index(line, " ", 1), F.regexp_extract(line, r"^\S+ (.*)$", 1)
+    dotted = first.rlike(r"^[0-9]{1,2}[.]([0-9]{1,2})?([.][0-9]{1,2}){0,2}$")
+    depth = F.size(F.array_remove(F.split(first, "[.]"), ""))
+    titled = (F.length(title) >= 3) & title.rlike(r"^\p{Lu}") & ~title.rlike("[.!?]$")
+    named = line.rlike(r"(?i)^(" + "|".join(PARTS) + r") [0-9IVXLC]{1,6}(?![0-9A-Za-z_])")
+    return F.when((F.length(line) > 0) & (F.length(line) <= most), F.when(dotted, F.when(titled, depth)).when(named, F.lit(1)))
 
 
 def sanitised_filename(raw: Column) -> Column:

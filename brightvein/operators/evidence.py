@@ -29,8 +29,9 @@ def expand(hits: DataFrame, parents: DataFrame, below: int = FRAGMENT) -> DataFr
 
 
 def _scales(text: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z₹$€£]+)"), F.lit(1)), lambda w: F.regexp_replace(w, "s+$", ""))
-    return F.array_intersect(F.array(*map(F.lit, SCALES)), words)
+    """The scales a text names, in the singular or the plural, as words of their own."""
+    named = lambda w: F.regexp_like(F.lower(text), F.concat(F.lit("(?<![a-z])"), w, F.lit("s?(?![a-z])")))
+    return F.filter(F.array(*map(F.lit, SCALES)), named)
 
 
 def _currencies(text: Column) -> Column:
@@ -62,7 +63,7 @@ def findings(claims: DataFrame, citations: DataFrame, passages: DataFrame) -> Da
     alone = _tag(F.array(F.lit("no resolvable source")), "no_citation")
     mixed = [F.when(F.size(c) > 1, F.array(F.struct(F.lit(f"mixed_{c}").alias("code"), F.lit("disclose").alias("severity"), F.array_join(c, ", ").alias("detail")))).otherwise(none) for c in ("issuer", "period", "basis")]
     checks = F.concat(
-        _tag(F.array_except(X.numerals(F.col("text")), X.numerals(held)), "unsupported_numeral"),
+        _tag(X.unsupported(F.col("text"), held), "unsupported_numeral"),
         _tag(F.array_sort(F.array_except(_scales(F.col("text")), _scales(held))), "scale_not_in_cited_span"),
         _tag(F.array_sort(F.array_except(_currencies(F.col("text")), _currencies(held))), "currency_not_in_cited_span"),
         *mixed,

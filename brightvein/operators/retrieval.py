@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import analysed, dot, unit_vector
+from ..functions.text import analysed
 
 K1, B, AVGDL = 1.2, 0.75, 99.21
 
@@ -27,14 +27,60 @@ def inverse_frequencies(post: DataFrame, chunks: int) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(float(chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"))
+
+
+def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """With a broadcast hint if there are at most `rows` rows; otherwise Spark shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, text_col: str = "text", avgdl: float = AVGDL) -> DataFrame:
+    """`bm25` over chunks not indexed before, in one pass over their texts.
+
+    Terms are reduced to the queries' own before anything is shuffled; document
+    frequencies are counted over all chunks, for these terms alone.
+    """
+    wanted = query_terms(queries)
+    own = sized_broadcast(wanted.select("term").distinct(), 100_000)
+    terms = chunks.select(*keys, analysed(F.col(text_col)).alias("ts")).withColumn("len", F.size("ts"))
+    tf = terms.select(*keys, "len", F.explode("ts").alias("term")).join(own, "term", "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    post = tf.withColumn("weight", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))))
+    return bm25(post, inverse_frequencies(post, chunks.count()), queries, keys, k)
+
+
+def write_index(chunks: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64) -> None:
+    """The postings of `chunks` as Parquet under `path`, in parts by term hash and sorted by term, with their idf.
+
+    A search reads the parts of its terms alone, and of these the row groups
+    whose statistics hold them.
+    """
+    post = postings(chunks, keys, text_col)
+    part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    idf = inverse_frequencies(post, chunks.count())
+    post.join(idf, "term").withColumn("part", part).repartition("part", F.pmod(F.xxhash64(*keys), F.lit(16))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def search_index(index: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, buckets: int = 64, where: Column | None = None) -> DataFrame:
+    """BM25 over what `write_index` wrote. `queries` is a stated set: its terms (up to 10,000) become filters of the scan."""
+    wanted = query_terms(queries)
+    terms = [r["term"] for r in wanted.select("term").distinct().limit(10_001).collect()]
+    if len(terms) <= 10_000:
+        parts = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("p")).distinct().collect()
+        index = index.filter(F.col("part").isin([r["p"] for r in parts]) & F.col("term").isin(terms))
+    hits = index.select(*keys, "term", "weight", "idf") if where is None else index.filter(where).select(*keys, "term", "weight", "idf")
+    scored = hits.join(wanted, "term").groupBy("query_id", *keys).agg(F.round(F.sum(F.col("weight") * F.col("idf")), 9).alias("score"))
+    return ranked(scored, ["query_id"], [F.desc("score"), *keys], k)
+
+
 def bm25(post: DataFrame, idf: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
     """`query_id`, `keys`, `score`, `rank`: chunks sharing a term with a query, the k best of each; ties by key.
 
-    Postings are first reduced to the queries' terms, whose number is the
-    queries' and not the corpus's.
+    `post` is an index that is kept; its rows are joined with the queries'
+    terms before anything is aggregated.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"))
-    wanted = terms.join(idf, "term")
+    wanted = query_terms(queries).join(idf, "term")
     hits = post.select(*keys, "term", "weight").join(wanted, "term")
     scored = hits.groupBy("query_id", *keys).agg(F.round(F.sum(F.col("weight") * F.col("idf")), 9).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), *keys], k)
@@ -45,12 +91,70 @@ def ranked(df: DataFrame, by: list[str], order: list, k: int | None = None, name
     return out.filter(F.col(name) <= k) if k else out
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    """Exact cosine search: `query_id`, `key`, `score`, `rank`. The queries are a stated set, sent to every block of vectors."""
-    v = vectors.select(key, unit_vector(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", unit_vector(F.col("embedding")).alias("q"))
-    scored = v.join(F.broadcast(q) if q.limit(1001).count() <= 1000 else q).select("query_id", key, F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-    return ranked(scored, ["query_id"], [F.desc("score"), key], k)
+#: Queries of a dense search sent to the vectors at once.
+QUERY_BLOCK = 1024
+
+
+def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, kind: str | None = None) -> DataFrame:
+    """Exact cosine search: `query_id`, `key`, `score`, `rank` (and `kind`, ranks restarting for each).
+
+    The queries are a stated set, read block by block; each block goes to every
+    partition of the vectors, where scores are matrix products and only the k
+    best of each query (and kind) leave a batch. Null ids and vectors of
+    another length than the query's match nothing; ties go by key.
+    """
+    asked = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")).filter("q IS NOT NULL")
+    n = asked.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    own = vectors.select(F.col(key).cast("long").alias("key"), (F.col(kind).cast("string") if kind else F.lit("")).alias("kind"), F.transform("embedding", lambda x: x.cast("double")).alias("v")).filter("key IS NOT NULL AND v IS NOT NULL")
+    out = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        best = own.mapInArrow(_nearest([r["query_id"] for r in rows], [r["q"] for r in rows], k), "query_id long, key long, kind string, score double")
+        out = best if out is None else out.unionByName(best)
+    out = out.withColumn("score", F.round("score", 9))
+    out = ranked(out, ["query_id", "kind"], [F.desc("score"), "key"], k)
+    out = out.select("query_id", F.col("key").alias(key), *([F.col("kind").alias(kind)] if kind else []), "score", "rank")
+    return out
+
+
+def _nearest(ids: list, rows: list, k: int):
+    """The function that finds, for each batch of (key, kind, v), the k best of every query and kind."""
+    import numpy as np
+
+    by: dict[int, tuple] = {}
+    for size in {len(r) for r in rows}:
+        pick = [i for i, r in enumerate(rows) if len(r) == size]
+        q = np.array([rows[i] for i in pick], float).reshape(len(pick), size)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        by[size] = (np.array([ids[i] for i in pick], np.int64), q / np.where(norm > 0, norm, 1))
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, kinds = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            lengths = np.diff(batch.column(2).offsets.to_numpy())
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            edge = np.concatenate([[0], np.cumsum(lengths)])
+            for size, (query, q) in by.items():
+                rows = np.flatnonzero(lengths == size)
+                if not size or not len(rows):
+                    continue
+                v = flat[edge[rows][:, None] + np.arange(size)]
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                v = v / np.where(norm > 0, norm, 1)
+                for name in dict.fromkeys(kinds[rows].tolist()):
+                    mine = kinds[rows] == name if name is not None else np.array([x is None for x in kinds[rows]])
+                    score = np.round(q @ v[mine].T, 9)
+                    own = keys[rows][mine]
+                    order = np.argsort(own, kind="stable")
+                    own, score = own[order], score[:, order]
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    n = top.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, n)), pa.array(own[top].ravel()), pa.array([name] * (n * len(query)), pa.string()), pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query_id", "key", "kind", "score"])
+
+    return work
 
 
 def hard_filter(df: DataFrame, **wanted) -> DataFrame:
@@ -99,4 +203,5 @@ def within_budget(items: Column, budget: int) -> Column:
 
 def edge_order(rank: Column) -> Column:
     """Sort key that puts odd ranks first, rising, then even ranks, falling."""
-    return F.when(rank % 2 == 1, rank.cast("long")).otherwise(F.lit(1_000_000_000).cast("long") - rank)
+    odd = F.pmod(rank, F.lit(2)) == 1
+    return F.struct((~odd).alias("later"), F.when(odd, rank.cast("long")).otherwise(-rank.cast("long")).alias("place"))

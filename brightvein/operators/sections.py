@@ -31,6 +31,32 @@ def heading_paths(headings: Column) -> Column:
     return F.transform(F.aggregate(headings, empty, lambda st, h: F.array_append(F.filter(st, lambda x: x["level"] < h["level"]), h)), lambda x: x["title"])
 
 
+def paths_of_headings(headings: Column) -> Column:
+    """For each of ordered structs (`level`, `title`), the stack of titles once it is pushed."""
+    start = F.struct(F.slice(headings, F.lit(1), F.lit(0)).alias("stack"), F.array().cast("array<array<string>>").alias("out"))
+
+    def push(acc, h):
+        stack = F.array_append(F.filter(acc["stack"], lambda x: x["level"] < h["level"]), h)
+        return F.struct(stack.alias("stack"), F.array_append(acc["out"], F.transform(stack, lambda x: x["title"])).alias("out"))
+
+    return F.aggregate(headings, start, push, lambda acc: acc["out"])
+
+
+def with_heading_paths(blocks: DataFrame, by: list[str], order: str, level: str = "level", title: str = "text") -> DataFrame:
+    """Each block with `heading_path`, the titles above it (its own included); blocks before the first heading have an empty one.
+
+    The headings of one document meet in one row; its other blocks find the
+    last heading before them by a running count.
+    """
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = blocks.withColumn("__section", F.sum(F.col(level).isNotNull().cast("int")).over(w))
+    heads = numbered.filter(F.col(level).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).alias("level"), F.col(title).alias("title")))).alias("hs"))
+    plain = F.transform("hs", lambda h: F.struct(h["level"].alias("level"), h["title"].alias("title")))
+    paths = heads.select(*by, F.posexplode(paths_of_headings(plain)).alias("__at", "heading_path")).withColumn("__section", F.col("__at") + 1).drop("__at")
+    out = numbered.join(paths, [*by, "__section"], "left")
+    return out.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>"))).drop("__section")
+
+
 def greedy_windows(sizes: Column, budget: int) -> Column:
     """Window numbers of ordered sizes: a new window opens when the next would pass the budget."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))

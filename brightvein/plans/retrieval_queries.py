@@ -44,24 +44,24 @@ def g4_idf(t):
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s) WHERE rank <= 5")
 def g3_bm25_search(t):
     """The five best blocks for each benchmark text."""
-    _, post, idf = _index(t)
-    return R.bm25(post, idf, _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", F.round("score", 5).alias("score"), "rank")
+    return R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s WHERE lang IN ('en', 'de') AND doc_id BETWEEN 100 AND 600) WHERE rank <= 5")
 def b1_filtered_search(t):
     """Hard filters come before the ranking, never after its limit."""
-    _, post, idf = _index(t)
-    scoped = R.hard_filter(post, lang=["en", "de"], doc_id=(100, 600))
-    return R.bm25(scoped, idf, _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
+    scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal", "lang"])
+    scoped = R.hard_filter(scored.drop("rank"), lang=["en", "de"], doc_id=(100, 600))
+    return R.ranked(scoped, ["query_id"], [F.desc("score"), "doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
 
 
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, rank FROM (SELECT query_id, doc_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s SEMI JOIN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 1000) d USING (doc_id)) WHERE rank <= 5")
 def b1_filtered_search_whole(t):
     """As b1_filtered_search, over all documents: its range is one of lengths without an upper bound, not of ids."""
-    _, post, idf = _index(t)
+    scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"])
     scope = R.hard_filter(t.documents, lang=["en", "de"], n_chars=(1000, None)).select("doc_id")
-    return R.bm25(post.join(scope, "doc_id", "left_semi"), idf, _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
+    scoped = scored.drop("rank").join(scope, "doc_id", "left_semi")
+    return R.ranked(scoped, ["query_id"], [F.desc("score"), "doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
 
 
 _DENSE = "n AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings), d AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 9) AS score FROM n a, n b WHERE a.vec_id % 100 = 0)"
@@ -77,8 +77,8 @@ def g1_dense_search(t):
 @query(f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY score DESC, vec_id) AS rank FROM d), k AS (SELECT *, CASE WHEN rank <= CASE WHEN label % 2 = 0 THEN 6 ELSE 4 END THEN 0 ELSE 1 END AS a FROM r) SELECT query_id, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a, label % 2, rank) AS place FROM k) WHERE place <= 10")
 def g5_allocation(t):
     queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    scored = R.dense(t.embeddings, queries, "vec_id", None).drop("rank").join(t.embeddings.select("vec_id", F.when(F.col("label") % 2 == 0, "narrative").otherwise("table").alias("kind")), "vec_id")
-    return R.allocate(R.ranked(scored, ["query_id", "kind"], [F.desc("score"), "vec_id"]), 10, "kind", "narrative").select("query_id", "vec_id", "place")
+    vectors = t.embeddings.withColumn("kind", F.when(F.col("label") % 2 == 0, "narrative").otherwise("table"))
+    return R.allocate(R.dense(vectors, queries, "vec_id", 10, "kind"), 10, "kind", "narrative").select("query_id", "vec_id", "place")
 
 
 _LISTS = f"""{_POST}, lex AS (SELECT query_id, doc_id, max(score) AS score FROM s GROUP BY 1, 2),
@@ -88,8 +88,7 @@ l AS (SELECT * FROM l1 WHERE rank <= 20 UNION ALL SELECT * FROM l2 WHERE rank <=
 
 
 def _lists(t):
-    _, post, idf = _index(t)
-    scored = R.bm25(post, idf, _queries(t), ["doc_id", "ordinal"])
+    scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"])
     per = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("m"), F.round(F.sum("score"), 6).alias("s"))
     lists = [R.ranked(per.select("query_id", "doc_id", F.lit(n).alias("retriever"), F.col(c).alias("score")), ["query_id"], [F.desc("score"), "doc_id"], 20) for n, c in (("bm25", "m"), ("sum", "s"))]
     return lists[0].unionByName(lists[1])
