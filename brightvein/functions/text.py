@@ -176,6 +176,19 @@ def neutralised(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def delimiters_escaped(text: Column) -> Column:
+    """The prompt's own tags inside evidence or a question made harmless; other angle brackets stay as written."""
+    return F.regexp_replace(text, r"(?i)<(/?\s*(?:passages|passage|question)\b)", "&lt;$1")
+
+
+def attribute_escaped(text: Column) -> Column:
+    """A value that can stand in double quotes in a tag."""
+    out = text
+    for raw, safe in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
+
+
 def unit_vector(v: Column) -> Column:
     """The vector at length one; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
