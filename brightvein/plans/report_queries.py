@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, sections
-from ..operators.retrieval import ranked
+from ..operators import lifecycle, reports, sections, spatial
 from ._tables import registrar
 
 QUERIES: dict = {}
@@ -16,43 +15,41 @@ query = registrar(QUERIES, SQL)
 
 @query("SELECT c_custkey, o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")
 def c1_scoped_join(t):
-    return t.orders.filter("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "o_orderkey", "n_name")
+    return reports.scoped(t.orders, t.customer, "o_custkey", "c_custkey", t.nation, ("c_nationkey", "n_nationkey"), F.col("o_orderstatus") == "F").select("c_custkey", "o_orderkey", "n_name")
 
 
 @query("SELECT a.event_id AS child, b.event_id AS parent FROM events a JOIN events b ON a.event_id = b.event_id * 2 WHERE a.event_type = b.event_type")
 def c2_parent_self_join(t):
-    a, b = t.events.alias("a"), t.events.alias("b")
-    return a.join(b, F.expr("a.event_id = b.event_id * 2 AND a.event_type = b.event_type")).select(F.col("a.event_id").alias("child"), F.col("b.event_id").alias("parent"))
+    half = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") / 2).cast("long"))
+    return reports.parents(t.events.select("event_id", "event_type"), "event_id", half, F.expr("child.event_type = parent.event_type"))
 
 
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
 def c3_load_context(t):
-    ids = t.labels.filter("toxic = 0").select("doc_id")
-    return t.documents.select("doc_id", "lang").join(ids, "doc_id", "left_semi").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return reports.load_context(t.documents.select("doc_id", "lang"), t.labels.filter("toxic = 0"), t.labels.select("doc_id", "quality"), "doc_id")
 
 
 @query("SELECT o_orderkey, o_orderdate, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 64")
 def c4_pending_batch(t):
-    pending = t.orders.filter("o_orderstatus = 'P'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return pending.orderBy("o_orderdate", "o_orderkey").limit(64).select("o_orderkey", "o_orderdate", "c_mktsegment")
+    own = t.orders.join(t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return reports.pending_batch(own, "o_orderstatus", "P", ["o_orderdate", "o_orderkey"], 64).select("o_orderkey", "o_orderdate", "c_mktsegment")
 
 
 @query("SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS cited FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def c5_citations_in_order(t):
     got = t.orders.select("o_orderkey").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    inside = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    return got.groupBy("o_orderkey").agg(F.transform(inside, lambda x: x["l_partkey"]).alias("cited"))
+    return reports.listed_in_order(got, ["o_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_partkey", "cited")
 
 
 @query("SELECT p_partkey, coalesce(list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey IS NOT NULL), []) AS regions FROM part LEFT JOIN (SELECT DISTINCT l_partkey, s_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 5000) ON p_partkey = l_partkey GROUP BY p_partkey")
 def c6_blocks_with_regions(t):
     rich = t.lineitem.join(t.supplier.filter("s_acctbal > 5000"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", "s_suppkey").distinct()
-    return t.part.join(rich, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_partkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("regions"))
+    return reports.with_list(t.part, rich, "p_partkey", "l_partkey", "s_suppkey", "regions")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def c8_active_semi_join(t):
-    return t.orders.join(t.customer.filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return reports.within(t.orders, t.customer.filter("c_mktsegment = 'BUILDING'"), "o_custkey", "c_custkey").select("o_orderkey")
 
 
 _BOXES = "SELECT event_id, user_id % 50 AS page, event_id % 97 AS y0, event_id % 97 + 10 + event_id % 7 AS y1 FROM events"
@@ -62,88 +59,82 @@ _BOXES = "SELECT event_id, user_id % 50 AS page, event_id % 97 AS y0, event_id %
 def c9_containing_region(t):
     b = t.events.selectExpr("event_id", "user_id % 50 AS page", "event_id % 97 AS y0", "event_id % 97 + 10 + event_id % 7 AS y1")
     r = t.supplier.selectExpr("s_suppkey AS region", "s_suppkey % 50 AS page", "s_suppkey * 13 % 90 AS r0", "s_suppkey * 13 % 90 + 20 AS r1")
-    o = b.join(r, "page").withColumn("share", F.expr("(least(y1, r1) - greatest(y0, r0)) / (y1 - y0)")).filter("share > 0.5").withColumn("area", F.expr("r1 - r0"))
-    return ranked(o, ["event_id"], [F.desc("share"), "area", "region"], 1).select("event_id", "region")
+    return spatial.best_region(b, r, ["page"], "event_id", "region", spatial.overlap_share(("y0", "y1"), ("r0", "r1")), F.expr("r1 - r0"))
 
 
 @query(f"WITH b AS ({_BOXES}), r AS (SELECT s_suppkey AS region, s_suppkey % 50 AS page, s_suppkey * 13 % 90 AS r0, s_suppkey * 13 % 90 + 2 AS r1 FROM supplier) SELECT region FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = r.page AND NOT (b.y1 < r.r0 OR b.y0 > r.r1))")
 def c12_unsupported_regions(t):
-    b = t.events.selectExpr("user_id % 50 AS page", "event_id % 97 AS y0", "event_id % 97 + 10 + event_id % 7 AS y1").distinct().alias("b")
-    r = t.supplier.selectExpr("s_suppkey AS region", "s_suppkey % 50 AS page", "s_suppkey * 13 % 90 AS r0", "s_suppkey * 13 % 90 + 2 AS r1").alias("r")
-    return r.join(b, F.expr("b.page = r.page AND NOT (b.y1 < r.r0 OR b.y0 > r.r1)"), "left_anti").select("region")
+    b = t.events.selectExpr("user_id % 50 AS page", "event_id % 97 AS top", "event_id % 97 + 10 + event_id % 7 AS bottom").distinct()
+    r = t.supplier.selectExpr("s_suppkey AS region", "s_suppkey % 50 AS page", "s_suppkey * 13 % 90 AS r0", "s_suppkey * 13 % 90 + 2 AS r1")
+    bare = r.join(b.select("page").distinct(), "page", "left_anti")
+    return spatial.unsupported(r, b, ["page"]).unionByName(bare).select("region")
 
 
 @query("SELECT a.event_id, max_by(b.event_id, b.ts) AS before_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 6 HOUR GROUP BY a.event_id")
 def c14_nearest_before(t):
-    a, b = t.events.alias("a"), t.events.alias("b")
-    on = F.expr("a.user_id = b.user_id AND a.event_type <> b.event_type AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 6 HOURS")
-    return a.join(b, on).groupBy(F.col("a.event_id").alias("event_id")).agg(F.max_by("b.event_id", "b.ts").alias("before_id"))
+    return reports.nearest_before(t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", "event_type", 6, "before_id")
 
 
 @query("SELECT DISTINCT sha256(d.text) AS digest FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(b.text) = sha256(d.text) AND b.text = d.text)")
 def c16_cache_misses(t):
-    d = t.documents.select("text", F.sha2("text", 256).alias("digest")).distinct()
-    return d.join(t.benchmark.select("text", F.sha2("text", 256).alias("digest")), ["digest", "text"], "left_anti").select("digest")
+    return reports.cache_misses(t.documents.select("text"), t.benchmark.select("text")).select("digest")
 
 
 @query("SELECT count(*) AS events, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value IS NULL) AS gaps, count(DISTINCT user_id) AS users FROM events")
 def d1_conditional_counts(t):
-    return t.events.agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("value").isNull()).alias("gaps"), F.countDistinct("user_id").alias("users"))
+    own = t.events
+    out = reports.counts(own, None, clicks=F.col("event_type") == "click", gaps=F.col("value").isNull()).withColumnRenamed("total", "events")
+    return out.withColumn("users", own.agg(F.countDistinct("user_id")).scalar())
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS orders, coalesce(lines, 0) AS lines, median_price FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(round_even(quantile_cont(o_totalprice, 0.5), 0) AS BIGINT) AS median_price FROM orders GROUP BY 1) o ON c_custkey = o.o_custkey LEFT JOIN (SELECT o_custkey, count(*) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) l ON c_custkey = l.o_custkey")
 def d2_library_listing(t):
-    o = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.rint(F.percentile("o_totalprice", F.lit(0.5))).cast("long").alias("median_price"))
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), reports.half_even_median("o_totalprice").alias("median_price"))
     per_order = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("k"))
-    lines = t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.sum("k").alias("lines"))
-    both = t.customer.select("c_custkey").join(o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left").join(lines.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+    lines = t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("k").alias("lines"))
+    both = reports.listing(t.customer.select("c_custkey"), "c_custkey", o, lines)
     return both.select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("lines", F.lit(0)).alias("lines"), "median_price")
 
 
 @query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events WHERE event_type <> '' GROUP BY 1, 2) WHERE r <= 3")
 def d4_sections_by_version(t):
-    n = t.events.filter("event_type <> ''").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return ranked(n, ["user_id"], [F.desc("n"), "event_type"], 3).drop("rank")
+    return reports.most_frequent(t.events, ["user_id"], "event_type", 3).drop("rank")
 
 
 @query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events WHERE event_type <> '' GROUP BY 1, 2) WHERE r <= 10")
 def d4_sections_by_version_ten(t):
     """As d4_sections_by_version, with the ten most frequent values of each key."""
-    n = t.events.filter("event_type <> ''").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return ranked(n, ["user_id"], [F.desc("n"), "event_type"], 10).drop("rank")
+    return reports.most_frequent(t.events, ["user_id"], "event_type", 10).drop("rank")
 
 
 @query("SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 200")
 def d5_distinct_sections(t):
-    return t.part.select("p_type").distinct().orderBy("p_type").limit(200)
+    return reports.distinct_sorted(t.part, "p_type", 200)
 
 
 @query("SELECT list_sort(list(DISTINCT lang) FILTER (lang <> '')) AS langs, list_sort(list(DISTINCT source) FILTER (source <> '')) AS sources FROM documents")
 def d6_facets(t):
-    d = t.documents
-    return d.agg(*(F.sort_array(F.collect_set(F.when(F.col(c) != "", F.col(c)))).alias(f"{c}s") for c in ("lang", "source")))
+    return reports.facets(t.documents, ["lang", "source"])
 
 
 @query("SELECT o_orderstatus AS state, count(*) AS n FROM orders GROUP BY 1")
 def d7_index_state(t):
-    return t.orders.groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"))
+    return reports.counts(t.orders, ["o_orderstatus"]).select(F.col("o_orderstatus").alias("state"), F.col("total").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1")
 def d8_activity(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.max("value").alias("most"))
+    return reports.activity(t.events, "event_type", "value", {"median": 0.5, "p95": 0.95})
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS reason FROM part) GROUP BY 1")
 def d9_reason_frequency(t):
-    return t.part.select(F.explode(F.split("p_type", " ")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return reports.element_frequency(t.part, F.split("p_type", " "), "reason")
 
 
 @query("SELECT count(*) AS entries, min(ts) AS first_used, max(ts) AS last_used, count(*) FILTER (ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS unused, count(DISTINCT event_type) AS kinds FROM events")
 def d10_cache_statistics(t):
-    last = t.events.agg(F.max("ts")).first()[0]
-    unused = F.count_if(F.col("ts") < F.lit(last) - F.expr("INTERVAL 7 DAYS"))
-    return t.events.agg(F.count("*").alias("entries"), F.min("ts").alias("first_used"), F.max("ts").alias("last_used"), unused.alias("unused"), F.countDistinct("event_type").alias("kinds"))
+    return reports.cache_statistics(t.events, "ts", "event_type", 7)
 
 
 @query("SELECT l_orderkey, CASE WHEN share > 0.7 THEN 'accepted' WHEN share > 0.3 THEN 'doubtful' ELSE 'rejected' END AS verdict FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') / count(*) AS share FROM lineitem GROUP BY 1)")
@@ -154,24 +145,22 @@ def d14_quality_verdict(t):
 
 @query("SELECT l_suppkey, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
 def d15_grid_bounds(t):
-    return t.lineitem.groupBy("l_suppkey").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    return spatial.grid_bounds(t.lineitem, [], "l_suppkey", "l_quantity", "l_quantity")
 
 
 @query("SELECT text, count(DISTINCT source) AS splits FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
 def d16_split_violations(t):
-    return t.documents.groupBy("text").agg(F.countDistinct("source").alias("splits")).filter("splits > 1")
+    return reports.split_violations(t.documents.select("text", "source"), "text", "source")
 
 
 @query("SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'failed' WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'succeeded' END AS state FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def d17_run_state(t):
-    per = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "P").alias("gap"))
-    state = F.when(F.col("n").isNull(), "failed").when(F.col("gap"), "partial").otherwise("succeeded")
-    return t.customer.join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", state.alias("state"))
+    return reports.run_states(t.customer, t.orders, "c_custkey", "o_custkey", F.col("o_orderstatus") == "P")
 
 
 @query("SELECT coalesce(NOT bool_or(o_orderstatus = 'X'), true) AS ready FROM orders")
 def d18_readiness(t):
-    return t.orders.agg(F.coalesce(~F.bool_or(F.col("o_orderstatus") == "X"), F.lit(True)).alias("ready"))
+    return reports.ready(t.orders, F.col("o_orderstatus") == "X")
 
 
 @query("SELECT user_id, CASE WHEN a = 0 THEN 'abstained' WHEN b = 0 THEN 'answered' ELSE 'partial' END AS decision FROM (SELECT user_id, count(*) FILTER (value > 50) AS a, count(*) FILTER (value <= 50) AS b FROM events GROUP BY 1)")
@@ -182,12 +171,12 @@ def d19_decisions(t):
 
 @query("SELECT event_type, count(*) FILTER (value > 10) / nullif(count(*), 0) AS hit_rate, sum(value) AS total FROM events GROUP BY 1")
 def d23_hit_rate(t):
-    return t.events.groupBy("event_type").agg(F.try_divide(F.count_if(F.col("value") > 10), F.count("*")).alias("hit_rate"), F.sum("value").alias("total"))
+    return reports.rate(t.events, ["event_type"], F.col("value") > 10, total="value")
 
 
 @query("SELECT user_id, max_by(event_id, ts) AS latest FROM events GROUP BY 1 HAVING count(*) FILTER (ts = (SELECT max(ts) FROM events)) >= 0")
 def e19_latest_per_key(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("latest"))
+    return reports.latest_value(t.events, ["user_id"], "event_id", ["ts"])
 
 
 @query("WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, sum(c::int) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM s")
@@ -239,7 +228,7 @@ def j2_activation(t):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def j8_prunable(t):
-    return t.orders.join(t.lineitem.filter("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return reports.outside(t.orders, t.lineitem.filter("l_quantity > 40"), "o_orderkey", "l_orderkey").select("o_orderkey")
 
 
 @query("SELECT l_orderkey, count(*) AS placed FROM lineitem GROUP BY 1 HAVING count(*) > 1")

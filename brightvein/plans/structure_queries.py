@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions import text as X
-from ..operators import evidence, sections, tables
+from ..operators import evidence, reports, sections, spatial, tables
 from ..operators import retrieval as R
-from ..operators.retrieval import ranked
 from . import retrieval_queries
 from ._tables import registrar
 
@@ -79,8 +78,7 @@ def b9_cell_predicates(t):
 
 @query("SELECT event_id FROM (SELECT event_id, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS bad FROM events) WHERE bad")
 def b7_order_violations(t):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.select("event_id", (F.col("ts") < F.lag("ts").over(w)).alias("bad")).filter("bad").select("event_id")
+    return reports.out_of_order(t.events, "user_id", "event_id", "ts").select("event_id")
 
 
 _POINTS = "SELECT event_id, user_id % 50 AS page, event_id % 97 AS y FROM events"
@@ -90,16 +88,15 @@ _AREAS = "SELECT s_suppkey AS region, s_suppkey % 50 AS page, s_suppkey * 13 % 9
 @query(f"WITH p AS ({_POINTS}), a AS ({_AREAS}) SELECT event_id, region FROM (SELECT event_id, region, row_number() OVER (PARTITION BY event_id ORDER BY r1 - r0, region) AS n FROM p LEFT JOIN a ON p.page = a.page AND y BETWEEN r0 AND r1) WHERE n = 1")
 def c10_smallest_box(t):
     """Points to the smallest box that holds them; null where none does."""
-    p = t.events.selectExpr("event_id", "user_id % 50 AS page", "event_id % 97 AS y").alias("p")
-    a = t.supplier.selectExpr("s_suppkey AS region", "s_suppkey % 50 AS page", "s_suppkey * 13 % 90 AS r0", "s_suppkey * 13 % 90 + 20 + s_suppkey % 11 AS r1").alias("a")
-    return p.join(a, F.expr("p.page = a.page AND p.y BETWEEN a.r0 AND a.r1"), "left").groupBy("event_id").agg(F.min_by("region", F.expr("struct(r1 - r0, region)")).alias("region"))
+    p = t.events.selectExpr("event_id", "user_id % 50 AS page", "event_id % 97 AS y")
+    a = t.supplier.selectExpr("s_suppkey AS region", "s_suppkey % 50 AS page", "s_suppkey * 13 % 90 AS r0", "s_suppkey * 13 % 90 + 20 + s_suppkey % 11 AS r1")
+    return spatial.smallest_box(p, a, ["page"], "event_id", "region", F.expr("y BETWEEN r0 AND r1"), F.expr("r1 - r0"))
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON sha256(d.text) = sha256(b.text) AND d.text = b.text")
 def c15_cache_hits(t):
     """A digest only finds; the text itself decides."""
-    d = t.documents.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    return d.join(t.benchmark.select("item_id", "text", F.sha2("text", 256).alias("digest")), ["digest", "text"]).select("doc_id", "item_id")
+    return reports.cache_hits(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text")).select("doc_id", "item_id")
 
 
 _TOP = f"{retrieval_queries._POST}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s) WHERE rank <= 5)"
@@ -148,13 +145,13 @@ def _claims(t):
 
 @query("SELECT l_partkey, count(*) FILTER (l_returnflag = 'R') AS rejected, count(*) FILTER (l_returnflag = 'N') AS accepted FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY 1")
 def c20_verdicts(t):
-    lines = t.lineitem.join(t.part.filter("p_size > 10").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    return lines.groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("rejected"), F.count_if(F.col("l_returnflag") == "N").alias("accepted"))
+    lines = reports.within(t.lineitem, t.part.filter("p_size > 10"), "l_partkey", "p_partkey")
+    return reports.counts(lines, ["l_partkey"], rejected=F.col("l_returnflag") == "R", accepted=F.col("l_returnflag") == "N").drop("total")
 
 
 @query("SELECT source, count(*) AS scored, count(*) FILTER (quality = 1 AND toxic = 0) AS hits FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def d28_agreement(t):
-    return t.documents.select("doc_id", "source").join(t.labels, "doc_id").groupBy("source").agg(F.count("*").alias("scored"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("hits"))
+    return reports.agreement(t.documents.select("doc_id", "source"), t.labels, "doc_id", "source", (F.col("quality") == 1) & (F.col("toxic") == 0))
 
 
 @query("SELECT (SELECT count(*) FROM documents) = (SELECT count(DISTINCT doc_id) FROM documents) AS consistent")
@@ -164,13 +161,12 @@ def d29_index_consistency(t):
 
 @query("SELECT count(*) AS documents, sum(n_chars) AS chars, count(*) FILTER (text IS NULL OR text = '') AS unreadable FROM documents")
 def d30_headline(t):
-    return t.documents.agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("unreadable"))
+    return reports.headline(t.documents, "n_chars", F.col("text").isNull() | (F.col("text") == ""))
 
 
 @query("SELECT user_id, greatest(count(*) - 3 - count(*) FILTER (event_type = 'click'), 0) AS dropped, arg_max(event_type, struct_pack(v := value, e := event_id)) AS slowest FROM events GROUP BY 1")
 def d31_funnel(t):
-    n = F.count("*")
-    return t.events.groupBy("user_id").agg(F.greatest(n - 3 - F.count_if(F.col("event_type") == "click"), F.lit(0)).alias("dropped"), F.max_by("event_type", F.struct("value", "event_id")).alias("slowest"))
+    return reports.funnel(t.events, "user_id", 3, F.col("event_type") == "click", "event_type", ["value", "event_id"])
 
 
 @query("SELECT conv_id, turn, sum(c::int) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT conv_id, turn, lag(role) OVER w IS DISTINCT FROM role OR row_number() OVER w = 1 AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))")
@@ -182,34 +178,34 @@ def e18_grouped_claims(t):
 def f1_reading_order(t):
     """Down the page, then across it."""
     own = t.events.selectExpr("event_id", "user_id % 50 AS page", "event_id % 97 AS y0", "event_id % 13 AS x0")
-    return ranked(own, ["page"], ["y0", "x0", "event_id"], name="n").select("event_id", (F.col("n") - 1).alias("ordinal"))
+    return spatial.reading_order(own, ["page"], ["y0", "x0", "event_id"]).select("event_id", "ordinal")
 
 
 @query("SELECT page, kind, id, row_number() OVER (PARTITION BY page ORDER BY y, kind, id) - 1 AS ordinal FROM (SELECT user_id % 50 AS page, 'block' AS kind, event_id AS id, event_id % 97 AS y FROM events UNION ALL SELECT s_suppkey % 50, 'table', s_suppkey, s_suppkey * 13 % 90 FROM supplier)")
 def f2_interleaved(t):
     blocks = t.events.selectExpr("user_id % 50 AS page", "'block' AS kind", "event_id AS id", "event_id % 97 AS y")
-    both = blocks.unionByName(t.supplier.selectExpr("s_suppkey % 50 AS page", "'table' AS kind", "s_suppkey AS id", "s_suppkey * 13 % 90 AS y"))
-    return ranked(both, ["page"], ["y", "kind", "id"], name="n").select("page", "kind", "id", (F.col("n") - 1).alias("ordinal"))
+    tables_ = t.supplier.selectExpr("s_suppkey % 50 AS page", "'table' AS kind", "s_suppkey AS id", "s_suppkey * 13 % 90 AS y")
+    return spatial.interleaved(blocks, tables_, ["page"], ["y", "kind", "id"]).select("page", "kind", "id", "ordinal")
 
 
 @query("SELECT user_id, list(event_type ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")
 def s1_ordered_distinct(t):
     """Distinct values in the order of their first occurrence."""
-    first = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
-    return first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]).alias("kinds"))
+    return reports.ordered_distinct(t.events, ["user_id"], "event_type", "event_id", "kinds")
 
 
 @query(f"SELECT doc_id, count(*) FILTER (NOT contains(d.text, b.text)) AS outside FROM ({retrieval_queries._BLOCKS}) b JOIN documents d USING (doc_id) GROUP BY 1")
 def s6_contained(t):
     """Every block lies in its document's text."""
-    outside = F.count_if(~F.contains("whole", "text"))
-    return R.blocks(t.documents).join(t.documents.select("doc_id", F.col("text").alias("whole")), "doc_id").groupBy("doc_id").agg(outside.alias("outside"))
+    lines = F.split("text", "\n")
+    outside = F.size(F.filter(lines, lambda x: ~F.contains(F.col("text"), x))).cast("long")  # within the row: the text is not joined to its own lines
+    return t.documents.filter("text IS NOT NULL").groupBy("doc_id").agg(F.sum(outside).alias("outside"))
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS times FROM documents GROUP BY text")
 def s7_batch_dedupe(t):
     """Each different text once, with the place of its first and the number of all."""
-    return t.documents.groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")).select(F.sha2("text", 256).alias("digest"), "first_id", "times")
+    return reports.batch_dedupe(t.documents.select("doc_id", "text"), "doc_id").select("digest", "first_id", "times")
 
 
 _BOX = "SELECT event_id, CAST(event_id % 4 * 90 AS INT) AS rot, (event_id % 97)::DOUBLE AS x0, (event_id % 89)::DOUBLE AS y0, (event_id % 97 + 30)::DOUBLE AS x1, (event_id % 89 + 10)::DOUBLE AS y1 FROM events"
@@ -230,18 +226,15 @@ def i16_decoded(t):
 
 @query("SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS micros FROM events")
 def i25_durations(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    return t.events.select("event_id", (us(F.lead("ts").over(w)) - us(F.col("ts"))).alias("micros"))
+    return reports.durations(t.events, "user_id", "ts", ["ts", "event_id"]).select("event_id", "micros")
 
 
 @query("SELECT user_id, count(*) AS attempts, max_by(event_type, event_id) AS state FROM events GROUP BY 1")
 def j6_attempts(t):
     """Attempts counted, and the last event's state, from the log."""
-    return t.events.groupBy("user_id").agg(F.count("*").alias("attempts"), F.max_by("event_type", "event_id").alias("state"))
+    return reports.attempts(t.events, "user_id", "event_type", "event_id")
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def j9_pruned_cache(t):
-    last = t.events.agg(F.max("ts")).first()[0]
-    return t.events.filter(F.col("ts") >= F.lit(last) - F.expr("INTERVAL 7 DAYS")).select("event_id")
+    return t.events.filter(reports.since_last(t.events, "ts", 7)).select("event_id")
