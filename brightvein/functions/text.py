@@ -161,6 +161,11 @@ def heading_level(text: Column, most: int = 120) -> Column:
     return F.when((F.length(line) > 0) & (F.length(line) <= most), F.when(dotted, F.when(titled, depth)).when(named, F.lit(1)))
 
 
+def sentences(text: Column) -> Column:
+    """A text's sentences: cut at white space after a full stop, question or exclamation mark, before a capital, a bracket or a currency sign."""
+    return F.split(text, r"(?<=[.!?])\s+(?=[A-Z(₹$])")
+
+
 def sanitised_filename(raw: Column) -> Column:
     """The last path part, control characters dropped, dots and spaces trimmed, 255 characters at most; null if nothing is left."""
     base = F.regexp_extract(raw, r"([^/\\]*)$", 1)
