@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import analysed
 
@@ -50,6 +51,86 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int |
     return bm25(post, inverse_frequencies(post, chunks.count()), queries, keys, k)
 
 
+def bm25_best(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, scope: DataFrame | None = None, pool: str | None = None, kind: str | None = None, text_col: str = "text", avgdl: float = AVGDL) -> DataFrame:
+    """The `k` best chunks of each query by BM25: `query_id`, `keys`, `score`, `rank`; ties by key.
+
+    One pass counts the document frequencies of the queries' terms over all
+    `chunks`; another scores `scope` (all, unless given) a batch at a time
+    against every query, and only what may be among the k best leaves a batch.
+    With `pool`, chunks stand for their value of that column, which gets its
+    best chunk's score; with `kind`, ranks restart for each of its values. The
+    queries are a stated set: their terms are held by every task.
+    """
+    asked = queries.select("query_id", F.array_distinct(analysed(F.col("text"))).alias("ts")).collect()
+    wanted = sorted({t for r in asked for t in r["ts"] or []})
+    keys = [pool] if pool else keys
+    schema = T.StructType([chunks.schema[c] for c in keys] + ([chunks.schema[kind]] if kind else []))
+    shape = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *schema.fields, T.StructField("score", T.DoubleType())])
+    spark = chunks.sparkSession
+    own = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
+    df = {r["term"]: r["df"] for r in chunks.select(F.explode(F.array_distinct(analysed(F.col(text_col)))).alias("term")).join(own, "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    n = chunks.count()
+    work = _best_chunks([r["query_id"] for r in asked], [[t for t in r["ts"] or [] if t in df] for r in asked], df, n, k, avgdl, len(keys), kind is not None, pool is not None)
+    rows = (chunks if scope is None else scope).select(*keys, *([kind] if kind else []), analysed(F.col(text_col)).alias("ts"))
+    out = rows.mapInArrow(work, shape).withColumn("score", F.round("score", 9))
+    if pool:
+        out = out.groupBy("query_id", *schema.names).agg(F.max("score").alias("score"))
+    return ranked(out, ["query_id", *([kind] if kind else [])], [F.desc("score"), *keys], k)
+
+
+def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int, k: int, avgdl: float, width: int, by_kind: bool, pooled: bool):
+    """The function that scores each batch of (keys, kind, terms) against every query."""
+    import math
+
+    vocabulary = sorted(df)
+    place = {t: i for i, t in enumerate(vocabulary)}
+    idf = [math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1.0) for t in vocabulary]
+    asked = [(i, [place[t] for t in ts]) for i, ts in zip(ids, terms) if ts]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        values, weights = pa.array(vocabulary, pa.string()), np.array(idf)
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy()
+            owner = np.repeat(np.arange(len(length)), length)[found >= 0]
+            pair, tf = np.unique(found[found >= 0].astype(np.int64) * len(length) + owner, return_counts=True)
+            term, owner = pair // max(len(length), 1), pair % max(len(length), 1)
+            weight = weights[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / avgdl)))
+            head = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+            groups = np.arange(len(length))
+            if pooled:
+                groups = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            kinds = np.unique(pc.fill_null(b.column(width).cast(pa.string()), "").to_numpy(zero_copy_only=False), return_inverse=True)[1] if by_kind else np.zeros(len(length), int)
+            rows, names, scores = [], [], []
+            for i, own in asked:
+                at = np.concatenate([np.arange(head[t], head[t + 1]) for t in own])
+                if not len(at):
+                    continue
+                score = np.round(np.bincount(owner[at], weight[at], len(length)), 9)
+                hits = np.flatnonzero(score > 0)
+                if pooled:  # of each group the best chunk, the first of equal ones
+                    order = np.lexsort((hits, -score[hits], groups[hits]))
+                    hits = hits[order][np.concatenate([[True], np.diff(groups[hits][order]) > 0])] if len(hits) else hits
+                for kind in np.unique(kinds[hits]):
+                    mine = hits[kinds[hits] == kind]
+                    if len(mine) > k:
+                        mine = mine[score[mine] >= np.partition(score[mine], len(mine) - k)[len(mine) - k]]  # ties with the last stay
+                    rows.append(mine)
+                    names += [i] * len(mine)
+                    scores.append(score[mine])
+            if names:
+                take = pa.array(np.concatenate(rows))
+                columns = [b.column(c).take(take) for c in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), *columns, pa.array(np.concatenate(scores))], names=["query_id", *b.schema.names[:-1], "score"])
+
+    return work
+
+
 def write_index(chunks: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64) -> None:
     """The postings of `chunks` as Parquet under `path`, in parts by term hash and sorted by term, with their idf.
 

@@ -102,7 +102,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 def _hybrid(t):
     kinds = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, hybrid.TABLE).otherwise(hybrid.NARRATIVE).alias("kind"))
-    lexical = R.bm25_search(R.blocks(t.documents), Q._queries(t), ["doc_id", "ordinal"]).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).join(kinds, "doc_id")
+    chunks = R.blocks(t.documents).withColumn("kind", F.when(F.col("doc_id") % 3 == 0, hybrid.TABLE).otherwise(hybrid.NARRATIVE))
+    lexical = R.bm25_best(chunks, Q._queries(t), ["doc_id", "ordinal"], hybrid.DEPTH, pool="doc_id", kind="kind").drop("rank")
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding").join(kinds, "doc_id")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("vec_id")).join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("query_id", "embedding")
     return hybrid.hybrid(hybrid.Hits(lexical), lambda: R.dense(vectors, asked, "doc_id", hybrid.DEPTH, "kind"), "doc_id", hybrid.DEPTH)

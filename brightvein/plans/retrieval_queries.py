@@ -44,24 +44,22 @@ def g4_idf(t):
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s) WHERE rank <= 5")
 def g3_bm25_search(t):
     """The five best blocks for each benchmark text."""
-    return R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", F.round("score", 5).alias("score"), "rank")
+    return R.bm25_best(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s WHERE lang IN ('en', 'de') AND doc_id BETWEEN 100 AND 600) WHERE rank <= 5")
 def b1_filtered_search(t):
     """Hard filters come before the ranking, never after its limit."""
-    scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal", "lang"])
-    scoped = R.hard_filter(scored.drop("rank"), lang=["en", "de"], doc_id=(100, 600))
-    return R.ranked(scoped, ["query_id"], [F.desc("score"), "doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
+    chunks = R.blocks(t.documents)
+    scope = R.hard_filter(chunks, lang=["en", "de"], doc_id=(100, 600))
+    return R.bm25_best(chunks, _queries(t), ["doc_id", "ordinal"], 5, scope).select("query_id", "doc_id", "ordinal", "rank")
 
 
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, rank FROM (SELECT query_id, doc_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s SEMI JOIN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 1000) d USING (doc_id)) WHERE rank <= 5")
 def b1_filtered_search_whole(t):
     """As b1_filtered_search, over all documents: its range is one of lengths without an upper bound, not of ids."""
-    scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"])
-    scope = R.hard_filter(t.documents, lang=["en", "de"], n_chars=(1000, None)).select("doc_id")
-    scoped = scored.drop("rank").join(scope, "doc_id", "left_semi")
-    return R.ranked(scoped, ["query_id"], [F.desc("score"), "doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", "rank")
+    scope = R.blocks(R.hard_filter(t.documents, lang=["en", "de"], n_chars=(1000, None)))
+    return R.bm25_best(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"], 5, scope).select("query_id", "doc_id", "ordinal", "rank")
 
 
 _DENSE = "n AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings), d AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 9) AS score FROM n a, n b WHERE a.vec_id % 100 = 0)"

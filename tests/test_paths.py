@@ -271,6 +271,25 @@ def test_search_by_index(spark, tmp_path):
     assert "PartitionFilters: [part" in plan.replace("isnotnull(part", "[part") or "PartitionFilters" in plan
 
 
+def test_best_chunks(spark):
+    """What batches let through holds the k best, with ties, scopes, pools and kinds."""
+    r = random.Random(15)
+    made = [(i // 4, i, "ab"[i % 2], " ".join(r.choice(["net", "sales", "debt", "tax", "rose"]) for _ in range(r.randint(0, 6))) if i % 17 else None) for i in range(400)]
+    chunks = spark.createDataFrame(made, "doc long, id long, kind string, text string").repartition(6)
+    queries = spark.createDataFrame([(1, "net debt"), (2, "tax"), (3, "unseen"), (4, ""), (5, "rose net sales")], "query_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    full = R.bm25_search(chunks, queries, ["id"])
+    assert rows(R.bm25_best(chunks, queries, ["id"], 7), "query_id", "id", "rank") == rows(full.filter("rank <= 7"), "query_id", "id", "rank")
+    scope = chunks.filter("kind = 'a'")
+    want = R.ranked(full.drop("rank").join(scope.select("id"), "id", "left_semi"), ["query_id"], [F.desc("score"), "id"], 7)
+    assert rows(R.bm25_best(chunks, queries, ["id"], 7, scope), "query_id", "id", "rank") == rows(want, "query_id", "id", "rank")
+    per = full.join(chunks.select("id", "doc", "kind"), "id").groupBy("query_id", "doc", "kind").agg(F.max("score").alias("score"))
+    even = chunks.withColumn("kind", F.expr("IF(doc % 3 = 0, 'a', 'b')"))
+    want = R.ranked(per.groupBy("query_id", "doc").agg(F.max("score").alias("score")).withColumn("kind", F.expr("IF(doc % 3 = 0, 'a', 'b')")), ["query_id", "kind"], [F.desc("score"), "doc"], 5)
+    assert rows(R.bm25_best(even, queries, ["id"], 5, pool="doc", kind="kind"), "query_id", "doc", "kind", "rank") == rows(want, "query_id", "doc", "kind", "rank")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_dense_without_a_cross_join(spark, monkeypatch):
     r = random.Random(6)
     vec = [(i, [r.uniform(-1, 1) for _ in range(8)] if i % 13 else None, "ab"[i % 2]) for i in range(300)] + [(500, [0.0] * 8, "a"), (501, [1.0] * 3, "a")]
