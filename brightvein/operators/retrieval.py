@@ -253,6 +253,31 @@ def hard_filter(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
+def year_bounds(year: int | tuple[int | None, int | None] | None) -> tuple[int | None, int | None] | None:
+    """A year as an inclusive range: a single one is both bounds."""
+    return (year, year) if isinstance(year, int) else year
+
+
+def in_scope(points: DataFrame, active: DataFrame, filters: dict) -> DataFrame:
+    """Points of active generations that meet the filters; null filters are left out, and without an active generation there are none.
+
+    `pages` is a range that any of a point's `page_numbers` may meet.
+    """
+    own = points.join(sized_broadcast(active.select("generation_id"), 100_000), "generation_id", "left_semi")
+    given = {k: v for k, v in filters.items() if v is not None}
+    pages = given.pop("pages", None)
+    if "fiscal_year" in given:
+        given["fiscal_year"] = year_bounds(given["fiscal_year"])
+    if pages is not None:
+        low, high = (F.lit(x) for x in (pages if isinstance(pages, tuple) else (pages, pages)))
+        own = own.filter(F.exists("page_numbers", lambda p: (low.isNull() | (p >= low)) & (high.isNull() | (p <= high))))
+    return hard_filter(own, **given)
+
+
+def filtered_count(points: DataFrame, active: DataFrame, filters: dict) -> int:
+    return in_scope(points, active, filters).count()
+
+
 def allocate(df: DataFrame, limit: int, kind: str, first: str, share: float = 0.6, by: list[str] = ["query_id"], rank: str = "rank") -> DataFrame:  # noqa: B006
     """`limit` rows of each query, a floor for both kinds of evidence, then the leftovers, the `first` kind before the other."""
     floor = max(min(round(share * limit), limit - 1), 1) if limit > 1 else limit

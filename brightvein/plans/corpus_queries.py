@@ -97,7 +97,10 @@ def e5_section_ids(t):
     return own.select("doc_id", "ordinal", F.sum(F.col("heading").cast("int")).over(w).alias("section"))
 
 
-@query()
+@query(rf"""SELECT doc_id, ordinal, CASE WHEN line = '' OR length(line) > 120 THEN NULL
+  WHEN regexp_matches(split_part(line, ' ', 1), '^[0-9]{{1,2}}[.]([0-9]{{1,2}})?([.][0-9]{{1,2}}){{0,2}}$') THEN CASE WHEN length(title) >= 3 AND regexp_matches(title, '^\p{{Lu}}') AND NOT regexp_matches(title, '[.!?]$') THEN CAST(len(list_filter(string_split(split_part(line, ' ', 1), '.'), lambda x: x <> '')) AS INT) END
+  WHEN regexp_matches(line, '(?i)^({'|'.join(X.PARTS)}) [0-9IVXLC]{{1,6}}([^0-9A-Za-z_]|$)') THEN 1 END AS level
+FROM (SELECT *, CASE WHEN contains(line, ' ') THEN substr(line, strpos(line, ' ') + 1) ELSE '' END AS title FROM (SELECT doc_id, ordinal, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM ({_BLOCKS})))""")
 def e2_heading_levels(t):
     return blocks(t.documents).select("doc_id", "ordinal", X.heading_level(F.col("text")).alias("level"))
 

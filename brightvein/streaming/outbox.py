@@ -4,24 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def drain(spark: SparkSession, outbox: str, index: str, dead: str, checkpoint: str, schema, transform: Callable[[DataFrame], DataFrame], key: str = "chunk_id", files: int = 1) -> None:
     """Process everything pending in `outbox`, then stop.
 
-    A batch that raises ValueError is written to `dead` (a permanent failure);
+    A batch that raises ValueError is written to `dead` with the error's name (a
+    permanent failure);
     any other error leaves it pending, for its offset is not committed. Rows
     already in `index` are not written again.
     """
     spark.createDataFrame([], transform(spark.createDataFrame([], schema)).schema).write.mode("append").parquet(index)
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
+        first = batch.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in batch.columns if c != key]))).filter("__n = 1").drop("__n")
         try:
-            out = transform(batch.dropDuplicates([key]))
-            out.join(spark.read.parquet(index).select(key), key, "left_anti").write.mode("append").parquet(index)
-        except ValueError:
-            batch.write.mode("append").parquet(dead)
+            out = transform(first)
+            # of the index only the keys that the batch also has are looked at
+            known = spark.read.parquet(index).select(key).join(F.broadcast(first.select(key)) if first.limit(100_001).count() <= 100_000 else first.select(key), key, "left_semi")
+            out.join(known, key, "left_anti").write.mode("append").parquet(index)
+        except ValueError as error:
+            first.withColumn("failure_reason", F.lit(type(error).__name__)).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(dead)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(outbox)
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def states(outbox_rows: DataFrame, index: DataFrame, dead: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Each event's state and attempts: failed as often as it was laid aside, completed once its point is there, else pending."""
+    failed = dead.groupBy(key).agg(F.count("*").alias("failures"))
+    out = outbox_rows.select(key).distinct().join(failed, key, "left").join(index.select(key).distinct().withColumn("__done", F.lit(True)), key, "left")
+    n = F.coalesce("failures", F.lit(0))
+    state = F.when(F.col("__done"), "completed").when(n > 0, "failed").otherwise("pending")
+    return out.select(key, state.alias("state"), (n + F.coalesce(F.col("__done").cast("int"), F.lit(0))).alias("attempts"))
+
+
+def pending(outbox_rows: DataFrame, index: DataFrame, dead: DataFrame, order: list[str], size: int, key: str = "chunk_id") -> DataFrame:
+    """The first events that are neither completed nor failed, oldest first."""
+    open_ = states(outbox_rows, index, dead, key).filter("state = 'pending'").select(key)
+    return outbox_rows.join(open_, key, "left_semi").orderBy(*order, key).limit(size)
