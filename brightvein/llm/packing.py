@@ -188,10 +188,14 @@ class Index:
         at = _runs(keys)
         tf = np.diff(np.append(at, len(keys)))
         keys = keys[at]
-        owner, terms = (keys & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), keys >> np.uint64(PLACE_BITS)
+        owner, terms = (keys & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32), keys >> np.uint64(PLACE_BITS)
+        del keys, at
         head = _runs(terms)
         df = np.diff(np.append(head, len(terms)))
-        weight = np.repeat(stats.look_up(terms[head])[0], df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * counts[owner] / stats.mean))
+        weight = np.repeat(stats.look_up(terms[head])[0], df)
+        del terms
+        weight *= tf * (K1 + 1) / (tf + K1 * (1 - B + B * counts[owner] / stats.mean))
+        del tf
         common = df > max(2, COMMON * docs)
         self.table = np.zeros((int(common.sum()), docs))
         self.owner, self.weight, term, self.terms_of, self.first_term = self._of(owner, weight, df, (df >= 2) & ~common)
@@ -203,10 +207,11 @@ class Index:
         """The postings of the terms to `keep`, the terms numbered anew, and of each document the terms and where they begin."""
         chosen = np.repeat(keep, df)
         owner, df = owner[chosen], df[keep]
-        term = np.repeat(np.arange(len(df)), df)
+        term = np.repeat(np.arange(len(df), dtype=np.int32), df)
         first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=self.docs))])
-        by_owner = np.sort(owner << 32 | term) & 0xFFFFFFFF
-        return owner, weight[chosen], term, by_owner, first
+        by_owner = owner.astype(np.int64) << 32 | term
+        by_owner.sort()
+        return owner, weight[chosen], term, by_owner.astype(np.int32), first  # the low half is the term
 
     def scores(self, doc: int) -> np.ndarray:
         """Of every document, the summed weights of the words it shares with `doc`."""
@@ -307,14 +312,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = own.sparkSession.sparkContext.broadcast(stats)
 
     def rows(names: list, ids: np.ndarray, counts: np.ndarray, index: Index, first: int):
+        """The batches of a shard's pieces, and how many sequences it has."""
         edge = np.concatenate([[0], np.cumsum(counts)])
-        pieces = pack_shard(edge, index, length)
-        for i in range(0, len(pieces), 5000):
-            d, s, n, q, o = np.array(pieces[i : i + 5000], np.int64).T
+        pieces = np.array(pack_shard(edge, index, length), np.int64)
+        full = np.bincount(pieces[:, 3], pieces[:, 2]).astype(np.int64)
+        for i in range(0, len(pieces), 2000):
+            d, s, n, q, o = pieces[i : i + 2000].T
             at = np.repeat(edge[d] + s - np.cumsum(n) + n, n) + np.arange(n.sum())
-            data = ids[at].astype("<u4")
-            values = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer((np.concatenate([[0], np.cumsum(n)]) * 4).astype(np.int32)), pa.py_buffer(data)])
-            yield [pa.array([names[j] for j in d], pa.int64()), pa.array(s), pa.array(n), values, pa.array(counts[d]), pa.array(q + first)], o, q
+            values = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer((np.concatenate([[0], np.cumsum(n)]) * 4).astype(np.int32)), pa.py_buffer(ids[at].astype("<u4", copy=False))])
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in d], pa.int64()), pa.array(s), pa.array(n), values, pa.array(counts[d]), pa.array(q + first), pa.array(o), pa.array(full[q])], schema=_SCHEMA), len(full)
 
     def pack(batches):
         from pyspark import TaskContext
@@ -325,14 +331,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def flush():
             nonlocal names, held_ids, counts, terms, term_counts, total, first
             index = Index(np.concatenate(terms), np.concatenate(term_counts), held.value)
-            out = list(rows(names, np.concatenate(held_ids), np.concatenate(counts), index, first))
-            q = np.concatenate([x[2] for x in out])
-            n = np.concatenate([x[0][2].to_numpy() for x in out])
-            full = np.bincount(q, n).astype(np.int64)
-            for columns, o, own_q in out:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(o), pa.array(full[own_q])], schema=_SCHEMA)
-            first += len(full)
-            names, held_ids, counts, terms, term_counts, total = [], [], [], [], [], 0
+            terms, term_counts = [], []
+            ids, held_ids = np.concatenate(held_ids), []
+            for batch, sequences in rows(names, ids, np.concatenate(counts), index, first):
+                yield batch
+            first += sequences
+            names, counts, total = [], [], 0
 
         for b in _shingles.trimmed(batches):
             keys = b.column(0)
