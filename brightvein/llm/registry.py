@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, ngram_join, packing, pii, quality, secrets, token_files
+from . import chat, fingerprints, licenses, media, mixing, ngram_join, packing, periodic, pii, quality, repair, secrets, token_files
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_secret_linking": secrets.op8_secret_linking,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+    "op11_motion_jpeg": media.op11_motion_jpeg,
+    "op12_structure_repair": repair.op12_structure_repair,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 SQL = {"op1_chat_format": chat.SQL, "op9_quality_rules": quality.SQL}
