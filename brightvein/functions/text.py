@@ -28,23 +28,6 @@ def normalise_glyphs(text: Column) -> Column:
     return F.regexp_replace(out, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", "")
 
 
-def join_digit_groups(text: Column) -> Column:
-    """Commas between digit groups dropped: 1,23,456 becomes 123456."""
-    return F.regexp_replace(text, r"(?<=\d),(?=\d{2,3}(?!\d))", "")
-
-
-def for_analysis(text: Column) -> Column:
-    """Digit groups joined, and the closed-up spellings of hyphenated words after the text, so either spelling is found."""
-    joined = join_digit_groups(text)
-    parted = F.array_distinct(F.regexp_extract_all(joined, F.lit(r"(?<![\p{L}-])(\p{L}+(?:-\p{L}+)+)(?![\p{L}-])"), F.lit(1)))
-    return F.concat_ws(" ", joined, F.array_join(F.transform(parted, lambda w: F.replace(w, F.lit("-"), F.lit(""))), " "))
-
-
-def analysed(text: Column) -> Column:
-    """Terms of a text or a query: lower case, words of letters, and numbers with their decimals."""
-    return F.regexp_extract_all(F.lower(join_digit_groups(text)), F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)?)"), F.lit(1))
-
-
 def figures(text: Column) -> Column:
     """A text's numerals in order, as exact canonical texts: sign, digits without leading zeros, fraction without trailing ones.
 

@@ -1,23 +1,26 @@
 """Boolean full-text search, the fallback where the BM25 index is unavailable.
 
 A query is words that must all be there, "phrases" in quotes, -words that must
-not, and OR between alternatives. Scores are cover densities: every shortest
-stretch of a text that holds all wanted terms adds more the less else it holds.
+not, and OR between alternatives. It is answered from postings with positions
+(`retrieval.postings`, kept by `retrieval.write_index`): a phrase is the
+intersection of its terms' position lists, an alternative that of its phrases'
+chunks. Scores are cover densities: every shortest stretch of a text that holds
+all wanted terms adds more the less else it holds.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analysed
+from ..functions import analysis
 from . import retrieval as R
 
-_PART = re.compile(r'(-?)"([^"]*)"|(\S+)')
-_TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?")
+_PART = regex.compile(r'(-?)"([^"]*)"|(\S+)')
+_TERM = regex.compile(analysis.TERM)
 #: What one term of a text without weights counts.
 WEIGHT = 0.1
 
@@ -40,7 +43,7 @@ def parse(query: str) -> list[Clause]:
             continue
         word = m[2] if m[3] is None else m[3]
         minus = m[1] == "-" if m[3] is None else word.startswith("-")
-        terms = tuple(_TERM.findall(re.sub(r"(?<=\d),(?=\d{2,3}(?!\d))", "", word.lower())))
+        terms = tuple(_TERM.findall(regex.sub(analysis.DIGIT_COMMA, "", word.lower())))
         if terms:
             (unwanted if minus else wanted).append(terms)
     clauses.append(Clause(tuple(wanted), tuple(unwanted)))
@@ -53,7 +56,7 @@ def _places(at: dict[str, list[int]], phrase: tuple[str, ...]) -> list[int]:
 
 
 def cover_density(terms: list[str], clauses: list[Clause]) -> float | None:
-    """The best alternative's score, or None if none matches."""
+    """The definition, for one text's terms: the best alternative's score, or None if none matches."""
     at: dict[str, list[int]] = {}
     for i, t in enumerate(terms):
         at.setdefault(t, []).append(i)
@@ -76,25 +79,58 @@ def cover_density(terms: list[str], clauses: list[Clause]) -> float | None:
     return best
 
 
-def full_text(chunks: DataFrame, queries: list[tuple[int, str]], key: str, k: int | None = None, text_col: str = "text") -> DataFrame:
-    """`query_id`, `key`, `score`, `rank` of the chunks that match; ties by key. `queries` is a stated list of (query_id, text)."""
-    parsed = [(i, parse(q)) for i, q in queries]
-    needed = sorted({t for _, cs in parsed for c in cs for p in c.wanted for t in p})
-    kind = chunks.schema[key].dataType.simpleString()
-    own = chunks.select(F.col(key).alias("key"), analysed(F.col(text_col)).alias("ts")).filter(F.arrays_overlap("ts", F.array(*map(F.lit, needed))) if needed else F.lit(False))
-
-    def work(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for name, ts in zip(b["key"], b["ts"]):
-                ts = list(ts)
-                for i, clauses in parsed:
-                    score = cover_density(ts, clauses) if clauses else None
-                    if score is not None:
-                        rows.append((i, name, round(score, 9)))
-            yield pd.DataFrame(rows, columns=["query_id", "key", "score"])
-
-    hits = own.mapInPandas(work, f"query_id long, key {kind}, score double").withColumnRenamed("key", key)
-    return R.ranked(hits, ["query_id"], [F.desc("score"), key], k)
+_PLAN = "query_id long, clause int, slot int, need int, wanted boolean, nth int, word string"
+
+
+def planned(spark, queries: list[tuple[int, str]], config: str = "simple") -> DataFrame:
+    """One row a term of a phrase of an alternative: `slot` numbers the wanted phrases (others follow), `off` is the term's place in its phrase, `n` how many terms it has and `span` how many places."""
+    made = []
+    for i, text in queries:
+        for c, clause in enumerate(parse(text)):
+            for s, phrase in enumerate((*clause.wanted, *clause.unwanted)):
+                made += [(i, c, s, len(clause.wanted), s < len(clause.wanted), j, w) for j, w in enumerate(phrase)]
+    rows = spark.createDataFrame(made, _PLAN)
+    if config != "simple":
+        rows = rows.filter(~F.col("word").isin(*analysis.STOP_WORDS)).withColumn("word", analysis.stem(F.col("word")))
+    by = ["query_id", "clause", "slot"]
+    own = rows.groupBy(*by).agg(F.first("wanted").alias("wanted"), F.collect_list(F.struct("nth", "word")).alias("ws"), F.min("nth").alias("low"), (F.max("nth") - F.min("nth") + 1).alias("span"))
+    # phrases of stop words alone are gone: what is left is numbered anew
+    left = own.groupBy("query_id", "clause").agg(F.array_sort(F.collect_list(F.struct(~F.col("wanted"), "slot", "wanted", "ws", "low", "span"))).alias("ps"))
+    left = left.select("query_id", "clause", F.size(F.filter("ps", lambda p: p["wanted"])).alias("need"), F.posexplode("ps").alias("slot", "p")).filter("need > 0")
+    flat = left.select("query_id", "clause", "need", "slot", "p.wanted", "p.span", F.size("p.ws").alias("n"), "p.low", F.explode("p.ws").alias("w"))
+    return flat.select("query_id", "clause", "need", "slot", "wanted", "span", "n", (F.col("w.nth") - F.col("low")).alias("off"), F.col("w.word").alias("term"))
+
+
+def density(slots: Column, need: Column) -> Column:
+    """The cover density of an alternative whose wanted phrases (`slot`, `span`, `places`) are all there: one fold over their places in order."""
+    events = F.array_sort(F.flatten(F.transform(slots, lambda s: F.transform(s["places"], lambda p: F.struct(p.alias("p"), s["slot"].alias("k"), s["span"].alias("span"))))))
+    least = F.aggregate(slots, F.lit(0), lambda n, s: n + s["span"])
+    start = F.struct(F.array_repeat(F.lit(-1), need).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).alias("total"))
+
+    def step(state, e):
+        last = F.transform(state["last"], lambda x, i: F.when(i == e["k"], e["p"]).otherwise(x))
+        moved = F.element_at(F.transform(F.array(F.struct(last.alias("last"), F.array_min(last).alias("low"))), lambda m: F.struct(m["last"].alias("last"), m["low"].alias("low"), (m["low"] > state["begun"]).alias("new"))), 1)
+        gain = lambda m: F.lit(WEIGHT) / (1 + F.greatest(e["p"] + e["span"] - m["low"] - least, F.lit(0)))
+        done = lambda m: F.struct(m["last"].alias("last"), F.when(m["new"], m["low"]).otherwise(state["begun"]).alias("begun"), (state["total"] + F.when(m["new"], gain(m)).otherwise(0.0)).alias("total"))
+        return F.element_at(F.transform(F.array(moved), done), 1)
+
+    return F.aggregate(events, start, step)["total"]
+
+
+def search_positions(post: DataFrame, queries: list[tuple[int, str]], keys: list[str], k: int | None = None, config: str = "simple") -> DataFrame:
+    """`query_id`, `keys`, `score`, `rank` of the chunks that match; ties by key. `post` has `keys`, `term` and `at`, the term's places; `queries` is a stated list of (query_id, text)."""
+    plan = planned(post.sparkSession, queries, config).persist()
+    terms = [r["term"] for r in plan.select("term").distinct().limit(10_001).collect()]
+    own = post.filter(F.col("term").isin(terms)) if len(terms) <= 10_000 else post
+    by = ["query_id", "clause", *keys]
+    hits = own.select(*keys, "term", "at").join(R.sized_broadcast(plan, 100_000), "term").withColumn("p", F.transform("at", lambda x: x - F.col("off")))
+    phrases = hits.groupBy(*by, "need", "slot", "wanted", "span", "n").agg(F.collect_list("p").alias("ps")).filter(F.size("ps") == F.col("n"))
+    phrases = phrases.withColumn("places", F.aggregate("ps", F.element_at("ps", 1), lambda a, b: F.array_intersect(a, b))).filter(F.size("places") > 0)
+    found = phrases.groupBy(*by, "need").agg(F.count_if(~F.col("wanted")).alias("bad"), F.collect_list(F.when(F.col("wanted"), F.struct("slot", "span", "places"))).alias("slots"))
+    found = found.filter((F.col("bad") == 0) & (F.size("slots") == F.col("need"))).withColumn("score", F.round(density(F.col("slots"), F.col("need")), 9))
+    return R.ranked(found.groupBy("query_id", *keys).agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), *keys], k)
+
+
+def full_text(chunks: DataFrame, queries: list[tuple[int, str]], key: str, k: int | None = None, text_col: str = "text", config: str = "simple") -> DataFrame:
+    """`search_positions` over chunks not indexed before, in one pass over their texts."""
+    return search_positions(R.postings(chunks, [key], text_col, config=config, positions=True), queries, [key], k, config)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import analysed
+from ..functions.analysis import analysed, for_analysis, is_term, stem, words
 
 K1, B, AVGDL = 1.2, 0.75, 99.21
 
@@ -16,10 +16,19 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
 
 
-def postings(chunks: DataFrame, keys: list[str], text_col: str = "text", avgdl: float = AVGDL) -> DataFrame:
-    """`keys`, `term`, `tf`, `len`, `weight`: one row a term of a chunk, its weight fixed by the chunk alone."""
-    terms = chunks.select(*keys, analysed(F.col(text_col)).alias("ts")).withColumn("len", F.size("ts"))
-    tf = terms.select(*keys, "len", F.explode("ts").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+def occurrences(chunks: DataFrame, keys: list[str], text_col: str = "text", config: str = "simple") -> DataFrame:
+    """`keys`, `len` (terms of the chunk), `at` and `term`: one row a term where it stands; stop words leave their places empty."""
+    own = chunks.select(*keys, words(for_analysis(F.col(text_col))).alias("ws"))
+    if config == "simple":
+        return own.select(*keys, F.size("ws").alias("len"), F.posexplode("ws").alias("at", "term"))
+    rows = own.select(*keys, F.size(F.filter("ws", lambda w: is_term(w, config))).alias("len"), F.posexplode("ws").alias("at", "word"))
+    return rows.filter(is_term(F.col("word"), config)).select(*keys, "len", "at", stem(F.col("word")).alias("term"))
+
+
+def postings(chunks: DataFrame, keys: list[str], text_col: str = "text", avgdl: float = AVGDL, config: str = "simple", positions: bool = False) -> DataFrame:
+    """`keys`, `term`, `tf`, `len`, `weight`: one row a term of a chunk, its weight fixed by the chunk alone; with `positions` also `at`, its places."""
+    rows = occurrences(chunks, keys, text_col, config).groupBy(*keys, "len", "term")
+    tf = rows.agg(F.count("*").alias("tf"), *([F.array_sort(F.collect_list("at")).alias("at")] if positions else []))
     return tf.withColumn("weight", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))))
 
 
@@ -28,8 +37,8 @@ def inverse_frequencies(post: DataFrame, chunks: int) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(float(chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"))
+def query_terms(queries: DataFrame, config: str = "simple") -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text"), config))).alias("term"))
 
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -37,41 +46,40 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, text_col: str = "text", avgdl: float = AVGDL) -> DataFrame:
+def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, text_col: str = "text", avgdl: float = AVGDL, config: str = "simple") -> DataFrame:
     """`bm25` over chunks not indexed before, in one pass over their texts.
 
     Terms are reduced to the queries' own before anything is shuffled; document
     frequencies are counted over all chunks, for these terms alone.
     """
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, config)
     own = sized_broadcast(wanted.select("term").distinct(), 100_000)
-    terms = chunks.select(*keys, analysed(F.col(text_col)).alias("ts")).withColumn("len", F.size("ts"))
-    tf = terms.select(*keys, "len", F.explode("ts").alias("term")).join(own, "term", "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    tf = occurrences(chunks, keys, text_col, config).join(own, "term", "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
     post = tf.withColumn("weight", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))))
-    return bm25(post, inverse_frequencies(post, chunks.count()), queries, keys, k)
+    return bm25(post, inverse_frequencies(post, chunks.count()), queries, keys, k, config)
 
 
-def bm25_best(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, scope: DataFrame | None = None, pool: str | None = None, kind: str | None = None, text_col: str = "text", avgdl: float = AVGDL) -> DataFrame:
+def bm25_best(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, scope: DataFrame | None = None, pool: str | None = None, kind: str | None = None, text_col: str = "text", avgdl: float = AVGDL, config: str = "simple") -> DataFrame:
     """The `k` best chunks of each query by BM25: `query_id`, `keys`, `score`, `rank`; ties by key.
 
     One pass counts the document frequencies of the queries' terms over all
     `chunks`; another scores `scope` (all, unless given) a batch at a time
-    against every query, and only what may be among the k best leaves a batch.
+    against every query, and only the k best of a query leave a task.
     With `pool`, chunks stand for their value of that column, which gets its
     best chunk's score; with `kind`, ranks restart for each of its values. The
     queries are a stated set: their terms are held by every task.
     """
-    asked = queries.select("query_id", F.array_distinct(analysed(F.col("text"))).alias("ts")).collect()
+    asked = queries.select("query_id", F.array_distinct(analysed(F.col("text"), config)).alias("ts")).collect()
     wanted = sorted({t for r in asked for t in r["ts"] or []})
     keys = [pool] if pool else keys
     schema = T.StructType([chunks.schema[c] for c in keys] + ([chunks.schema[kind]] if kind else []))
     shape = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *schema.fields, T.StructField("score", T.DoubleType())])
     spark = chunks.sparkSession
     own = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
-    df = {r["term"]: r["df"] for r in chunks.select(F.explode(F.array_distinct(analysed(F.col(text_col)))).alias("term")).join(own, "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    df = {r["term"]: r["df"] for r in chunks.select(F.explode(F.array_distinct(analysed(F.col(text_col), config))).alias("term")).join(own, "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
     n = chunks.count()
     work = _best_chunks([r["query_id"] for r in asked], [[t for t in r["ts"] or [] if t in df] for r in asked], df, n, k, avgdl, len(keys), kind is not None, pool is not None)
-    rows = (chunks if scope is None else scope).select(*keys, *([kind] if kind else []), analysed(F.col(text_col)).alias("ts"))
+    rows = (chunks if scope is None else scope).select(*keys, *([kind] if kind else []), analysed(F.col(text_col), config).alias("ts"))
     out = rows.mapInArrow(work, shape).withColumn("score", F.round("score", 9))
     if pool:
         out = out.groupBy("query_id", *schema.names).agg(F.max("score").alias("score"))
@@ -92,7 +100,26 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        values, weights = pa.array(vocabulary, pa.string()), np.array(idf)
+        def best(held, new):
+            """The k best rows of each query (and kind), ties by key; of a pool only its best."""
+            both = new if held is None else pa.concat_tables([held, new])
+            groups = ["query_id", *both.column_names[1 + width : -1]]
+            order = lambda t: t.take(pc.sort_indices(t, [*((g, "ascending") for g in groups), ("score", "descending"), *((c, "ascending") for c in t.column_names[1 : 1 + width])], null_placement="at_start"))
+
+            def changes(t, columns):
+                codes = [pc.fill_null(t[c].combine_chunks().dictionary_encode().indices, -1).to_numpy() for c in columns]
+                return np.concatenate([[True], np.any([np.diff(c) != 0 for c in codes], axis=0)])
+
+            both = order(both)
+            if pooled:
+                names = [*groups, *both.column_names[1 : 1 + width]]
+                codes = np.stack([pc.fill_null(both[c].combine_chunks().dictionary_encode().indices, -1).to_numpy() for c in names])
+                both = both.take(np.sort(np.unique(codes, axis=1, return_index=True)[1]))
+            first = np.flatnonzero(changes(both, groups))
+            place = np.arange(both.num_rows) - np.repeat(first, np.diff(np.append(first, both.num_rows)))
+            return both.filter(pa.array(place < k))
+
+        values, weights, held = pa.array(vocabulary, pa.string()), np.array(idf), None
         for b in batches:
             lists = b.column(b.num_columns - 1)
             length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
@@ -102,10 +129,6 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
             term, owner = pair // max(len(length), 1), pair % max(len(length), 1)
             weight = weights[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / avgdl)))
             head = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-            groups = np.arange(len(length))
-            if pooled:
-                groups = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            kinds = np.unique(pc.fill_null(b.column(width).cast(pa.string()), "").to_numpy(zero_copy_only=False), return_inverse=True)[1] if by_kind else np.zeros(len(length), int)
             rows, names, scores = [], [], []
             for i, own in asked:
                 at = np.concatenate([np.arange(head[t], head[t + 1]) for t in own])
@@ -113,39 +136,36 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
                     continue
                 score = np.round(np.bincount(owner[at], weight[at], len(length)), 9)
                 hits = np.flatnonzero(score > 0)
-                if pooled:  # of each group the best chunk, the first of equal ones
-                    order = np.lexsort((hits, -score[hits], groups[hits]))
-                    hits = hits[order][np.concatenate([[True], np.diff(groups[hits][order]) > 0])] if len(hits) else hits
-                for kind in np.unique(kinds[hits]):
-                    mine = hits[kinds[hits] == kind]
-                    if len(mine) > k:
-                        mine = mine[score[mine] >= np.partition(score[mine], len(mine) - k)[len(mine) - k]]  # ties with the last stay
-                    rows.append(mine)
-                    names += [i] * len(mine)
-                    scores.append(score[mine])
+                if len(hits) > k and not pooled and not by_kind:
+                    hits = hits[score[hits] >= np.partition(score[hits], len(hits) - k)[len(hits) - k]]
+                rows.append(hits)
+                names += [i] * len(hits)
+                scores.append(score[hits])
             if names:
                 take = pa.array(np.concatenate(rows))
                 columns = [b.column(c).take(take) for c in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(names), *columns, pa.array(np.concatenate(scores))], names=["query_id", *b.schema.names[:-1], "score"])
+                held = best(held, pa.Table.from_arrays([pa.array(names), *columns, pa.array(np.concatenate(scores))], names=["query_id", *b.schema.names[:-1], "score"]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches(max_chunksize=10_000)
 
     return work
 
 
-def write_index(chunks: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64) -> None:
-    """The postings of `chunks` as Parquet under `path`, in parts by term hash and sorted by term, with their idf.
+def write_index(chunks: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64, config: str = "simple", positions: bool = False) -> None:
+    """The postings of `chunks` (with `positions` also their places) as Parquet under `path`, in parts by term hash and sorted by term, with their idf.
 
     A search reads the parts of its terms alone, and of these the row groups
     whose statistics hold them.
     """
-    post = postings(chunks, keys, text_col)
+    post = postings(chunks, keys, text_col, config=config, positions=positions)
     part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     idf = inverse_frequencies(post, chunks.count())
     post.join(idf, "term").withColumn("part", part).repartition("part", F.pmod(F.xxhash64(*keys), F.lit(16))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
-def search_index(index: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, buckets: int = 64, where: Column | None = None) -> DataFrame:
-    """BM25 over what `write_index` wrote. `queries` is a stated set: its terms (up to 10,000) become filters of the scan."""
-    wanted = query_terms(queries)
+def search_index(index: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, buckets: int = 64, where: Column | None = None, config: str = "simple") -> DataFrame:
+    """BM25 over what `write_index` wrote, with the same `config`. `queries` is a stated set: its terms (up to 10,000) become filters of the scan."""
+    wanted = query_terms(queries, config)
     terms = [r["term"] for r in wanted.select("term").distinct().limit(10_001).collect()]
     if len(terms) <= 10_000:
         parts = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("p")).distinct().collect()
@@ -155,13 +175,13 @@ def search_index(index: DataFrame, queries: DataFrame, keys: list[str], k: int |
     return ranked(scored, ["query_id"], [F.desc("score"), *keys], k)
 
 
-def bm25(post: DataFrame, idf: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+def bm25(post: DataFrame, idf: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, config: str = "simple") -> DataFrame:
     """`query_id`, `keys`, `score`, `rank`: chunks sharing a term with a query, the k best of each; ties by key.
 
     `post` is an index that is kept; its rows are joined with the queries'
     terms before anything is aggregated.
     """
-    wanted = query_terms(queries).join(idf, "term")
+    wanted = query_terms(queries, config).join(idf, "term")
     hits = post.select(*keys, "term", "weight").join(wanted, "term")
     scored = hits.groupBy("query_id", *keys).agg(F.round(F.sum(F.col("weight") * F.col("idf")), 9).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), *keys], k)
@@ -181,7 +201,7 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, k: int, kind: str |
 
     The queries are a stated set, read block by block; each block goes to every
     partition of the vectors, where scores are matrix products and only the k
-    best of each query (and kind) leave a batch. Null ids and vectors of
+    best of each query (and kind) leave a task. Null ids and vectors of
     another length than the query's match nothing; ties go by key.
     """
     asked = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")).filter("q IS NOT NULL")
@@ -213,6 +233,7 @@ def _nearest(ids: list, rows: list, k: int):
     def work(batches):
         import pyarrow as pa
 
+        held: dict[tuple, tuple] = {}
         for batch in batches:
             keys, kinds = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
             lengths = np.diff(batch.column(2).offsets.to_numpy())
@@ -228,12 +249,14 @@ def _nearest(ids: list, rows: list, k: int):
                 for name in dict.fromkeys(kinds[rows].tolist()):
                     mine = kinds[rows] == name if name is not None else np.array([x is None for x in kinds[rows]])
                     score = np.round(q @ v[mine].T, 9)
-                    own = keys[rows][mine]
-                    order = np.argsort(own, kind="stable")
-                    own, score = own[order], score[:, order]
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    n = top.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, n)), pa.array(own[top].ravel()), pa.array([name] * (n * len(query)), pa.string()), pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query_id", "key", "kind", "score"])
+                    own = np.broadcast_to(keys[rows][mine], score.shape)
+                    if (size, name) in held:
+                        own, score = np.concatenate([held[size, name][0], own], 1), np.concatenate([held[size, name][1], score], 1)
+                    top = np.lexsort((own, -score), axis=1)[:, :k]
+                    held[size, name] = (np.take_along_axis(own, top, 1), np.take_along_axis(score, top, 1))
+        for (size, name), (own, score) in held.items():
+            query, n = by[size][0], own.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, n)), pa.array(own.ravel()), pa.array([name] * (n * len(query)), pa.string()), pa.array(score.ravel())], names=["query_id", "key", "kind", "score"])
 
     return work
 

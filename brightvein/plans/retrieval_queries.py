@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.analysis import analysed
+from ..operators import fulltext
 from ..operators import retrieval as R
 from ._tables import registrar
 
@@ -11,7 +13,8 @@ QUERIES: dict = {}
 SQL: dict = {}
 query = registrar(QUERIES, SQL)
 
-_TERMS = "regexp_extract_all(lower(regexp_replace(regexp_replace({0}, '([0-9]),([0-9]{{2,3}})\\b', '\\1\\2', 'g'), '([0-9]),([0-9]{{2,3}})\\b', '\\1\\2', 'g')), '[a-z]+|[0-9]+(?:\\.[0-9]+)?')"
+_JOINED = "regexp_replace(regexp_replace({0}, '([0-9]),([0-9]{{2,3}})\\b', '\\1\\2', 'g'), '([0-9]),([0-9]{{2,3}})\\b', '\\1\\2', 'g')"
+_TERMS = f"regexp_extract_all(lower({_JOINED} || ' ' || array_to_string(list_transform(regexp_extract_all({_JOINED}, '\\pL+(?:-\\pL+)+'), lambda w: replace(w, '-', '')), ' ')), '[\\pL\\pM]+|\\p{{{{Nd}}}}+(?:\\.\\p{{{{Nd}}}}+)?')"
 _BLOCKS = "SELECT doc_id, i - 1 AS ordinal, ls[i] AS text, lang FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)"
 _POST = f"""b AS ({_BLOCKS}), w AS (SELECT doc_id, ordinal, lang, {_TERMS.format('text')} AS ts FROM b),
 e AS (SELECT doc_id, ordinal, lang, len(ts) AS len, unnest(ts) AS term FROM w),
@@ -21,6 +24,13 @@ q AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS.format('text')}))
 s AS (SELECT query_id, doc_id, ordinal, lang, round(sum(weight * idf), 9) AS score FROM p JOIN idf USING (term) JOIN q USING (term) GROUP BY query_id, doc_id, ordinal, lang)"""
 
 
+@query(f"SELECT item_id, CAST(unnest(range(1, len(ts) + 1)) AS INT) AS place, unnest(ts) AS term FROM (SELECT item_id, {_TERMS.format('text')} AS ts FROM benchmark UNION ALL SELECT -1 - doc_id, {_TERMS.format('text')} FROM documents)")
+def i5_analysed_terms(t):
+    """The terms of every document (below 0) and query, in order, by the one chain both go through."""
+    texts = t.benchmark.select("item_id", "text").unionAll(t.documents.select(-1 - F.col("doc_id"), "text"))
+    return texts.select("item_id", F.posexplode(analysed(F.col("text"))).alias("place", "term")).withColumn("place", F.col("place") + 1)
+
+
 def _index(t):
     chunks = R.blocks(t.documents)
     post = R.postings(chunks, ["doc_id", "ordinal", "lang"])
@@ -62,6 +72,35 @@ def b1_filtered_search_whole(t):
     return R.bm25_best(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"], 5, scope).select("query_id", "doc_id", "ordinal", "rank")
 
 
+def _boolean(words: list[str]) -> str | None:
+    """A query with a phrase, a word, an unwanted word and an alternative, from a text's first seven terms."""
+    return f'"{words[0]} {words[1]}" {words[2]} -{words[3]} OR "{words[4]} {words[5]} {words[6]}"' if len(words) > 6 else None
+
+
+def _boolean_queries(t) -> list[tuple[int, str]]:
+    """The stated queries: one for each benchmark text."""
+    asked = t.benchmark.select("item_id", F.slice(analysed(F.col("text")), 1, 7).alias("ws")).orderBy("item_id").collect()
+    return [(r["item_id"], _boolean(r["ws"])) for r in asked if _boolean(r["ws"])]
+
+
+_HAS = "contains(' ' || array_to_string(w.ts, ' ') || ' ', ' ' || {0} || ' ')"
+
+
+@query(f"""WITH b AS ({_BLOCKS}), w AS (SELECT doc_id, ordinal, {_TERMS.format('text')} AS ts FROM b), q AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS q FROM benchmark)
+SELECT query_id, doc_id, ordinal FROM w, q WHERE len(q) > 6 AND (({_HAS.format("q[1] || ' ' || q[2]")} AND {_HAS.format('q[3]')} AND NOT {_HAS.format('q[4]')}) OR {_HAS.format("q[5] || ' ' || q[6] || ' ' || q[7]")})""")
+def g9_boolean_search(t):
+    """The blocks that a boolean query made of each benchmark text finds, by intersection of position lists."""
+    post = R.postings(R.blocks(t.documents), ["doc_id", "ordinal"], positions=True)
+    return fulltext.search_positions(post, _boolean_queries(t), ["doc_id", "ordinal"]).select("query_id", "doc_id", "ordinal")
+
+
+@query()
+def g9_cover_density(t):
+    """The ten best blocks for each such query by cover density; held against plain Python in tests."""
+    post = R.postings(R.blocks(t.documents), ["doc_id", "ordinal"], positions=True)
+    return fulltext.search_positions(post, _boolean_queries(t), ["doc_id", "ordinal"], 10)
+
+
 _DENSE = "n AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings), d AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 9) AS score FROM n a, n b WHERE a.vec_id % 100 = 0)"
 
 
@@ -86,10 +125,13 @@ l AS (SELECT * FROM l1 WHERE rank <= 20 UNION ALL SELECT * FROM l2 WHERE rank <=
 
 
 def _lists(t):
+    """Two lists of documents from one pass over the blocks' scores: by their best block, and by the sum of all."""
     scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"])
     per = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("m"), F.round(F.sum("score"), 6).alias("s"))
-    lists = [R.ranked(per.select("query_id", "doc_id", F.lit(n).alias("retriever"), F.col(c).alias("score")), ["query_id"], [F.desc("score"), "doc_id"], 20) for n, c in (("bm25", "m"), ("sum", "s"))]
-    return lists[0].unionByName(lists[1])
+    both = R.ranked(R.ranked(per, ["query_id"], [F.desc("m"), "doc_id"], None, "by_m"), ["query_id"], [F.desc("s"), "doc_id"], None, "by_s")
+    entry = lambda name, score, rank: F.struct(F.lit(name).alias("retriever"), F.col(score).alias("score"), F.col(rank).alias("rank"))
+    lists = both.filter("by_m <= 20 OR by_s <= 20").select("query_id", "doc_id", F.explode(F.array(entry("bm25", "m", "by_m"), entry("sum", "s", "by_s"))).alias("x"))
+    return lists.select("query_id", "doc_id", "x.*").filter("rank <= 20")
 
 
 @query(f"WITH {_LISTS} SELECT query_id, doc_id, round(score, 9) AS score, place FROM (SELECT query_id, doc_id, sum(1e0 / (rank + 60)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1e0 / (rank + 60)), 12) DESC, min(rank), doc_id) AS place FROM l GROUP BY 1, 2) WHERE place <= 10")

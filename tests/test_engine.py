@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from brightvein.functions import analysis
 from brightvein.functions import text as X
 from brightvein.operators import lifecycle
 from brightvein.operators import retrieval as R
@@ -58,7 +59,7 @@ def test_numerals(spark, text, values):
 
 
 def test_digit_groups(spark):
-    got = spark.range(1).select(*(X.join_digit_groups(F.lit(t)) for t in ("(10,000)", "1,2345", "notes 1,2,3"))).first()
+    got = spark.range(1).select(*(analysis.join_digit_groups(F.lit(t)) for t in ("(10,000)", "1,2345", "notes 1,2,3"))).first()
     assert list(got) == ["(10000)", "1,2345", "notes 1,2,3"]
 
 

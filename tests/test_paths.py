@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightvein import seams
+from brightvein.functions import analysis
 from brightvein.functions import text as X
 from brightvein.operators import answering, chunking, evidence, fulltext, generations, hybrid, sections
 from brightvein.operators import retrieval as R
@@ -37,7 +38,7 @@ def test_glyphs_and_analysis(spark):
     one = lambda t: spark.range(1).select(X.normalise_glyphs(F.lit(t)).alias("a"), X.normalise_glyphs(X.normalise_glyphs(F.lit(t))).alias("b")).first()
     for text, want in {"a-\nb-\nc": "a-b-c", "é- \n  ü": "é-ü", "2023-\n24": "2023-\n24", "x‐\ny": "x-y"}.items():
         assert tuple(one(text)) == (want, want)
-    assert spark.range(1).select(X.analysed(X.for_analysis(F.lit("Long-term 1,23,456"))).alias("t")).first()["t"] == ["long", "term", "123456", "longterm"]
+    assert spark.range(1).select(analysis.analysed(F.lit("Long-term 1,23,456")).alias("t")).first()["t"] == ["long", "term", "123456", "longterm"]
 
 
 def test_markers(spark):
