@@ -16,12 +16,13 @@ PREFIXES = {"document": "search_document: ", "query": "search_query: "}
 LONGEST, BATCH = 6000, 32
 
 
-def embed(texts: DataFrame, model: Embedder, dimensions: int, kind: str = "document", text_col: str = "text") -> DataFrame:
+def embed(texts: DataFrame, model: Embedder, dimensions: int, kind: str = "document", text_col: str = "text", tell: bool = False) -> DataFrame:
     """`texts` with `vector`, each of the given length and at length one (a zero vector stays).
 
     A text longer than `LONGEST` characters, and an answer of another shape,
-    are errors, as a cut text would silently stand for the whole. Null texts
-    get null vectors.
+    are errors, as a cut text would silently stand for the whole. With `tell`
+    they are not raised: the rows concerned have a null vector and say why in
+    `failure`, and the others go on. Null texts get null vectors.
     """
     schema = texts.schema
     prefix = PREFIXES[kind]
@@ -31,7 +32,12 @@ def embed(texts: DataFrame, model: Embedder, dimensions: int, kind: str = "docum
 
         for b in batches:
             out: list = [None] * len(b)
+            why: list = [None] * len(b)
             at = [i for i, t in enumerate(b[text_col]) if t is not None]
+            if tell:
+                for i in at:
+                    why[i] = "TextTooLong" if len(b[text_col].iloc[i]) > LONGEST else None
+                at = [i for i in at if why[i] is None]
             for i in range(0, len(at), BATCH):
                 part = at[i : i + BATCH]
                 sent = [b[text_col].iloc[j] for j in part]
@@ -39,14 +45,19 @@ def embed(texts: DataFrame, model: Embedder, dimensions: int, kind: str = "docum
                     raise ValueError(f"a text has more than {LONGEST} characters")
                 got = model([prefix + t for t in sent])
                 if len(got) != len(sent) or any(len(v) != dimensions for v in got):
+                    if tell:
+                        for j in part:
+                            why[j] = "WrongShape"
+                        continue
                     raise ValueError(f"the model did not give {len(sent)} vectors of {dimensions} numbers")
                 for j, v in zip(part, got):
                     out[j] = [float(x) for x in v]
-            yield b.assign(vector=pd.Series(out, index=b.index, dtype=object))
+            made = b.assign(vector=pd.Series(out, index=b.index, dtype=object))
+            yield made.assign(failure=pd.Series(why, index=b.index, dtype=object)) if tell else made
 
     from pyspark.sql import types as T
 
-    made = texts.mapInPandas(work, T.StructType([*schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+    made = texts.mapInPandas(work, T.StructType([*schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), *([T.StructField("failure", T.StringType())] if tell else [])]))
     return made.withColumn("vector", F.when(F.col("vector").isNotNull(), unit_vector(F.col("vector"))))
 
 

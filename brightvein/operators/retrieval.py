@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,6 +152,12 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
     return work
 
 
+def part_of(term: str, buckets: int) -> int:
+    """What Spark's `pmod(xxhash64(term), buckets)` is."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (h >> 63 << 64)) % buckets
+
+
 def write_index(chunks: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64, config: str = "simple", positions: bool = False) -> None:
     """The postings of `chunks` (with `positions` also their places) as Parquet under `path`, in parts by term hash and sorted by term, with their idf.
 
@@ -166,10 +173,11 @@ def write_index(chunks: DataFrame, path: str, keys: list[str], text_col: str = "
 def search_index(index: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None, buckets: int = 64, where: Column | None = None, config: str = "simple") -> DataFrame:
     """BM25 over what `write_index` wrote, with the same `config`. `queries` is a stated set: its terms (up to 10,000) become filters of the scan."""
     wanted = query_terms(queries, config)
-    terms = [r["term"] for r in wanted.select("term").distinct().limit(10_001).collect()]
-    if len(terms) <= 10_000:
-        parts = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("p")).distinct().collect()
-        index = index.filter(F.col("part").isin([r["p"] for r in parts]) & F.col("term").isin(terms))
+    asked = wanted.limit(10_001).collect()
+    if len(asked) <= 10_000:
+        terms = sorted({r["term"] for r in asked})
+        wanted = F.broadcast(index.sparkSession.createDataFrame(asked, wanted.schema))
+        index = index.filter(F.col("part").isin(sorted({part_of(t, buckets) for t in terms})) & F.col("term").isin(terms))
     hits = index.select(*keys, "term", "weight", "idf") if where is None else index.filter(where).select(*keys, "term", "weight", "idf")
     scored = hits.join(wanted, "term").groupBy("query_id", *keys).agg(F.round(F.sum(F.col("weight") * F.col("idf")), 9).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), *keys], k)

@@ -79,14 +79,21 @@ def footnotes(tables: DataFrame, notes: DataFrame, by: list[str], blocks: int =
     return ranked(near.filter(wide > share).filter("marker <> ''"), [*by, "table_id", "marker"], ["__n"], 1, "__m").select("table_id", "marker", "note_id")
 
 
+#: What stands in brackets where a table is continued, without blanks and full stops.
+CONTINUED = ("continued", "cont'd", "contd")
+
+
 def continuation(tables: DataFrame, blocks: DataFrame, by: list[str], most: int = 30) -> DataFrame:
-    """(`table_id`, `title`): the nearest block above a table, among the `most` nearest, that says it is continued, without that word.
+    """(`table_id`, `title`): what comes before the bracketed word in the nearest block above a table, among the `most` nearest, that says in brackets that it is continued; null if that is nothing.
 
     Tables have `table_id` and `top`, blocks `block_id`, `text` and `by0`.
     """
     above = ranked(tables.join(blocks, by).filter(F.col("by0") < F.col("top")), [*by, "table_id"], [F.desc("by0"), "block_id"], most, "__n")
-    said = r"(?i)\(?\s*(?:continued|contd[.]?)\s*\)?\s*$"
-    return ranked(above.filter(F.col("text").rlike(said)), [*by, "table_id"], ["__n"], 1, "__m").select("table_id", F.trim(F.regexp_replace("text", said, "")).alias("title"))
+    inner = lambda m: F.lower(F.regexp_replace(m, r"[()\s.]", ""))
+    marks = F.filter(F.regexp_extract_all("text", F.lit(r"([(][^()]*[)])"), F.lit(1)), lambda m: inner(m).isin(*CONTINUED))
+    said = above.withColumn("__mark", F.try_element_at(marks, F.lit(1))).filter("__mark IS NOT NULL")
+    title = F.nullif(F.trim(F.regexp_replace(F.expr("substring_index(text, __mark, 1)"), r"\s+", " ")), F.lit(""))
+    return ranked(said, [*by, "table_id"], ["__n"], 1, "__m").select("table_id", title.alias("title"))
 
 
 def reading_order(rows: DataFrame, by: list[str], order: list, name: str = "ordinal") -> DataFrame:

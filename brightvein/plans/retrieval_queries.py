@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.analysis import analysed
-from ..operators import fulltext
+from ..operators import block_max, fulltext, vector_index
 from ..operators import retrieval as R
+from ..sources.shared import fresh_path
 from ._tables import registrar
 
 QUERIES: dict = {}
@@ -57,6 +58,24 @@ def g3_bm25_search(t):
     return R.bm25_best(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", F.round("score", 5).alias("score"), "rank")
 
 
+def _block_index(t) -> block_max.Blocks:
+    path = fresh_path(t.spark, "blocks")
+    block_max.write_blocks(R.blocks(t.documents), path, ["doc_id", "ordinal"], ["lang"])
+    return block_max.Blocks(t.spark, path)
+
+
+@query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s) WHERE rank <= 5")
+def g3_block_max_search(t):
+    """As g3_bm25_search, from a kept index of which only blocks that can reach the bar are read."""
+    return _block_index(t).search(_queries(t), ["doc_id", "ordinal"], 5).select("query_id", "doc_id", "ordinal", F.round("score", 5).alias("score"), "rank")
+
+
+@query()
+def f5_blocks_read(t):
+    """How many blocks of its terms' postings each of these searches reads, and how many there are."""
+    return _block_index(t).blocks_read(_queries(t), ["doc_id", "ordinal"], 5)
+
+
 @query(f"WITH {_POST} SELECT query_id, doc_id, ordinal, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM s WHERE lang IN ('en', 'de') AND doc_id BETWEEN 100 AND 600) WHERE rank <= 5")
 def b1_filtered_search(t):
     """Hard filters come before the ranking, never after its limit."""
@@ -111,6 +130,35 @@ def g1_dense_search(t):
     return R.dense(t.embeddings, queries, "vec_id", 10).withColumn("score", F.round("score", 5))
 
 
+def _vector_index(t) -> vector_index.Vectors:
+    path = fresh_path(t.spark, "vectors")
+    vector_index.write_vectors(t.embeddings, path, "vec_id", ["label"])
+    return vector_index.Vectors(t.spark, path)
+
+
+def _hundredths(t):
+    return t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query()
+def a26_vector_index_search(t):
+    """The ten nearest vectors from a kept index of lists; a query reads the lists of its nearest centroids."""
+    return _vector_index(t).search(_hundredths(t), "vec_id", 10)
+
+
+@query()
+def a26_vector_index_recall(t):
+    """How many of each query's ten nearest that search finds, against the exact one."""
+    return vector_index.recall(a26_vector_index_search(t), R.dense(t.embeddings, _hundredths(t), "vec_id", 10), "vec_id")
+
+
+@query(f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d WHERE label % 3 = 1) WHERE rank <= 10")
+def a26_filtered_index_search(t):
+    """All lists of the index, a payload filter pushed to their scan: exact."""
+    hits = _vector_index(t).search(_hundredths(t), "vec_id", 10, vector_index.MOST_LISTS, F.col("label") % 3 == 1)
+    return hits.withColumn("score", F.round("score", 5))
+
+
 @query(f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY score DESC, vec_id) AS rank FROM d), k AS (SELECT *, CASE WHEN rank <= CASE WHEN label % 2 = 0 THEN 6 ELSE 4 END THEN 0 ELSE 1 END AS a FROM r) SELECT query_id, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a, label % 2, rank) AS place FROM k) WHERE place <= 10")
 def g5_allocation(t):
     queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 MEDIA = {".pdf": "application/pdf", ".html": "text/html", ".htm": "text/html", ".xml": "application/xml", ".txt": "text/plain", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 
 
-def load_manifest(spark: SparkSession, path: str, schema, version: int = 1) -> DataFrame:
-    """A TOML manifest's entries as typed rows; unknown or missing keys and another version are refused."""
+def load_manifest(spark: SparkSession, path: str, schema, version: int = 1, choices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """A TOML manifest's entries as typed rows; another version, unknown or missing keys, and values that are none of a field's `choices` are refused by entry.
+
+    A choice is taken in any case and with blanks around it, and comes out as it
+    is listed.
+    """
     with open(path, "rb") as f:
         raw = tomllib.load(f)
     if raw.get("version") != version:
         raise ValueError("another manifest version")
-    names = set(schema.fieldNames())
-    for entry in raw.get("entries", []):
-        if set(entry) != names:
-            raise ValueError(f"keys {sorted(set(entry) ^ names)}")
-    return spark.createDataFrame([tuple(e[n] for n in schema.fieldNames()) for e in raw.get("entries", [])], schema)
-
-
-def files(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFrame:
-    """`path`, `byte_size`, `content_hash` of the files that are neither empty nor over `most` bytes."""
-    found = spark.read.format("binaryFile").load(path).filter((F.col("length") > 0) & (F.col("length") <= most))
-    return found.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_hash"), sniffed(F.col("content")).alias("detected"), media_type(F.col("path")).alias("declared"))
+    names, rows = schema.fieldNames(), []
+    for i, entry in enumerate(raw.get("entries", [])):
+        if set(entry) != set(names):
+            raise ValueError(f"entry {i}: keys {sorted(set(entry) ^ set(names))}")
+        entry = dict(entry)
+        for field, known in (choices or {}).items():
+            found = {k.lower(): k for k in known}.get(str(entry[field]).strip().lower())
+            if found is None:
+                raise ValueError(f"entry {i}: {field} is none of {', '.join(known)}")
+            entry[field] = found
+        rows.append(tuple(entry[n] for n in names))
+    return spark.createDataFrame(rows, schema)
 
 
 def sniffed(content: Column) -> Column:

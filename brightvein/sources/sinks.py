@@ -28,18 +28,25 @@ def flattened(pages: DataFrame, children: str = "children") -> DataFrame:
         now = now.select("run_id", F.col("element_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.posexplode(F.col("e")[children]).alias("ordinal", "e"))
 
 
+def _add(rows: DataFrame, path: str, key: list[str], part: str | None = None) -> None:
+    """Append the rows whose key the table lacks, so that a repeated write adds what is missing and nothing else."""
+    new = insert_missing(_read(rows.sparkSession, path, rows), rows, key).write.mode("append")
+    (new.partitionBy(part) if part else new).parquet(path)
+
+
 def record_elements(elements: DataFrame, path: str) -> int:
     """Write a run's flattened elements, and table and cell details to tables of their own; the number of elements.
 
-    Rows go to `elements`, `tables` and `cells` under `path`.
+    Rows go to `elements`, `tables` and `cells` under `path`, by run and
+    element: what is there already is not written again.
     """
     shared = ["run_id", "element_id", "parent_id", "ordinal", "depth", "element_type", "text", "failure_reason", "page_number"]
     have = [c for c in shared if c in elements.columns]
-    elements.select(*have, F.length("text").alias("char_count")).write.mode("append").partitionBy("run_id").parquet(f"{path}/elements")
+    _add(elements.select(*have, F.length("text").alias("char_count")), f"{path}/elements", ["run_id", "element_id"], "run_id")
     for kind, columns in (("table", ("caption", "verdict", "verdict_reasons")), ("cell", ("row_index", "column_index", "header_path", "row_label_path", "is_header", "is_total", "units"))):
         own = [c for c in columns if c in elements.columns]
         if own:
-            elements.filter(F.col("element_type") == kind).select("run_id", "element_id", *own).write.mode("append").partitionBy("run_id").parquet(f"{path}/{kind}s")
+            _add(elements.filter(F.col("element_type") == kind).select("run_id", "element_id", *own), f"{path}/{kind}s", ["run_id", "element_id"], "run_id")
     return elements.count()
 
 
@@ -58,16 +65,18 @@ def record_chunks(chunks: DataFrame, path: str, generation_id: str, version_id:
     """Chunks, their sources, and an outbox event for each child, under `path`.
 
     Parquet has no transaction over three tables. The outbox, which makes
-    chunks visible to indexing, is written last, and ids are derived from the
-    generation and the place, so a repeated write changes nothing that is read
-    by id.
+    chunks visible to indexing, is written last, ids are derived from the
+    generation and the place, and rows whose id is there are not written again:
+    a write that broke off is simply repeated.
     """
     own = chunks.withColumn("chunk_id", F.sha2(F.concat_ws("/", F.lit(generation_id), F.col("doc_id").cast("string"), F.col("ordinal").cast("string")), 256))
     parent = F.when(F.col("parent").isNotNull(), F.sha2(F.concat_ws("/", F.lit(generation_id), F.col("doc_id").cast("string"), F.col("parent").cast("string")), 256))
     own = own.withColumn("parent_id", parent).withColumn("generation_id", F.lit(generation_id)).withColumn("document_version_id", F.lit(version_id)).withColumn("config_version", F.lit(config))
-    own.drop("element_ids", "parent").write.mode("append").partitionBy("generation_id").parquet(f"{path}/chunks")
-    own.select("generation_id", "chunk_id", F.posexplode(F.array_distinct("element_ids")).alias("position", "source_element_id")).write.mode("append").partitionBy("generation_id").parquet(f"{path}/chunk_sources")
-    own.filter("role = 'child'").select("generation_id", "chunk_id", F.lit("pending").alias("state"), F.lit(0).alias("attempts")).write.mode("append").partitionBy("generation_id").parquet(f"{path}/outbox")
+    _add(own.drop("element_ids", "parent"), f"{path}/chunks", ["generation_id", "chunk_id"], "generation_id")
+    sources = own.select("generation_id", "chunk_id", F.posexplode(F.array_distinct("element_ids")).alias("position", "source_element_id"))
+    _add(sources, f"{path}/chunk_sources", ["generation_id", "chunk_id", "position"], "generation_id")
+    events = own.filter("role = 'child'").select("generation_id", "chunk_id", F.lit("pending").alias("state"), F.lit(0).alias("attempts"))
+    _add(events, f"{path}/outbox", ["generation_id", "chunk_id"], "generation_id")
 
 
 def cache_vectors(rows: DataFrame, path: str, key: tuple[str, ...] = ("digest", "model", "config", "kind")) -> int:
@@ -121,12 +130,12 @@ def delete_generations(spark: SparkSession, path: str, ids: list[str]) -> int:
     return before - (spark.read.parquet(path).count() if some else 0)
 
 
-def record_answers(decisions: DataFrame, claims: DataFrame, path: str) -> None:
-    """Append decided answers, and their claims, under `path`; an abstention that releases claims is refused."""
+def record_answers(decisions: DataFrame, claims: DataFrame, path: str, key: str = "answer_id", claim: str = "claim_index") -> None:
+    """Add decided answers, and their claims, under `path`, by their keys; an abstention that releases claims is refused."""
     if decisions.filter("(decision = 'abstained') <> (released = 0)").limit(1).count():
         raise ValueError("an answer is abstained from just when nothing is released")
-    decisions.write.mode("append").parquet(f"{path}/answers")
-    claims.write.mode("append").parquet(f"{path}/answer_claims")
+    _add(claims, f"{path}/answer_claims", [c for c in (key, claim) if c in claims.columns])
+    _add(decisions, f"{path}/answers", [key])
 
 
 def write_report(report: DataFrame, path: str) -> None:

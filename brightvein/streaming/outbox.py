@@ -11,22 +11,36 @@ from pyspark.sql import functions as F
 def drain(spark: SparkSession, outbox: str, index: str, dead: str, checkpoint: str, schema, transform: Callable[[DataFrame], DataFrame], key: str = "chunk_id", files: int = 1) -> None:
     """Process everything pending in `outbox`, then stop.
 
-    A batch that raises ValueError is written to `dead` with the error's name (a
-    permanent failure);
-    any other error leaves it pending, for its offset is not committed. Rows
-    already in `index` are not written again.
+    `transform` may add a column `failure`: rows where it is not null failed for
+    good and go to `dead` with that reason, the others to `index`. A ValueError
+    raised by `transform` itself lays the whole batch aside; any other error
+    leaves the batch pending, for its offset is not committed. A redelivered
+    batch changes nothing: rows already in `index` are not written again, and a
+    batch's failures replace those it told before.
     """
-    spark.createDataFrame([], transform(spark.createDataFrame([], schema)).schema).write.mode("append").parquet(index)
+    shape = transform(spark.createDataFrame([], schema)).drop("failure")
+    spark.createDataFrame([], shape.schema).write.mode("append").parquet(index)
+
+    def lay_aside(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     def one(batch: DataFrame, number: int) -> None:
         first = batch.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in batch.columns if c != key]))).filter("__n = 1").drop("__n")
         try:
             out = transform(first)
+            tells = "failure" in out.columns
+            if tells:
+                out = out.persist()
+                if out.filter("failure IS NOT NULL").limit(1).count():
+                    lay_aside(first.join(out.filter("failure IS NOT NULL").select(key, F.col("failure").alias("failure_reason")), key), number)
+            good = out.filter("failure IS NULL").drop("failure") if tells else out
             # of the index only the keys that the batch also has are looked at
             known = spark.read.parquet(index).select(key).join(F.broadcast(first.select(key)) if first.limit(100_001).count() <= 100_000 else first.select(key), key, "left_semi")
-            out.join(known, key, "left_anti").write.mode("append").parquet(index)
+            good.join(known, key, "left_anti").write.mode("append").parquet(index)
+            if tells:
+                out.unpersist()
         except ValueError as error:
-            first.withColumn("failure_reason", F.lit(type(error).__name__)).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(dead)
+            lay_aside(first.withColumn("failure_reason", F.lit(type(error).__name__)), number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(outbox)
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

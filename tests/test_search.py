@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightvein.functions import analysis
-from brightvein.operators import fulltext
+from brightvein.operators import block_max, fulltext, vector_index
 from brightvein.operators import retrieval as R
 from brightvein.plans import registry
 
@@ -146,3 +146,68 @@ def test_cover_density_query(spark):
     hits = registry.QUERIES["g9_cover_density"](spark, FOLDER).collect()
     found = {(r["query_id"], r["doc_id"], r["ordinal"]) for r in registry.QUERIES["g9_boolean_search"](spark, FOLDER).collect()}
     assert hits and {(r["query_id"], r["doc_id"], r["ordinal"]) for r in hits} <= found and all(re.fullmatch(r"\d+", str(r["rank"])) for r in hits)
+
+
+def test_block_max_is_bm25(spark, tmp_path):
+    """Same rows as the whole search, also with a filter, ties, few hits and unseen terms; far fewer blocks."""
+    r = random.Random(7)
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    common = [f"w{letters(i)}" for i in range(30)]
+    topic = lambda i: [f"t{letters(i // 40)}x{letters(j)}" for j in range(12)]
+    rows = [(i, i % 3, " ".join(r.choice(common + topic(i) * 3) for _ in range(r.randint(0, 25)))) for i in range(1600)]
+    rows += [(5000 + i, 0, rows[7][2]) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "id long, kind int, text string").withColumn("topic", F.floor(F.col("id") / 40))
+    asked = [(1, "wb wc tdxe"), (2, "tfxb tfxc tfxd wh"), (3, "unseen"), (4, rows[7][2]), (5, "tjxb"), (6, None), (7, " ".join(common))]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    block_max.write_blocks(chunks, f"{tmp_path}/b", ["id", "kind"], ["topic"], buckets=8, rows=16)
+    index = block_max.Blocks(spark, f"{tmp_path}/b", 8)
+    key = lambda df: sorted((x["query_id"], x["id"], x["rank"], round(x["score"], 6)) for x in df.collect())
+    assert key(index.search(queries, ["id", "kind"], 7)) == key(R.bm25_search(chunks, queries, ["id", "kind"], 7))
+    scoped = R.bm25_best(chunks, queries, ["id", "kind"], 7, chunks.filter("kind = 1"))
+    assert key(index.search(queries, ["id", "kind"], 7, F.col("kind") == 1)) == key(scoped)
+    read = {x["query_id"]: (x["blocks_read"], x["blocks_of_terms"]) for x in index.blocks_read(queries, ["id", "kind"], 7).collect()}
+    assert all(a <= b for a, b in read.values()) and read[2][0] < read[2][1] / 4 and read[5][0] == read[5][1] < 8
+    block_max.write_blocks(chunks.limit(0), f"{tmp_path}/none", ["id"], buckets=8)
+    assert block_max.Blocks(spark, f"{tmp_path}/none", 8).search(queries, ["id"], 5).collect() == []
+    terms = ["w1", "é", "long term of bytes", "2024"]
+    got = spark.createDataFrame([(t,) for t in terms], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(64)).alias("p")).collect()
+    assert {x["t"]: x["p"] for x in got} == {t: R.part_of(t, 64) for t in terms}
+
+
+def test_blocks_read(spark):
+    """Over `documents`, whose words are few and all frequent, whole passages as queries leave little unread."""
+    rows = registry.QUERIES["f5_blocks_read"](spark, FOLDER).collect()
+    assert rows and all(r["postings_read"] <= r["postings_of_terms"] for r in rows) and sum(r["blocks_read"] for r in rows) < sum(r["blocks_of_terms"] for r in rows)
+
+
+def test_vector_index(spark, tmp_path):
+    """Recall of 0.9 or more against the exact search; exact with all lists; every row is in a list."""
+    for folder in (FOLDER, "/root/testdata/sf0.1"):
+        got = registry.QUERIES["a26_vector_index_recall"](spark, folder).agg(F.sum("found"), F.sum("wanted")).first()
+        assert got[0] >= 0.9 * got[1]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "b"), (3, [0.0, 1.0], "a"), (4, [1.0, 0.0], "a"), (5, None, "a"), (None, [1.0, 1.0], "a"), (6, [1.0, 2.0, 3.0], "a"), (7, [], "a"), (8, [0.0, 0.0], "a")], "id long, embedding array<float>, kind string")
+    vector_index.write_vectors(vectors, f"{tmp_path}/v", "id", ["kind"], lists=2)
+    assert spark.read.parquet(f"{tmp_path}/v/rows").count() == 7
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 2.0, 3.0]), (3, None)], "query_id long, embedding array<float>")
+    found = lambda **o: sorted((r["query_id"], r["rank"], r["id"]) for r in vector_index.Vectors(spark, f"{tmp_path}/v").search(asked, "id", 3, 9, **o).collect())
+    assert found() == [(1, 1, 1), (1, 2, 4), (1, 3, 2), (2, 1, 6)]
+    assert found(where=F.col("kind") == "b") == [(1, 1, 2)]
+    vector_index.write_vectors(vectors.limit(0), f"{tmp_path}/none", "id")
+    assert vector_index.Vectors(spark, f"{tmp_path}/none").search(asked, "id", 3).collect() == []
+
+
+def test_exact_search_without_batches(spark):
+    """The k best of a task don't depend on its batches."""
+    r = random.Random(3)
+    rows = [(i, [r.choice([0.0, 1.0]) for _ in range(4)], f"k{i % 2}") for i in range(500)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>, kind string").repartition(2)
+    queries = vectors.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    chunks = spark.createDataFrame([(i, f"g{i % 7}", f"k{i % 2}", " ".join(r.choice("abcdef") for _ in range(r.randint(1, 9)))) for i in range(500)], "id long, g string, kind string, text string").repartition(2)
+    asked = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d e f a")], "query_id long, text string")
+    runs = []
+    for n in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        runs.append([sorted(map(tuple, df.collect())) for df in (R.dense(vectors, queries, "id", 5), R.dense(vectors, queries, "id", 5, "kind"), R.bm25_best(chunks, asked, ["id"], 6), R.bm25_best(chunks, asked, ["id"], 6, pool="g", kind="kind"), R.bm25_best(chunks, asked, ["id"], 6, kind="kind"))])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs[0] == runs[1]
+    assert runs[0][2] == sorted(map(tuple, R.bm25_search(chunks, asked, ["id"], 6).collect()))

@@ -1,16 +1,18 @@
 """Scans, embedding, layout, scopes, stages and the outbox on small cases."""
 
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightvein import seams
 from brightvein.functions import lexemes
 from brightvein.operators import embedding, lifecycle, reports, spatial
 from brightvein.operators import retrieval as R
-from brightvein.sources import scans
-from brightvein.streaming import outbox
+from brightvein.sources import corpus, intake, scans, sinks
+from brightvein.streaming import attempts, outbox
 
 
 def rows(df, *columns):
@@ -91,7 +93,7 @@ def test_layout(spark):
     assert rows(spatial.unsupported(regions, bands, ["page"]), "region") == [("u",)]
     assert rows(spatial.missed_bands(bands, regions, ["page"]), "top") == [(50.0,)]
     tables = spark.createDataFrame([(1, "t", 100.0)], "page int, table_id string, top double")
-    blocks = spark.createDataFrame([(1, "b1", "Debt (continued)", 50.0), (1, "b2", "Leases contd.", 90.0), (1, "b3", "plain", 95.0), (1, "b4", "Below continued", 120.0)], "page int, block_id string, text string, by0 double")
+    blocks = spark.createDataFrame([(1, "b1", "Debt (continued)", 50.0), (1, "b2", "Leases  (cont'd.) x", 90.0), (1, "b3", "Our growth continued", 95.0), (1, "b4", "Below (continued)", 120.0)], "page int, block_id string, text string, by0 double")
     assert rows(spatial.continuation(tables, blocks, ["page"]), "title") == [("Leases",)] and spatial.continuation(tables, blocks, ["page"], 1).count() == 0
     lines = spark.createDataFrame([(1, 0.0, 10.04, 50.0, 10.0), (1, 0.0, 5.0, 50.0, 5.0), (1, 0.0, 7.0, 9.0, 7.0), (1, 0.0, 7.0, 90.0, 17.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert spatial.rules(lines, ["page"]).first()["rules"] == [5.0, 10.0]
@@ -180,3 +182,75 @@ def test_outbox_failures(spark, tmp_path):
     rows_ = spark.read.parquet(at[0])
     assert rows(outbox.states(rows_, index, dead), "chunk_id", "state", "attempts") == [(1, "completed", 1), (2, "completed", 1), (3, "completed", 1), (4, "pending", 0), (9, "failed", 1)]
     assert [r[0] for r in outbox.pending(rows_, index, dead, ["text"], 5).collect()] == [4]
+
+
+def test_rows_that_fail_alone(spark, tmp_path):
+    """An over-long text is laid aside with its reason while the rest of its batch goes on; a redelivered batch tells it once."""
+    put = lambda made: spark.createDataFrame(made, "chunk_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/out")
+    put([(1, "one"), (2, "x" * 7000), (3, "three"), (4, None)])
+    at = [str(tmp_path / x) for x in ("out", "index", "dead", "check")]
+    transform = lambda df: embedding.embed(df, seams.stand_in_embedder(8), 8, tell=True)
+    outbox.drain(spark, *at, "chunk_id long, text string", transform)
+    outbox.drain(spark, *at[:3], str(tmp_path / "again"), "chunk_id long, text string", transform)
+    assert rows(spark.read.parquet(at[1]), "chunk_id") == [(1,), (3,), (4,)]
+    assert rows(spark.read.parquet(at[2]), "chunk_id", "failure_reason") == [(2, "TextTooLong")]
+    wrong = embedding.embed(spark.createDataFrame([(1, "a")], "chunk_id long, text string"), lambda ts: [[1.0]] * len(ts), 8, tell=True)
+    assert rows(wrong, "vector", "failure") == [(None, "WrongShape")]
+
+
+def test_attempts_survive_a_restart(spark, tmp_path):
+    """Attempts and back-off go on from the checkpoint; five failures end an event, success and redelivery change nothing more."""
+    start = dt.datetime(2024, 1, 1)
+    put = lambda made: spark.createDataFrame([(i, ok, start + dt.timedelta(seconds=s)) for i, ok, s in made], "chunk_id long, ok boolean, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/told")
+    run = lambda: attempts.run(spark, f"{tmp_path}/told", f"{tmp_path}/changes", f"{tmp_path}/check")
+    state = lambda: rows(attempts.now(spark.read.parquet(f"{tmp_path}/changes")), "chunk_id", "attempts", "state")
+    put([(1, False, 0), (2, True, 0), (3, False, 0)])
+    run()
+    assert state() == [(1, 1, "pending"), (2, 1, "completed"), (3, 1, "pending")]
+    put([(1, False, 10), (3, True, 30), (2, False, 40)])  # event 1 was not due before 30
+    run()
+    assert state() == [(1, 1, "pending"), (2, 1, "completed"), (3, 2, "completed")]
+    events = spark.createDataFrame([(1,), (2,), (9,)], "chunk_id long")
+    changes = spark.read.parquet(f"{tmp_path}/changes")
+    assert rows(attempts.due(events, changes, start + dt.timedelta(seconds=20)), "chunk_id") == [(9,)]
+    assert rows(attempts.due(events, changes, start + dt.timedelta(seconds=30)), "chunk_id") == [(1,), (9,)]
+    put([(1, False, 30 * (2 ** (i + 1) - 1)) for i in range(4)])
+    run()
+    assert state()[0] == (1, 5, "failed")
+
+
+def test_manifest(spark, tmp_path):
+    schema = T.StructType([T.StructField("entry_id", T.StringType()), T.StructField("split", T.StringType()), T.StructField("byte_size", T.LongType())])
+    (tmp_path / "m.toml").write_text('version = 1\n[[entries]]\nentry_id = "a"\nsplit = " Development "\nbyte_size = 3\n')
+    load = lambda **o: corpus.load_manifest(spark, str(tmp_path / "m.toml"), schema, **o)
+    assert rows(load(choices={"split": ("development", "held_out")}), "entry_id", "split", "byte_size") == [("a", "development", 3)]
+    for bad in ({"version": 2}, {"choices": {"split": ("held_out",)}}):
+        with pytest.raises(ValueError):
+            load(**bad)
+    (tmp_path / "m.toml").write_text('version = 1\n[[entries]]\nentry_id = "a"\nextra = 1\n')
+    with pytest.raises(ValueError, match="entry 0"):
+        load()
+
+
+def test_sinks_add_once(spark, tmp_path):
+    elements = spark.createDataFrame([("r", f"e{i}", None, i, 0, "page", "t", None, 1) for i in range(3)], "run_id string, element_id string, parent_id string, ordinal int, depth int, element_type string, text string, failure_reason string, page_number int")
+    answers = spark.createDataFrame([(1, "answered", 1)], "answer_id long, decision string, released int")
+    claims = spark.createDataFrame([(1, 0, "c"), (1, 1, "d")], "answer_id long, claim_index int, text string")
+    chunks = spark.createDataFrame([(1, 0, "parent", "p", None, ["e1"]), (1, 1, "child", "c", 0, ["e1", "e2", "e1"])], "doc_id long, ordinal int, role string, text string, parent int, element_ids array<string>")
+    for _ in range(2):
+        sinks.record_elements(elements, f"{tmp_path}/e")
+        sinks.record_answers(answers, claims, f"{tmp_path}/a")
+        sinks.record_chunks(chunks, f"{tmp_path}/c", "g", "v", "1")
+    count = lambda p: spark.read.parquet(f"{tmp_path}/{p}").count()
+    assert [count(p) for p in ("e/elements", "a/answers", "a/answer_claims", "c/chunks", "c/chunk_sources", "c/outbox")] == [3, 1, 2, 2, 3, 1]
+
+
+def test_large_files_are_not_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.txt").write_bytes(b"x" * 5000)
+    (tmp_path / "in" / "ok.txt").write_bytes(b"fine")
+    (tmp_path / "in" / "none.txt").write_bytes(b"")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # the reader refuses to read more
+    got = {r["original_filename"]: (r["byte_size"], r["rejected"]) for r in intake.received(spark, str(tmp_path / "in"), most=1000).collect()}
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {"big.txt": (5000, "too_large"), "ok.txt": (4, None), "none.txt": (0, "empty")}
