@@ -7,7 +7,7 @@ text, null or empty if there is none), `issuer`, `period`, `basis`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -83,3 +83,17 @@ def decide(checked: DataFrame, answers: DataFrame) -> DataFrame:
     first = F.filter(F.array(F.when(~F.col("answerable") & ~shown, "model_reported_unanswerable"), F.when(kept_back & ~shown, "no_claim_survived_validation")), lambda x: x.isNotNull())
     band = F.when(~shown, "none").when(kept_back | (F.col("qualified") & weak), "weak").when(F.col("qualified") | weak, "moderate").otherwise("strong")
     return both.select("answer_id", F.when(~shown, "abstained").when(kept_back, "partial").otherwise("answered").alias("decision"), band.alias("support_band"), F.array_distinct(F.concat(first, F.coalesce("codes", F.array().cast("array<string>")))).alias("reason_codes"), "released", "withheld")
+
+
+def neighbourhoods(hits: DataFrame, extents: DataFrame, by: list[str], place: str = "ordinal", radius: int = 1) -> DataFrame:
+    """The regions around hits, overlapping or touching ones united: `by`, `first`, `last`, `hits`.
+
+    `extents` has `by`, `low` and `high`, the places there are; a region ends
+    where they do. Hits on one place count each, and are one for the ordering.
+    """
+    places = hits.groupBy(*by, place).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by).orderBy(place)
+    apart = F.coalesce(F.col(place) - F.lag(place).over(w) > 2 * radius + 1, F.lit(True)).cast("int")
+    islands = places.withColumn("__new", apart).withColumn("__island", F.sum("__new").over(w))
+    own = islands.groupBy(*by, "__island").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.sum("__n").alias("hits")).join(extents.select(*by, "low", "high"), by)
+    return own.select(*by, F.greatest(F.col("a") - radius, "low").alias("first"), F.least(F.col("z") + radius, "high").alias("last"), "hits")

@@ -60,6 +60,15 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int |
     return bm25(post, inverse_frequencies(post, chunks.count()), queries, keys, k, config)
 
 
+def _stated(chunks: DataFrame, queries: DataFrame, text_col: str, config: str) -> tuple[list, list[list[str]], dict[str, int], int]:
+    """The stated queries' ids and terms, in how many chunks each term is, and how many chunks there are: one pass over the texts."""
+    asked = queries.select("query_id", F.array_distinct(analysed(F.col("text"), config)).alias("ts")).collect()
+    wanted = sorted({t for r in asked for t in r["ts"] or []})
+    own = F.broadcast(chunks.sparkSession.createDataFrame([(t,) for t in wanted], "term string"))
+    df = {r["term"]: r["df"] for r in chunks.select(F.explode(F.array_distinct(analysed(F.col(text_col), config))).alias("term")).join(own, "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    return [r["query_id"] for r in asked], [[t for t in r["ts"] or [] if t in df] for r in asked], df, chunks.count()
+
+
 def bm25_best(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, scope: DataFrame | None = None, pool: str | None = None, kind: str | None = None, text_col: str = "text", avgdl: float = AVGDL, config: str = "simple") -> DataFrame:
     """The `k` best chunks of each query by BM25: `query_id`, `keys`, `score`, `rank`; ties by key.
 
@@ -70,16 +79,11 @@ def bm25_best(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, sc
     best chunk's score; with `kind`, ranks restart for each of its values. The
     queries are a stated set: their terms are held by every task.
     """
-    asked = queries.select("query_id", F.array_distinct(analysed(F.col("text"), config)).alias("ts")).collect()
-    wanted = sorted({t for r in asked for t in r["ts"] or []})
+    ids, terms, df, n = _stated(chunks, queries, text_col, config)
     keys = [pool] if pool else keys
     schema = T.StructType([chunks.schema[c] for c in keys] + ([chunks.schema[kind]] if kind else []))
     shape = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *schema.fields, T.StructField("score", T.DoubleType())])
-    spark = chunks.sparkSession
-    own = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
-    df = {r["term"]: r["df"] for r in chunks.select(F.explode(F.array_distinct(analysed(F.col(text_col), config))).alias("term")).join(own, "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
-    n = chunks.count()
-    work = _best_chunks([r["query_id"] for r in asked], [[t for t in r["ts"] or [] if t in df] for r in asked], df, n, k, avgdl, len(keys), kind is not None, pool is not None)
+    work = _best_chunks(ids, terms, df, n, k, avgdl, len(keys), kind is not None, pool is not None)
     rows = (chunks if scope is None else scope).select(*keys, *([kind] if kind else []), analysed(F.col(text_col), config).alias("ts"))
     out = rows.mapInArrow(work, shape).withColumn("score", F.round("score", 9))
     if pool:
@@ -130,6 +134,8 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
             term, owner = pair // max(len(length), 1), pair % max(len(length), 1)
             weight = weights[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / avgdl)))
             head = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+            groups = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)[1] if pooled else np.arange(len(length))
+            kinds = np.unique(pc.fill_null(b.column(width).cast(pa.string()), "").to_numpy(zero_copy_only=False), return_inverse=True)[1] if by_kind else np.zeros(len(length), int)
             rows, names, scores = [], [], []
             for i, own in asked:
                 at = np.concatenate([np.arange(head[t], head[t + 1]) for t in own])
@@ -137,11 +143,16 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
                     continue
                 score = np.round(np.bincount(owner[at], weight[at], len(length)), 9)
                 hits = np.flatnonzero(score > 0)
-                if len(hits) > k and not pooled and not by_kind:
-                    hits = hits[score[hits] >= np.partition(score[hits], len(hits) - k)[len(hits) - k]]
-                rows.append(hits)
-                names += [i] * len(hits)
-                scores.append(score[hits])
+                if pooled and len(hits):  # of each group the best chunk, the first of equal ones
+                    ordered = np.lexsort((hits, -score[hits], groups[hits]))
+                    hits = hits[ordered][np.concatenate([[True], np.diff(groups[hits][ordered]) > 0])]
+                for kind in np.unique(kinds[hits]):
+                    mine = hits[kinds[hits] == kind]
+                    if len(mine) > k:
+                        mine = mine[score[mine] >= np.partition(score[mine], len(mine) - k)[len(mine) - k]]  # ties with the last stay
+                    rows.append(mine)
+                    names += [i] * len(mine)
+                    scores.append(score[mine])
             if names:
                 take = pa.array(np.concatenate(rows))
                 columns = [b.column(c).take(take) for c in range(b.num_columns - 1)]
@@ -152,6 +163,59 @@ def _best_chunks(ids: list, terms: list[list[str]], df: dict[str, int], n: int,
     return work
 
 
+def bm25_documents(docs: DataFrame, queries: DataFrame, key: str, k: int, text_col: str = "text", avgdl: float = AVGDL, config: str = "simple") -> DataFrame:
+    """`query_id`, `key`, `best`, `total`: documents by BM25 of their blocks (lines), the best one's score and the sum of all.
+
+    Of each query at least the `k` first by either (ties by key) are there. A
+    document's blocks are scored together where it lies, and only these leave a
+    task. The queries are a stated set.
+    """
+    import math
+
+    chunks = docs.select(F.explode(F.split(text_col, "\n")).alias("text"))
+    ids, terms, df, n = _stated(chunks, queries, "text", config)
+    vocabulary = sorted(df)
+    place = {t: i for i, t in enumerate(vocabulary)}
+    idf = [math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1.0) for t in vocabulary]
+    asked = [(i, [place[t] for t in ts]) for i, ts in zip(ids, terms) if ts]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        values, weights, held = pa.array(vocabulary, pa.string()), np.array(idf), {}
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy())
+            lists = b.column(1).flatten()
+            length = pc.list_value_length(lists).to_numpy()
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy()
+            owner = np.repeat(np.arange(len(length)), length)[found >= 0]
+            pair, tf = np.unique(found[found >= 0].astype(np.int64) * len(length) + owner, return_counts=True)
+            term, owner = pair // max(len(length), 1), pair % max(len(length), 1)
+            weight = weights[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / avgdl)))
+            head = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+            for i, own in asked:
+                at = np.concatenate([np.arange(head[t], head[t + 1]) for t in own])
+                if not len(at):
+                    continue
+                score = np.round(np.bincount(owner[at], weight[at], len(length)), 9)
+                best, total = np.zeros(b.num_rows), np.round(np.bincount(doc, score, b.num_rows), 6)
+                np.maximum.at(best, doc, score)
+                hits = np.flatnonzero(best > 0)
+                rows = (keys[hits], best[hits], total[hits])
+                rows = [np.concatenate(x) for x in zip(held[i], rows)] if i in held else rows
+                keep = np.union1d(np.lexsort((rows[0], -rows[1]))[:k], np.lexsort((rows[0], -rows[2]))[:k])
+                held[i] = tuple(x[keep] for x in rows)
+        for i, (name, best, total) in held.items():
+            yield pa.RecordBatch.from_pydict({"query_id": [i] * len(name), key: name.tolist(), "best": best, "total": total})
+
+    shape = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), docs.schema[key], T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType())])
+    own = docs.filter(F.col(key).isNotNull()).select(key, F.transform(F.split(text_col, "\n"), lambda b: analysed(b, config)).alias("ts"))
+    return own.mapInArrow(work, shape)
+
+
 def part_of(term: str, buckets: int) -> int:
     """What Spark's `pmod(xxhash64(term), buckets)` is."""
     h = xxhash.xxh64_intdigest(term.encode(), 42)

@@ -135,3 +135,19 @@ def assess(derived: DataFrame) -> DataFrame:
     )
     bad = (F.col("texts") == 0) | (F.col("rows") < 2) | (F.col("columns") < 2) | (F.col("prose_ratio") >= 1.0)
     return got.withColumn("verdict", F.when(bad, "rejected").otherwise("accepted")).withColumn("usable", ~bad)
+
+
+def row_groups(rows: DataFrame, header: DataFrame, by: list[str], index: str, text: str = "text", limit: int = 1500) -> DataFrame:
+    """Tables' rows in groups of at most `limit` characters that each begin with the header: `by`, `group`, `first_row`, `last_row`, `text`.
+
+    Rows are numbered from 0 without gaps by `index`; `header` has `by` and
+    `header`. A group has as many rows as surely fit beside the header if all
+    were as long as the table's longest, and at least one, so a row's group is
+    told by its number alone: no table is walked through, however long it is.
+    """
+    longest = rows.groupBy(*by).agg(F.max(F.length(text)).alias("__most"))
+    fits = F.greatest(F.lit(1), F.floor((F.lit(limit) - F.length("header")) / (F.col("__most") + 1)))
+    sized = header.join(longest, by).select(*by, "header", fits.cast("long").alias("__fits"))
+    own = rows.join(sized, by).withColumn("group", F.floor(F.col(index) / F.col("__fits")))
+    made = own.groupBy(*by, "group").agg(F.min(index).alias("first_row"), F.max(index).alias("last_row"), F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t")))).alias("rs"))
+    return made.select(*by, "group", "first_row", "last_row", F.concat_ws("\n", "header", F.array_join(F.transform("rs", lambda r: r["t"]), "\n")).alias("text"))

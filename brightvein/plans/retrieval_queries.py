@@ -173,12 +173,11 @@ l AS (SELECT * FROM l1 WHERE rank <= 20 UNION ALL SELECT * FROM l2 WHERE rank <=
 
 
 def _lists(t):
-    """Two lists of documents from one pass over the blocks' scores: by their best block, and by the sum of all."""
-    scored = R.bm25_search(R.blocks(t.documents), _queries(t), ["doc_id", "ordinal"])
-    per = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("m"), F.round(F.sum("score"), 6).alias("s"))
-    both = R.ranked(R.ranked(per, ["query_id"], [F.desc("m"), "doc_id"], None, "by_m"), ["query_id"], [F.desc("s"), "doc_id"], None, "by_s")
+    """Two lists of documents from one scoring of their blocks: by the best block, and by the sum of all."""
+    per = R.bm25_documents(t.documents, _queries(t), "doc_id", 20)
+    both = R.ranked(R.ranked(per, ["query_id"], [F.desc("best"), "doc_id"], None, "by_m"), ["query_id"], [F.desc("total"), "doc_id"], None, "by_s")
     entry = lambda name, score, rank: F.struct(F.lit(name).alias("retriever"), F.col(score).alias("score"), F.col(rank).alias("rank"))
-    lists = both.filter("by_m <= 20 OR by_s <= 20").select("query_id", "doc_id", F.explode(F.array(entry("bm25", "m", "by_m"), entry("sum", "s", "by_s"))).alias("x"))
+    lists = both.filter("by_m <= 20 OR by_s <= 20").select("query_id", "doc_id", F.explode(F.array(entry("bm25", "best", "by_m"), entry("sum", "total", "by_s"))).alias("x"))
     return lists.select("query_id", "doc_id", "x.*").filter("rank <= 20")
 
 

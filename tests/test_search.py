@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightvein.functions import analysis
-from brightvein.operators import block_max, fulltext, vector_index
+from brightvein.operators import block_max, evidence, fulltext, ledger, resolution, tables, vector_index
 from brightvein.operators import retrieval as R
 from brightvein.plans import registry
 
@@ -202,7 +202,7 @@ def test_exact_search_without_batches(spark):
     rows = [(i, [r.choice([0.0, 1.0]) for _ in range(4)], f"k{i % 2}") for i in range(500)]
     vectors = spark.createDataFrame(rows, "id long, embedding array<double>, kind string").repartition(2)
     queries = vectors.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    chunks = spark.createDataFrame([(i, f"g{i % 7}", f"k{i % 2}", " ".join(r.choice("abcdef") for _ in range(r.randint(1, 9)))) for i in range(500)], "id long, g string, kind string, text string").repartition(2)
+    chunks = spark.createDataFrame([(i, f"g{i % 7}", f"k{i % 7 % 2}", " ".join(r.choice("abcdef") for _ in range(r.randint(1, 9)))) for i in range(500)], "id long, g string, kind string, text string").repartition(2)
     asked = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d e f a")], "query_id long, text string")
     runs = []
     for n in ("7", "10000"):
@@ -211,3 +211,62 @@ def test_exact_search_without_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert runs[0] == runs[1]
     assert runs[0][2] == sorted(map(tuple, R.bm25_search(chunks, asked, ["id"], 6).collect()))
+
+
+def test_documents_by_their_blocks(spark):
+    """Both lists are those of scores summed up after a whole search, whatever the batches are."""
+    r = random.Random(8)
+    rows = [(i, None if i == 3 else "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 5)))) for i in range(300)] + [(None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b"), (2, "h"), (3, "zzz"), (4, None)], "query_id long, text string")
+    chunks = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    per = R.bm25_search(chunks, asked, ["doc_id", "ordinal"]).groupBy("query_id", "doc_id").agg(F.max("score").alias("best"), F.round(F.sum("score"), 6).alias("total")).collect()
+    n = chunks.count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    got = R.bm25_documents(docs.filter("doc_id IS NOT NULL"), asked, "doc_id", 6).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert n > 600 and {tuple(x) for x in got} <= {tuple(x) for x in per}
+    for q in (1, 2):
+        for c in ("best", "total"):
+            top = lambda rs: [x["doc_id"] for x in sorted((x for x in rs if x["query_id"] == q), key=lambda x: (-x[c], x["doc_id"]))][:6]
+            assert top(got) == top(per) and len(top(got)) == 6
+
+
+def test_resolution_either_way(spark):
+    """The automaton and the join by words find the same names; shared ones are ambiguous."""
+    texts = spark.createDataFrame([(1, "Bank of India and the STATE Bank."), (2, "bankof india"), (3, None), (4, "state bank of india, state-bank"), (5, "")], "id long, text string")
+    aliases = spark.createDataFrame([("bank of India", 1), ("State Bank", 2), ("state  bank", 3), ("India", 4), ("", 5), (None, 6), ("bank", None)], "alias string, entity long")
+    want = [(1, "bank of india", [1], "resolved"), (1, "india", [4], "resolved"), (1, "state bank", [2, 3], "ambiguous"), (2, "india", [4], "resolved"), (4, "bank of india", [1], "resolved"), (4, "india", [4], "resolved"), (4, "state bank", [2, 3], "ambiguous")]
+    for most in (100, 0):
+        assert sorted(map(tuple, resolution.resolve(texts, aliases, "id", most=most).collect())) == want
+    assert resolution.resolve(texts, aliases.limit(0), "id").count() == 0
+
+
+def test_facts(spark):
+    shown = [("1,234.50", None), ("(45)", None), ("0.00", None), ("-", None), ("Nil", None), ("n/a", None), ("", None), (None, None), ("1.2.3", None), ("abc", None), ("9" * 30, None), ("₹ 2.5", "crore"), ("7", "dozen"), ("9" * 25, "billion")]
+    got = [(r["state"], None if r["value"] is None else str(r["value"].normalize()), r["places"]) for r in ledger.facts(spark.createDataFrame([(i, *s) for i, s in enumerate(shown)], "i int, displayed string, scale string"), scale="scale").orderBy("i").collect()]
+    assert got == [("numeric", "1234.5", 2), ("numeric", "-45", 0), ("zero", "0", 2), ("nil", None, 0), ("nil", None, 0), ("not_applicable", None, 0), ("missing", None, 0), ("missing", None, 0), ("parse_failure", None, 1), ("parse_failure", None, 0), ("parse_failure", None, 0), ("numeric", "2.5E+7", 1), ("parse_failure", None, 0), ("parse_failure", None, 0)]
+    rows = [("a", "5"), ("a", "(5)"), ("b", "12"), ("b", "1200"), ("c", "1.23"), ("c", "1.2"), ("d", "5"), ("d", "6"), ("d", "nil"), ("e", "7"), ("e", "7.0"), ("f", "0"), ("f", "3")]
+    known = ledger.facts(spark.createDataFrame(rows, "k string, displayed string"))
+    assert {r["k"]: (r["kind"], r["material"], r["facts"]) for r in ledger.conflicts(known, ["k"]).collect()} == {"a": ("sign", True, 2), "b": ("scale", True, 2), "c": ("rounding", False, 2), "d": ("value", True, 2), "f": ("value", True, 2)}
+
+
+def test_guards(spark):
+    made = spark.createDataFrame([(1, 1, "100"), (1, 2, "150"), (1, 4, "75"), (1, 5, "-5"), (1, 6, "0"), (1, 7, "9"), (1, 8, None), (1, 9, "4"), (2, 3, "8"), (3, 1, "100"), (3, 3, "121"), (4, 1, "-1"), (4, 2, "5")], "k int, p int, v string").withColumn("v", F.col("v").cast("decimal(38,10)"))
+    got = {(r["k"], r["p"]): (r["guard"], None if r["growth"] is None else float(r["growth"])) for r in ledger.growth(made, ["k"], "p", "v").collect()}
+    assert [got[1, p] for p in (1, 2, 4, 5, 6, 7, 8, 9)] == [("no_previous", None), (None, 0.5), ("period_gap", None), ("sign_change", None), (None, 1.0), ("zero_base", None), ("missing", None), ("missing", None)]
+    ends = {r["k"]: (r["guard"], r["cagr"]) for r in ledger.compound_growth(made, ["k"], "p", "v").collect()}
+    assert ends == {1: (None, pytest.approx((4 / 100) ** (1 / 8) - 1)), 2: ("one_period", None), 3: (None, pytest.approx(0.1)), 4: ("not_positive", None)}
+    x = ledger.ratio(F.lit(1).cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)"))
+    assert spark.range(1).select(x.alias("x")).first()["x"]["guard"] == "zero_denominator"
+
+
+def test_row_groups_and_regions(spark):
+    rows = spark.createDataFrame([("t", i, "x" * (3 + i % 4)) for i in range(50)] + [("u", 0, "y" * 500)], "t string, i long, text string")
+    header = spark.createDataFrame([("t", "head"), ("u", "h")], "t string, header string")
+    got = sorted(tables.row_groups(rows, header, ["t"], "i", limit=40).collect(), key=lambda r: (r["t"], r["first_row"]))
+    assert all(len(r["text"]) <= 40 and r["text"].startswith("head\n") for r in got if r["t"] == "t") and got[-1]["text"] == "h\n" + "y" * 500
+    assert [r["first_row"] for r in got if r["t"] == "t"][1:] == [r["last_row"] + 1 for r in got if r["t"] == "t"][:-1]
+    hits = spark.createDataFrame([(1, 0), (1, 2), (1, 3), (1, 9), (1, 9), (2, 4)], "d int, ordinal int")
+    extents = spark.createDataFrame([(1, 0, 9), (2, 0, 30)], "d int, low int, high int")
+    assert sorted(map(tuple, evidence.neighbourhoods(hits, extents, ["d"]).collect())) == [(1, 0, 4, 3), (1, 8, 9, 2), (2, 3, 5, 1)]
