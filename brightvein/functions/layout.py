@@ -24,6 +24,12 @@ def cell_locator(page: Column, table: Column, row: Column, column: Column) -> Co
     return F.format_string("p. %d, table %d, R%dC%d", page, table, row + 1, column + 1)
 
 
+def footnote_locator(locator: Column, marker: Column) -> Column:
+    """`p. 3, table 2, footnote a`; without a marker just a footnote."""
+    known = F.nullif(F.trim(F.coalesce(marker, F.lit(""))), F.lit(""))
+    return F.concat_ws(" ", F.concat(locator, F.lit(", footnote")), known)
+
+
 def page_label(pages: Column) -> Column:
     """`Page: 3` or `Pages: 3-5`; null for none."""
     low, high = F.array_min(pages), F.array_max(pages)

@@ -93,6 +93,35 @@ def put_if_absent(rows: DataFrame, store: str) -> DataFrame:
     return rows.mapInPandas(work, "object_key string, added boolean")
 
 
+def stored_objects(spark: SparkSession, store: str, keys: DataFrame) -> DataFrame:
+    """`object_key`, `exists`, `byte_size`, `modified_at`: what the store says of each key, without reading any object."""
+    root = F.regexp_replace(F.lit(store.rstrip("/")), "^[a-z]+:/*", "/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("p"), "length", "modificationTime")
+    own = listed.withColumn("root", root).select(F.expr("substring(p, length(root) + 2)").alias("object_key"), F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified_at"))
+    return keys.select("object_key").distinct().join(own, "object_key", "left").select("object_key", F.col("byte_size").isNotNull().alias("exists"), "byte_size", "modified_at")
+
+
+def opened(store: str, keys: DataFrame, part: int = 1 << 20) -> DataFrame:
+    """`object_key`, `at`, `data`: the objects' bytes in parts of at most `part`, read by the tasks; a key that isn't there is an error."""
+
+    def work(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for key in b.column(0).to_pylist():
+                source, root = fs.FileSystem.from_uri(store)
+                at = 0
+                with source.open_input_stream(posixpath.join(root, key)) as f:
+                    while (data := f.read(part)) or not at:
+                        yield pa.RecordBatch.from_pydict({"object_key": [key], "at": [at], "data": [bytes(data)]})
+                        if not data:
+                            break
+                        at += len(data)
+
+    return keys.select("object_key").mapInArrow(work, "object_key string, at long, data binary")
+
+
 def verified(spark: SparkSession, entries: DataFrame, root: str, unseal: bool = False) -> DataFrame:
     """Entries (`entry_id`, `split`, `path`, `content_hash`, `byte_size`) with `fault`: missing, size or digest; null if intact.
 

@@ -88,6 +88,32 @@ def cache_vectors(rows: DataFrame, path: str, key: tuple[str, ...] = ("digest",
     return spark.read.parquet(path).count() - before
 
 
+def touched(cache: DataFrame, used: DataFrame, key: list[str], at: str = "used_at") -> DataFrame:
+    """The cache with the last use of each entry brought up to that in `used` (`key`, `at`); an entry is never set back."""
+    last = used.groupBy(*key).agg(F.max(at).alias("__at"))
+    return cache.join(last, key, "left").withColumn(at, F.greatest(at, "__at")).drop("__at").select(*cache.columns)
+
+
+def unused_since(cache: DataFrame, cutoff, at: str = "used_at") -> DataFrame:
+    """The entries that pruning at a cutoff removes."""
+    return cache.filter(F.col(at) < F.lit(cutoff))
+
+
+def prune_cache(spark: SparkSession, path: str, cutoff, at: str = "used_at") -> int:
+    """Writes the entries used since `cutoff` beside the cache and puts them in its place; how many went."""
+    cache = spark.read.parquet(path)
+    gone = unused_since(cache, cutoff, at).count()
+    if gone:
+        cache.filter(F.col(at).isNull() | (F.col(at) >= F.lit(cutoff))).write.mode("overwrite").parquet(f"{path}.new")
+        jvm = spark.sparkContext._jvm
+        old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+        fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(new, old)
+        spark.catalog.refreshByPath(path)
+    return gone
+
+
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import types as T
 
 from brightvein import seams
 from brightvein.functions import lexemes
-from brightvein.operators import embedding, lifecycle, reports, spatial
+from brightvein.operators import embedding, lifecycle, reports, spatial, tables
 from brightvein.operators import retrieval as R
-from brightvein.sources import corpus, intake, scans, sinks
+from brightvein.sources import corpus, html, intake, scans, sinks
 from brightvein.streaming import attempts, outbox
 
 
@@ -254,3 +255,68 @@ def test_large_files_are_not_read(spark, tmp_path):
     got = {r["original_filename"]: (r["byte_size"], r["rejected"]) for r in intake.received(spark, str(tmp_path / "in"), most=1000).collect()}
     spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert got == {"big.txt": (5000, "too_large"), "ok.txt": (4, None), "none.txt": (0, "empty")}
+
+
+def brute_places(rows, sections):
+    """Places of declared cells by a whole map of what is taken."""
+    taken, out = {}, []
+    for r, row in enumerate(rows):
+        end = min(e for e in [*sections, len(rows)] if e > r)
+        c = 0
+        for text, down, across, header in row:
+            while (r, c) in taken:
+                c += 1
+            down = end - r if down == 0 else min(down, end - r)
+            wide = 1
+            while wide < across and (r, c + wide) not in taken:
+                wide += 1
+            for y in range(r, r + down):
+                for x in range(c, c + wide):
+                    taken[y, x] = text
+            out.append((r, c, text, down, wide, header))
+            c += wide
+    return out
+
+
+def test_declared_spans():
+    r = random.Random(5)
+    for _ in range(300):
+        rows = [[(f"{y}.{x}", r.choice([0, 1, 1, 2, 3]), r.choice([1, 1, 2, 3]), False) for x in range(r.randint(0, 5))] for y in range(r.randint(1, 7))]
+        sections = sorted({r.randint(1, len(rows)) for _ in range(r.randint(0, 2))})
+        assert html.placed(rows, sections) == brute_places(rows, sections)
+
+
+def test_html_pages(spark, tmp_path):
+    page = """<html><head><title>T &amp; U</title><style>p{}</style></head><body><h2>One<br>two</h2><p>First<p>second <b>bold</b><script>var t="<p>no"</script>
+    <ul><li>a<li>b</ul><table><caption>Cap</caption><thead><tr><th rowspan=2>Item<th colspan="2">Year<tr><th>2024<th>2023</thead><tbody><tr><td>Rent<td><td>4<tr><td rowspan="0">Tax<td colspan=x>1</tbody></table>end<table><tr><td>in<table><tr><td>deep</table>out</table>"""
+    pages = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "plain")], "id long, html string")
+    got = html.html_blocks(pages, "id").orderBy("id", "ordinal").collect()
+    assert [(x["kind"], x["text"]) for x in got if x["id"] == 1 and x["kind"] != "cell"] == [("title", "T & U"), ("heading", "One two"), ("paragraph", "First"), ("paragraph", "second bold"), ("item", "a"), ("item", "b"), ("paragraph", "Cap"), ("text", "end")]
+    assert [x["text"] for x in got if x["id"] in (2, 3)] == [] and [x["text"] for x in got if x["id"] == 4] == ["plain"]
+    cells = {(x["r"], x["c"]): (x["text"], x["present"]) for x in html.grids(html.html_blocks(pages, "id"), ["id"]).collect() if x["table_id"] == "1/0"}
+    assert cells == {(0, 0): ("Item", True), (0, 1): ("Year", True), (0, 2): ("", False), (1, 0): ("", False), (1, 1): ("2024", True), (1, 2): ("2023", True), (2, 0): ("Rent", True), (2, 1): ("", True), (2, 2): ("4", True), (3, 0): ("Tax", True), (3, 1): ("1", True), (3, 2): ("", False)}
+    derived = tables.derive(html.grids(html.html_blocks(pages, "id"), ["id"]).filter("table_id = '1/0'"))
+    assert derived.count() == 12 and {x["text"] for x in derived.filter("is_header").collect()} >= {"Year", "2024", "2023"}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.html").write_text(page)
+    (tmp_path / "b.txt").write_text("no")
+    html.register(spark)
+    read = spark.read.format("html_pages").load(str(tmp_path))
+    assert read.count() == sum(x["id"] == 1 for x in got) and read.filter("kind = 'heading'").first()["path"].endswith("deep/a.html")
+
+
+def test_store_and_cache(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    (tmp_path / "store" / "a").mkdir(parents=True)
+    (tmp_path / "store" / "a" / "x").write_bytes(b"abc" * 1000)
+    (tmp_path / "store" / "empty").write_bytes(b"")
+    keys = spark.createDataFrame([("a/x",), ("a/y",)], "object_key string")
+    assert rows(intake.stored_objects(spark, at, keys), "object_key", "exists", "byte_size") == [("a/x", True, 3000), ("a/y", False, None)]
+    parts = intake.opened(at, spark.createDataFrame([("a/x",), ("empty",)], "object_key string"), 1024).orderBy("object_key", "at").collect()
+    assert b"".join(p["data"] for p in parts if p["object_key"] == "a/x") == b"abc" * 1000 and [p["at"] for p in parts] == [0, 1024, 2048, 0]
+    cache = spark.createDataFrame([("d1", 5), ("d2", 1), ("d3", 9)], "digest string, used_at int")
+    now = sinks.touched(cache, spark.createDataFrame([("d2", 7), ("d2", 6), ("d3", 2), ("d9", 9)], "digest string, used_at int"), ["digest"])
+    assert rows(now, "digest", "used_at") == [("d1", 5), ("d2", 7), ("d3", 9)]
+    now.write.parquet(f"{tmp_path}/cache")
+    assert sinks.prune_cache(spark, f"{tmp_path}/cache", 7) == 1 and sinks.prune_cache(spark, f"{tmp_path}/cache", 7) == 0
+    assert rows(spark.read.parquet(f"{tmp_path}/cache"), "digest") == [("d2",), ("d3",)]
