@@ -15,6 +15,7 @@ themselves. Units of up to seven bytes are told apart exactly, longer ones by
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -91,6 +92,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        # texts are only cut into units where what is encoded together is known to end at blanks; any other tokenizer gets them whole
+        self.cuts = not made["normalizer"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and model["type"] == "BPE" and not model.get("dropout")
         self.size = self.tokenizer.get_vocab_size()
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.size, bool)
@@ -193,6 +200,8 @@ class Encoder:
 
     def _safe(self, data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray) -> np.ndarray:
         """Whether each text may be cut into units."""
+        if not self.cuts:
+            return np.zeros(len(offsets) - 1, bool)
         n = len(data)
         odd = np.zeros(len(offsets) - 1, bool)
         own = np.searchsorted(offsets, spaces, "right") - 1

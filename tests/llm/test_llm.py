@@ -193,6 +193,24 @@ def test_encoder_is_exact(rows):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x + [0] * end for x in want]
 
 
+def test_encoder_of_other_tokenizers(rows, tmp_path):
+    """Where another pre-tokenizer or a normaliser decides what is encoded together, texts are not cut."""
+    import json
+
+    from brightvein.llm._encode import Encoder, default_path
+
+    made = json.loads(open(default_path()).read())
+    split = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "\\\\s+"}, "behavior": "MergedWithNext", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    for i, (field, value) in enumerate([("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}), ("pre_tokenizer", split), ("normalizer", {"type": "Lowercase"}), ("truncation", {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0})]):
+        (tmp_path / f"{i}.json").write_text(json.dumps(made | {field: value}))
+        enc = Encoder(str(tmp_path / f"{i}.json"))
+        texts = [t or "" for _, t, *_ in rows if len(t or "") < 3000] + ["Hello wide World", " two  blanks "]
+        want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, counts = enc.encode(texts)
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+        assert enc.cuts == (field == "truncation")
+
+
 def test_encoder_forgets(monkeypatch):
     from brightvein.llm import _encode
 
