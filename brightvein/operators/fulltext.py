@@ -131,6 +131,36 @@ def search_positions(post: DataFrame, queries: list[tuple[int, str]], keys: list
     return R.ranked(found.groupBy("query_id", *keys).agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), *keys], k)
 
 
-def full_text(chunks: DataFrame, queries: list[tuple[int, str]], key: str, k: int | None = None, text_col: str = "text", config: str = "simple") -> DataFrame:
-    """`search_positions` over chunks not indexed before, in one pass over their texts."""
-    return search_positions(R.postings(chunks, [key], text_col, config=config, positions=True), queries, [key], k, config)
+def full_text(chunks: DataFrame, queries: list[tuple[int, str]], key: str | list[str], k: int | None = None, text_col: str = "text", config: str = "simple") -> DataFrame:
+    """`search_positions` over chunks not indexed before, without moving any text.
+
+    Of each alternative the term that fewest chunks hold is its anchor. A chunk
+    meets the alternatives whose anchor it holds, and is held against them where
+    it lies; only what matches is shuffled.
+    """
+    keys, spark = [key] if isinstance(key, str) else key, chunks.sparkSession
+    plan = planned(spark, queries, config).persist()
+    terms = R.sized_broadcast(plan.select("term").distinct(), 100_000)
+    words = analysis.words(analysis.for_analysis(F.col(text_col)))
+    # stop words leave their places empty
+    own = chunks.select(*keys, words.alias("ws") if config == "simple" else F.transform(words, lambda w: F.when(analysis.is_term(w, config), analysis.stem(w))).alias("ws"))
+    df = own.select(F.explode(F.array_distinct("ws")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df"))
+    phrase = F.struct("slot", "wanted", "span", "parts")
+    by = ["query_id", "clause", "need"]
+    told = plan.join(df, "term", "left").groupBy(*by, "slot", "wanted", "span").agg(F.collect_list(F.struct("off", "term")).alias("parts"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"))
+    told = told.groupBy(*by).agg(F.collect_list(phrase).alias("phrases"), F.min(F.when(F.col("wanted"), F.col("rarest"))).alias("anchor")).filter("anchor.df > 0")
+    asked = told.select("*", F.flatten(F.transform(F.filter("phrases", lambda p: p["wanted"]), lambda p: F.transform(p["parts"], lambda x: x["term"]))).alias("must")).withColumn("anchor", F.col("anchor.term"))
+    rows = asked.collect()  # a stated list
+    asked = F.broadcast(spark.createDataFrame(rows, asked.schema))
+    anchors = F.array(*(F.lit(t) for t in sorted({r["anchor"] for r in rows}))) if rows else F.array().cast("array<string>")
+    met = own.select(*keys, "ws", F.explode(F.array_intersect("ws", anchors)).alias("anchor")).join(asked, "anchor").filter(F.forall("must", lambda t: F.array_contains("ws", t)))
+
+    def places(p: Column) -> Column:
+        at = lambda x: F.filter(F.transform("ws", lambda w, i: F.when(w == x["term"], i - x["off"])), lambda i: i.isNotNull())
+        each = F.transform(p["parts"], at)
+        return F.aggregate(each, F.element_at(each, 1), lambda a, b: F.array_intersect(a, b))
+
+    found = met.withColumn("slots", F.transform("phrases", lambda p: F.struct(p["slot"].alias("slot"), p["wanted"].alias("wanted"), p["span"].alias("span"), places(p).alias("places"))))
+    found = found.filter(F.forall("slots", lambda s: s["wanted"] == (F.size(s["places"]) > 0))).withColumn("slots", F.filter("slots", lambda s: s["wanted"]))
+    scored = found.select("query_id", *keys, F.round(density(F.col("slots"), F.col("need")), 9).alias("score"))
+    return R.ranked(scored.groupBy("query_id", *keys).agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), *keys], k)

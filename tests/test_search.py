@@ -133,6 +133,7 @@ def test_full_text_is_the_definition(spark, tmp_path):
     want = {(i, d, o): round(s, 9) for i, q in asked for d, o, ts in plain if (s := fulltext.cover_density(ts, fulltext.parse(q))) is not None}
     got = {(x["query_id"], x["doc_id"], x["ordinal"]): x["score"] for x in fulltext.search_positions(index, asked, ["doc_id", "ordinal"]).collect()}
     assert got == pytest.approx(want) and len({i for i, _, _ in got}) > 10
+    assert {(x["query_id"], x["doc_id"], x["ordinal"]): x["score"] for x in fulltext.full_text(blocks, asked, ["doc_id", "ordinal"]).collect()} == got
     assert "PythonUDF" not in (p := fulltext.search_positions(index, asked, ["doc_id", "ordinal"])._jdf.queryExecution().toString()) and "Python" not in p
 
 
@@ -140,6 +141,9 @@ def test_full_text_with_stop_words(spark):
     chunks = spark.createDataFrame([(1, "the bank of India lends"), (2, "bank India"), (3, "banks in India")], "id long, text string")
     found = lambda q: {r["id"] for r in fulltext.full_text(chunks, [(1, q)], "id", config="english").collect()}
     assert found('"bank of india"') == {1, 3} and found("the lending bank") == {1} and found("the of") == set() and found("banking -lend") == {2, 3}
+    post = R.postings(chunks, ["id"], config="english", positions=True)
+    kept = lambda q: {r["id"] for r in fulltext.search_positions(post, [(1, q)], ["id"], config="english").collect()}
+    assert kept('"bank of india"') == {1, 3} and kept("the lending bank") == {1} and kept("the of") == set() and kept("banking -lend") == {2, 3}
 
 
 def test_cover_density_query(spark):
