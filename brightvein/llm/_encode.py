@@ -15,7 +15,6 @@ themselves. Units of up to seven bytes are told apart exactly, longer ones by
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
@@ -89,15 +88,14 @@ class Encoder:
 
     def __init__(self, path: str | None = None, end: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        made = json.loads(self.tokenizer.to_str())
-        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         # texts are only cut into units where what is encoded together is known to end at blanks; any other tokenizer gets them whole
-        self.cuts = not made["normalizer"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and model["type"] == "BPE" and not model.get("dropout")
+        self.cuts = self.tokenizer.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and cut.use_regex and isinstance(model, models.BPE) and not model.dropout
         self.size = self.tokenizer.get_vocab_size()
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.size, bool)
