@@ -40,11 +40,15 @@ def write_blocks(chunks: DataFrame, path: str, keys: list[str], order: list[str]
     by = [*(order or []), "long", *keys]
     # an id that counts up within a partition; partitions begin at multiples of 2 ** 33, so ranges never span two
     numbered = sized.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range", F.floor(F.monotonically_increasing_id() / F.lit(rows)))
-    names = [*keys, "range", "long"]
-    post = R.postings(numbered, names, text_col, config=config)
-    entry = F.struct((-F.col("weight")).alias("low"), *keys)
-    blocks = post.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("weight").alias("top"), F.max("long").alias("most"), F.array_sort(F.collect_list(entry)).alias("entries"))
-    blocks = blocks.withColumn("entries", F.transform("entries", lambda e: F.struct((-e["low"]).alias("weight"), *(e[c].alias(c) for c in keys))))
+    # the terms of a range's chunks meet as arrays, and are put in order and cut into blocks there
+    rows = R.counted(numbered, [*keys, "range"], text_col, config)
+    members = rows.groupBy("range").agg(F.collect_list(F.struct(*keys, "len", "terms")).alias("ms"), F.max("len").alias("most"))
+    entry = lambda m: F.transform(m["terms"], lambda p: F.struct(p["term"].alias("term"), (-R.weight(p["tf"], m["len"])).alias("low"), *(m[c].alias(c) for c in keys)))
+    flat = members.select("range", "most", F.array_sort(F.flatten(F.transform("ms", entry))).alias("s"))
+    runs = flat.select("range", "most", "s", R.runs_of("s", lambda x, y: x["term"] == y["term"]).alias("r"))
+    held = lambda r: F.transform(F.slice("s", r["a"] + 1, r["n"]), lambda e: F.struct((-e["low"]).alias("weight"), *(e[c].alias(c) for c in keys)))
+    block = F.transform("r", lambda r: F.struct(F.get("s", r["a"])["term"].alias("term"), r["n"].cast("long").alias("n"), (-F.get("s", r["a"])["low"]).alias("top"), held(r).alias("entries")))
+    blocks = runs.select("range", "most", F.explode(block).alias("b")).select("range", "most", "b.*")
     part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     keep(blocks.withColumn("part", part).repartition("part", F.pmod(F.col("range"), F.lit(16))).sortWithinPartitions("part", "term", "range"), f"{path}/blocks", "part")
     spark = chunks.sparkSession

@@ -26,11 +26,36 @@ def occurrences(chunks: DataFrame, keys: list[str], text_col: str = "text", conf
     return rows.filter(is_term(F.col("word"), config)).select(*keys, "len", "at", stem(F.col("word")).alias("term"))
 
 
+def runs_of(s: Column | str, same) -> Column:
+    """Runs of a sorted array as structs of `a`, where one begins, and `n`, how long it is; `same` tells from two neighbours whether they are of one run."""
+    s = F.col(s) if isinstance(s, str) else s
+    begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~same(F.get(s, i), F.get(s, i - 1)))
+    # the array of beginnings gets a name, so that it is worked out once
+    named = F.transform(F.array(begins), lambda b: F.transform(b, lambda a, j: F.struct(a.alias("a"), (F.coalesce(F.get(b, j + 1), F.size(s)) - a).alias("n"))))
+    return F.when(F.size(s) > 0, F.element_at(named, 1)).otherwise(F.array().cast("array<struct<a:int,n:int>>"))
+
+
+def counted(chunks: DataFrame, keep: list[str], text_col: str = "text", config: str = "simple", positions: bool = False) -> DataFrame:
+    """`keep`, `len` and `terms`: a chunk's terms with `tf` (and `at`, their places), sorted and counted where it lies."""
+    own = chunks.select(*keep, words(for_analysis(F.col(text_col))).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct((w if config == "simple" else F.when(is_term(w, config), stem(w))).alias("w"), i.alias("i")))
+    rows = own.select(*keep, F.array_sort(F.filter(placed, lambda x: x["w"].isNotNull())).alias("s"))
+    rows = rows.select(*keep, "s", F.size("s").alias("len"), runs_of("s", lambda x, y: x["w"] == y["w"]).alias("r"))
+    places = lambda r: [F.transform(F.slice("s", r["a"] + 1, r["n"]), lambda x: x["i"]).alias("at")] if positions else []
+    return rows.select(*keep, "len", F.transform("r", lambda r: F.struct(F.get("s", r["a"])["w"].alias("term"), r["n"].cast("long").alias("tf"), *places(r))).alias("terms"))
+
+
+def weight(tf: Column, length: Column, avgdl: float = AVGDL) -> Column:
+    """What a term of a chunk weighs: fixed by the chunk alone."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(avgdl)))
+
+
 def postings(chunks: DataFrame, keys: list[str], text_col: str = "text", avgdl: float = AVGDL, config: str = "simple", positions: bool = False) -> DataFrame:
-    """`keys`, `term`, `tf`, `len`, `weight`: one row a term of a chunk, its weight fixed by the chunk alone; with `positions` also `at`, its places."""
-    rows = occurrences(chunks, keys, text_col, config).groupBy(*keys, "len", "term")
-    tf = rows.agg(F.count("*").alias("tf"), *([F.array_sort(F.collect_list("at")).alias("at")] if positions else []))
-    return tf.withColumn("weight", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))))
+    """`keys`, `term`, `tf`, `len`, `weight`: one row a term of a chunk; with `positions` also `at`, its places. Nothing is shuffled."""
+    rows = counted(chunks, keys, text_col, config, positions)
+    # an expression, not the column: Spark would infer that the column isn't empty, and work it out once more to filter by that
+    parts = F.transform("terms", lambda p: F.struct(p["term"].alias("term"), p["tf"].alias("tf"), *([p["at"].alias("at")] if positions else []), weight(p["tf"], F.col("len"), avgdl).alias("weight")))
+    return rows.select(*keys, "len", F.explode(parts).alias("p")).select(*keys, "len", "p.*")
 
 
 def inverse_frequencies(post: DataFrame, chunks: int) -> DataFrame:
@@ -56,7 +81,7 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int |
     wanted = query_terms(queries, config)
     own = sized_broadcast(wanted.select("term").distinct(), 100_000)
     tf = occurrences(chunks, keys, text_col, config).join(own, "term", "left_semi").groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
-    post = tf.withColumn("weight", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl))))
+    post = tf.withColumn("weight", weight(F.col("tf"), F.col("len"), avgdl))
     return bm25(post, inverse_frequencies(post, chunks.count()), queries, keys, k, config)
 
 
