@@ -86,7 +86,9 @@ def growth(series: DataFrame, by: list[str], period: str, value: str) -> DataFra
     now, then = F.col(value), F.col("previous")
     first = F.when(F.col("__before").isNull(), "no_previous").when(F.col(period) - F.col("__before") != 1, "period_gap")
     guard = first.when(now.isNull() | then.isNull(), "missing").when(then == 0, "zero_base").when(F.signum(now.cast("double")) * F.signum(then.cast("double")) < 0, "sign_change")
-    share = F.round(F.try_divide(now - then, F.abs(then)), 6).try_cast("decimal(38,6)")
+    # in millionths, so that the quotient is rounded once
+    million = F.lit(1_000_000).cast("decimal(7,0)")
+    share = F.try_divide(F.round(F.try_divide(F.try_multiply(now - then, million), F.abs(then)), 0), million).try_cast("decimal(38,6)")
     return rows.withColumn("guard", guard).withColumn("growth", F.when(F.col("guard").isNull(), share)).drop("__before")
 
 

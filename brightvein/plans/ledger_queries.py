@@ -64,7 +64,7 @@ def _flows(t):
 
 @query(f"""WITH {_FLOWS}, l AS (SELECT *, lag(amount) OVER w AS previous, lag(period) OVER w AS before FROM m WINDOW w AS (PARTITION BY o_custkey ORDER BY period)),
 g AS (SELECT *, CASE WHEN before IS NULL THEN 'no_previous' WHEN period - before <> 1 THEN 'period_gap' WHEN amount IS NULL OR previous IS NULL THEN 'missing' WHEN previous = 0 THEN 'zero_base' WHEN (amount > 0 AND previous < 0) OR (amount < 0 AND previous > 0) THEN 'sign_change' END AS guard FROM l)
-SELECT o_custkey, period, CAST(amount AS DOUBLE) AS amount, CAST(previous AS DOUBLE) AS previous, guard, CASE WHEN guard IS NULL THEN round((CAST(amount AS DOUBLE) - CAST(previous AS DOUBLE)) / abs(CAST(previous AS DOUBLE)), 6) END AS growth FROM g""")
+SELECT o_custkey, period, CAST(amount AS DOUBLE) AS amount, CAST(previous AS DOUBLE) AS previous, guard, CASE WHEN guard IS NULL THEN sign(amount - previous) * CAST((abs(CAST((amount - previous) * 100 AS HUGEINT)) * 2000000 + abs(CAST(previous * 100 AS HUGEINT))) // (2 * abs(CAST(previous * 100 AS HUGEINT))) AS DOUBLE) / 1e6 END AS growth FROM g""")
 def n4_period_growth(t):
     """Growth from month to month of each customer's balance of orders."""
     made = ledger.growth(_flows(t), ["o_custkey"], "period", "amount")
