@@ -1,9 +1,9 @@
 """Chunks of documents: sections under headings, parent windows, and children that fit a budget.
 
 Blocks are rows of `doc_id`, `ordinal`, `element_id`, `text`, `page_number` and
-`region_id` (set where a block belongs to a table). Levels and sections come
-from expressions; the filling of windows, which depends on what came before, is
-done per document in pandas. A document's blocks meet in one task.
+`region_id` (set where a block belongs to a table). Levels come from expressions;
+what depends on the blocks before, headings above and the filling of windows, is
+one walk through each document. A document's blocks meet in one task.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..seams import TokenCounter, estimated_tokens
-from . import sections
 
-SCHEMA = "doc_id long, ordinal int, role string, parent int, evidence_type string, heading_path array<string>, text string, element_ids array<string>, page_numbers array<int>, token_count int, char_count int, notes array<string>"
+CHUNK = "ordinal: int, role: string, parent: int, evidence_type: string, heading_path: array<string>, text: string, element_ids: array<string>, page_numbers: array<int>, token_count: int, char_count: int, notes: array<string>"
 #: Notes of a chunk.
 SPLIT, JOINED = "split_oversize", "joined_fragments"
 _SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+(?=[A-Z(₹$])")
@@ -82,7 +82,7 @@ def _children(window: list, budget: Budget, count: TokenCounter) -> list[_Child]
     out: list[_Child] = []
     used = 0
     for b in window:
-        n = count(b.text)
+        n = b.tokens
         if n > budget.child:
             parts = split_oversize(b.text, budget.child, count)
             out += [_Child([p], [b], {SPLIT} if p != b.text else set()) for p in parts]
@@ -102,17 +102,123 @@ def _children(window: list, budget: Budget, count: TokenCounter) -> list[_Child]
     return out
 
 
-def prepared(blocks: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
-    """Retrievable blocks with `kind`, `heading_path` and `run`: runs of one kind under one heading."""
-    own = blocks.filter(X.is_retrievable(F.col("text"))).withColumn("kind", F.when(F.col("region_id").isNotNull(), "table_derived").otherwise("narrative"))
-    own = own.withColumn("level", F.when(F.col("region_id").isNull(), X.heading_level(F.col("text"), budget.heading_chars)))
-    # a null level is a run of its own kind, which never counts as a list
-    marked = sections.runs_of(own, ["doc_id"], "ordinal", "level", "__list")
-    own = marked.withColumn("level", F.when(F.count("*").over(Window.partitionBy("doc_id", "__list")) < 3, F.col("level"))).drop("__list")
-    own = sections.with_heading_paths(own.withColumn("title", F.trim(F.regexp_replace("text", r"\s+", " "))), ["doc_id"], "ordinal", "level", "title")
-    w = Window.partitionBy("doc_id").orderBy("ordinal")
-    starts = F.col("level").isNotNull() | (F.col("kind") != F.lag("kind").over(w)) | (F.row_number().over(w) == 1)
-    return sections.island_ids(own.withColumn("__starts", starts), ["doc_id"], "ordinal", F.col("__starts"), "run").drop("__starts", "title")
+def levelled(blocks: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
+    """Retrievable blocks as `doc_id`, `ordinal`, `element_id`, `text`, `page_number`, `derived` (of a table), `level` and `title` (of headings)."""
+    own = blocks.filter(X.is_retrievable(F.col("text"))).withColumn("derived", F.col("region_id").isNotNull())
+    own = own.withColumn("level", F.when(~F.col("derived"), X.heading_level(F.col("text"), budget.heading_chars)))
+    title = F.when(F.col("level").isNotNull(), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return own.select("doc_id", "ordinal", F.col("element_id").cast("string").alias("element_id"), "text", F.col("page_number").cast("int").alias("page_number"), "derived", "level", title.alias("title"))
+
+
+@dataclass(slots=True)
+class _Block:
+    element_id: str
+    text: str
+    page: int | None
+    derived: bool
+    level: int | None
+    title: str | None
+    tokens: int
+
+
+def _runs(blocks: list[_Block]) -> Iterator[tuple[list[str], list[_Block]]]:
+    """Runs of one kind under one heading, with the titles above them; three neighbours of one level or more are a list, not headings."""
+    at = 0
+    while at < len(blocks):
+        to = at
+        while to < len(blocks) and blocks[to].level == blocks[at].level:
+            to += 1
+        if to - at >= 3:
+            for b in blocks[at:to]:
+                b.level = None
+        at = to
+    stack: list[tuple[int, str]] = []
+    run: list[_Block] = []
+    for b in blocks:
+        if run and (b.level is not None or b.derived != run[-1].derived):
+            yield [t for _, t in stack], run
+            run = []
+        if b.level is not None:
+            stack = [*(x for x in stack if x[0] < b.level), (b.level, b.title)]
+        run.append(b)
+    if run:
+        yield [t for _, t in stack], run
+
+
+def _chunks(blocks: list[_Block], budget: Budget, count: TokenCounter) -> list[tuple]:
+    """The chunks of a document's blocks in order, as tuples of `CHUNK`."""
+    rows: list[tuple] = []
+
+    def add(role, parent, path, text, members, notes):
+        ids = list(dict.fromkeys(m.element_id for m in members))
+        pages = sorted({m.page for m in members if m.page is not None})
+        rows.append((len(rows), role, parent, "table_derived" if members[0].derived else "narrative", path, text, ids, pages, count(text), len(text), sorted(notes)))
+
+    for path, run in _runs(blocks):
+        at = 0
+        while at < len(run):
+            to, used = at, 0
+            while to < len(run) and (to == at or used + run[to].tokens <= budget.parent):
+                used += run[to].tokens
+                to += 1
+            window, at = run[at:to], to
+            children = _children(window, budget, count)
+            whole = "\n".join(b.text for b in window)
+            if len(children) == 1 and children[0].text() == whole:
+                add("child", None, path, whole, window, children[0].notes)
+                continue
+            first = len(rows)
+            add("parent", None, path, whole, window, ())
+            for c in children:
+                add("child", first, path, c.text(), c.blocks, c.notes)
+    return rows
+
+
+def chunked(blocks: DataFrame, budget: Budget = Budget(), count: TokenCounter = estimated_tokens) -> DataFrame:  # noqa: B008
+    """`doc_id` and `chunks`: what `chunk` gives, as an array of each document that has any.
+
+    A task walks through its blocks in order of document and ordinal and holds
+    one document at a time.
+    """
+    schema = T.StructType([blocks.schema["doc_id"], *T._parse_datatype_string(f"chunks array<struct<{CHUNK}>>").fields])
+    names = [c.split(":")[0] for c in CHUNK.split(", ")]
+
+    def work(batches):
+        import pyarrow as pa
+
+        text, number, many = pa.string(), pa.int32(), pa.list_(pa.string())
+        types = (number, text, number, text, many, text, many, pa.list_(number), number, number, many)
+        made: list[tuple] = []
+        chars, held, current = 0, [], None
+        kind = None
+
+        def flushed():
+            rows = [r for _, rs in made for r in rs]
+            edges = [0]
+            for _, rs in made:
+                edges.append(edges[-1] + len(rs))
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], kind), pa.ListArray.from_arrays(pa.array(edges, number), flat)], names=["doc_id", "chunks"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for doc, element, t, *rest in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7))):
+                if held and doc != current:
+                    made.append((current, _chunks(held, budget, count)))
+                    held = []
+                    if len(made) >= 2_000 or chars >= 4_000_000:
+                        yield flushed()
+                        made, chars = [], 0
+                current = doc
+                held.append(_Block(element, t, *rest, count(t)))
+                chars += len(t)
+        if held:
+            made.append((current, _chunks(held, budget, count)))
+        if made:
+            yield flushed()
+
+    own = levelled(blocks, budget).repartition("doc_id").sortWithinPartitions("doc_id", "ordinal", "element_id")
+    return own.mapInArrow(work, schema)
 
 
 def chunk(blocks: DataFrame, budget: Budget = Budget(), count: TokenCounter = estimated_tokens) -> DataFrame:  # noqa: B008
@@ -122,39 +228,27 @@ def chunk(blocks: DataFrame, budget: Budget = Budget(), count: TokenCounter = es
     too; an empty table gives none; blocks of equal ordinal come in order of
     their element id.
     """
-    own = prepared(blocks, budget).select("doc_id", "ordinal", F.col("element_id").cast("string").alias("element_id"), "text", F.col("page_number").cast("int").alias("page_number"), "kind", "heading_path", "run")
-
-    def one(pdf):
-        import pandas as pd
-
-        rows: list[tuple] = []
-        pdf = pdf.sort_values(["ordinal", "element_id"], kind="stable")
-        for _, run in pdf.groupby("run", sort=True):
-            members, at = list(run.itertuples(index=False)), 0
-            while at < len(members):
-                to, used = at, 0
-                while to < len(members) and (to == at or used + count(members[to].text) <= budget.parent):
-                    used += count(members[to].text)
-                    to += 1
-                rows += _window(members[at:to], len(rows))
-                at = to
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    def _window(window: list, first: int) -> list[tuple]:
-        children = _children(window, budget, count)
-        whole = "\n".join(b.text for b in window)
-        head = (window[0].doc_id,)
-
-        def row(ordinal, role, parent, text, members, notes):
-            ids = list(dict.fromkeys(m.element_id for m in members))
-            pages = sorted({int(m.page_number) for m in members if m.page_number == m.page_number and m.page_number is not None})
-            return (*head, ordinal, role, parent, window[0].kind, list(window[0].heading_path), text, ids, pages, count(text), len(text), sorted(notes))
-
-        if len(children) == 1 and children[0].text() == whole:
-            return [row(first, "child", None, whole, window, children[0].notes)]
-        return [row(first, "parent", None, whole, window, ()), *(row(first + 1 + i, "child", first, c.text(), c.blocks, c.notes) for i, c in enumerate(children))]
-
-    return own.groupBy("doc_id").applyInPandas(one, SCHEMA)
+    return chunked(blocks, budget, count).select("doc_id", F.inline("chunks"))
+
+
+def placement(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """`doc_id`, `blocks`, `misplaced`, `uncontained`: of each document with retrievable blocks how many there are, and how many faults `misplaced` and `uncontained` tell of its chunks.
+
+    `documents` is what `chunked` gives: its texts are held against each other
+    where they lie, and only the ids of elements are shuffled.
+    """
+    child = F.filter("chunks", lambda c: c["role"] == "child")
+    ids = lambda cut: F.flatten(F.transform(F.filter(child, lambda c: F.array_contains(c["notes"], SPLIT) == cut), lambda c: c["element_ids"]))
+    lost = lambda c: c["parent"].isNotNull() & ~F.coalesce((F.get("chunks", c["parent"])["role"] == "parent") & F.contains(F.get("chunks", c["parent"])["text"], c["text"]), F.lit(False))
+    told = documents.select("doc_id", F.array_sort(ids(False)).alias("whole"), ids(True).alias("cut"), F.size(F.filter("chunks", lost)).alias("uncontained"))
+    want = blocks.filter(X.is_retrievable(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.collect_set(F.col("element_id").cast("string")).alias("ids"))
+    none = F.array().cast("array<string>")
+    both = want.join(told, "doc_id", "left").withColumns({"whole": F.coalesce("whole", none), "cut": F.coalesce("cut", none)})
+    missing = F.size(F.array_except(F.array_except("ids", "whole"), F.col("cut")))
+    # in several places, and not as slices alone
+    twice = F.filter("whole", lambda x, i: (i > 0) & (x == F.get("whole", i - 1)))
+    repeated = F.size(F.array_intersect(F.array_union(twice, F.array_intersect("whole", "cut")), F.col("ids")))
+    return both.select("doc_id", "blocks", (missing + repeated).cast("long").alias("misplaced"), F.coalesce("uncontained", F.lit(0)).cast("long").alias("uncontained"))
 
 
 def misplaced(blocks: DataFrame, chunks: DataFrame) -> DataFrame:

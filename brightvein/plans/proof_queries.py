@@ -110,10 +110,7 @@ def g17_parsed_answers(t):
 def s5_chunk_placement(t):
     """Of the chunks made of every document: its retrievable blocks, those that no child or several hold, and children that their parent's text lacks."""
     blocks = R.blocks(t.documents).select("doc_id", "ordinal", F.concat_ws(":", "doc_id", "ordinal").alias("element_id"), "text", F.floor(F.col("ordinal") / 20).cast("int").alias("page_number"), F.when(F.col("ordinal") % 7 == 6, F.lit("r")).alias("region_id"))
-    chunks = chunking.chunk(blocks)
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    every = count(blocks.filter(X.is_retrievable(F.col("text"))), "blocks").join(count(chunking.misplaced(blocks, chunks), "misplaced"), "doc_id", "left").join(count(chunking.uncontained(chunks), "uncontained"), "doc_id", "left")
-    return every.fillna(0, ["misplaced", "uncontained"])
+    return chunking.placement(blocks, chunking.chunked(blocks))
 
 
 # A log of generations from `events`: a user is a generation, five versions, the last one of each opened as a shadow.
