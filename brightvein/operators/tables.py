@@ -48,14 +48,23 @@ def row_roles(cells: DataFrame) -> DataFrame:
     Roles follow shape: a label alone opens a section; rows without a label,
     and the first, are headers until the first section or data row.
     """
+    return _judged(cells.groupBy("table_id", "r").agg(*_shape(cells))).select("table_id", "r", "label", "indent", "is_units", "is_section", "is_header", "is_total")
+
+
+def _shape(cells: DataFrame) -> list[Column]:
+    """What the cells of a row tell of it."""
     first = F.col("c") == 0
-    shape = cells.groupBy("table_id", "r").agg(
+    return [
         F.bool_or(X.states_units(F.col("text"))).alias("is_units"),
         F.bool_or(first & (_bare() != "")).alias("labelled"),
         F.bool_or(~first & (_bare() != "")).alias("beyond"),
         F.max(F.when(first, F.col("text"))).alias("raw"),
         F.max(F.when(first, F.col("text_left"))).alias("indent") if "text_left" in cells.columns else F.lit(None).cast("double").alias("indent"),
-    )
+    ]
+
+
+def _judged(shape: DataFrame) -> DataFrame:
+    """Rows with their shape, label and roles."""
     rows = Window.partitionBy("table_id")
     above = rows.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     section = ~F.col("is_units") & F.col("labelled") & ~F.col("beyond")
@@ -66,59 +75,85 @@ def row_roles(cells: DataFrame) -> DataFrame:
     out = out.withColumn("is_header", ~F.col("is_units") & ~F.col("is_section") & F.col("__like") & ~stopped)
     out = out.withColumn("label", X.without_marker(F.coalesce("raw", F.lit(""))))
     total = ~F.col("is_header") & ~F.col("is_units") & X.total_word(F.col("label")).isNotNull()
-    return out.select("table_id", "r", "label", "indent", "is_units", "is_section", "is_header", total.alias("is_total"))
+    return out.withColumn("is_total", total)
+
+
+def _named(value: Column, f) -> Column:
+    """`f` of a value that is worked out once, however often `f` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def header_paths(spanned: DataFrame, roles: DataFrame) -> DataFrame:
-    """`table_id`, `c`, `header_path`: texts of the header rows over a column, outermost first."""
-    heads = spanned.join(roles.filter("is_header").select("table_id", "r"), ["table_id", "r"]).filter(F.col("present") & (_bare() != ""))
-    each = heads.select("table_id", "r", F.col("c").alias("own"), _bare().alias("t"), F.explode(F.sequence("c", F.col("c") + F.col("column_span") - 1)).alias("c"))
-    return each.groupBy("table_id", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "own", "t"))), lambda x: x["t"]).alias("header_path"))
+def _texts(rows: Column, role: str, also=lambda t: F.lit(True)) -> Column:
+    """The cells with a text in a table's rows of a role, from the top and the left: `c`, `t` and the column `end` that they reach to."""
+    cell = lambda x: F.struct(x["c"].alias("c"), F.trim(x["text"]).alias("t"), (x["c"] + x["column_span"]).alias("end"))
+    own = F.flatten(F.transform(F.filter(rows, lambda r: r[role]), lambda r: F.transform(F.filter(r["cells"], lambda x: x["present"]), cell)))
+    return F.filter(own, lambda x: (x["t"] != "") & also(x["t"]))
 
 
-def unit_scopes(spanned: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Declarations of the whole table (in the label column), and of single columns; the last one holds."""
-    told = spanned.join(roles.filter("is_units").select("table_id", "r"), ["table_id", "r"]).filter(F.col("present") & X.states_units(_bare()))
-    whole = told.filter("c = 0").groupBy("table_id").agg(F.max_by(_bare(), "r").alias("table_units"))
-    each = told.filter("c > 0").select("table_id", "r", F.col("c").alias("own"), _bare().alias("t"), F.explode(F.sequence("c", F.col("c") + F.col("column_span") - 1)).alias("c"))
-    return whole, each.groupBy("table_id", "c").agg(F.max_by("t", F.struct("r", "own")).alias("column_units"))
+def _over(texts: Column, c: Column) -> Column:
+    """Of such texts those that reach over a column."""
+    return F.transform(F.filter(texts, lambda x: (x["c"] <= c) & (c < x["end"])), lambda x: x["t"])
 
 
-def label_paths(spanned: DataFrame, roles: DataFrame) -> DataFrame:
-    """`table_id`, `r`, `row_label_path`: section, then labels nested by indent; rows under a spanning label share its path."""
-    rows = roles.filter("NOT is_header AND NOT is_units AND label <> ''").groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("r", "label", "indent", "is_section"))).alias("rows"))
+def _label_paths(rows: Column) -> Column:
+    """For each row of a table its path, of section and labels nested by indent; null for rows without a label, headers and units."""
     stack = "array<struct<i:double,t:string>>"
-    fold = f"""aggregate(rows, named_struct('s', CAST(NULL AS string), 'k', CAST(array() AS {stack}), 'o', CAST(array() AS array<struct<r:int,p:array<string>>>)),
-      (a, x) -> element_at(transform(array(named_struct(
-        's', IF(x.is_section, x.label, a.s),
-        'k', CASE WHEN x.is_section THEN CAST(array() AS {stack}) WHEN x.indent IS NULL THEN array(named_struct('i', 0D, 't', x.label))
-             ELSE concat(filter(a.k, y -> y.i < x.indent - {INDENT}D), array(named_struct('i', x.indent, 't', x.label))) END)),
-        n -> named_struct('s', n.s, 'k', n.k, 'o', concat(a.o, array(named_struct('r', CAST(x.r AS int), 'p', concat(IF(n.s IS NULL, CAST(array() AS array<string>), array(n.s)), transform(n.k, y -> y.t))))))), 1),
-      a -> a.o)"""
-    own = rows.select("table_id", F.explode(F.expr(fold)).alias("x")).select("table_id", F.col("x.r").alias("owner"), F.col("x.p").alias("row_label_path"))
-    label = spanned.filter("c = 0").select("table_id", "r", "present", "row_span")
-    before = Window.partitionBy("table_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    holder = F.last(F.when(F.col("present"), F.struct("r", "row_span")), ignorenulls=True).over(before)
-    placed = label.withColumn("__h", holder).filter(F.col("r") < F.col("__h.r") + F.col("__h.row_span")).select("table_id", "r", F.col("__h.r").alias("owner"))
-    return placed.join(own, ["table_id", "owner"]).select("table_id", "r", "row_label_path")
+    nothing = F.array().cast(stack)
+    start = F.struct(F.lit(None).cast("string").alias("s"), nothing.alias("k"), F.array().cast("array<array<string>>").alias("o"))
+
+    def step(a, x):
+        own = F.struct(x["indent"].alias("i"), x["label"].alias("t"))
+        nested = F.concat(F.filter(a["k"], lambda y: y["i"] < x["indent"] - INDENT), F.array(own))
+        k = F.when(x["is_section"], nothing).when(x["indent"].isNull(), F.array(F.struct(F.lit(0.0).alias("i"), x["label"].alias("t")))).otherwise(nested)
+        state = F.struct(F.when(x["is_section"], x["label"]).otherwise(a["s"]).alias("s"), k.cast(stack).alias("k"))
+        path = lambda n: F.concat(F.when(n["s"].isNull(), F.array().cast("array<string>")).otherwise(F.array(n["s"])), F.transform(n["k"], lambda y: y["t"]))
+        pushed = _named(state, lambda n: F.struct(n["s"].alias("s"), n["k"].alias("k"), F.concat(a["o"], F.array(path(n))).alias("o")))
+        passed = F.struct(a["s"].alias("s"), a["k"].alias("k"), F.concat(a["o"], F.array(F.lit(None).cast("array<string>"))).alias("o"))
+        return F.when(x["is_header"] | x["is_units"] | (x["label"] == ""), passed).otherwise(pushed)
+
+    return F.aggregate(rows, start, step, lambda a: a["o"])
 
 
 def derive(cells: DataFrame) -> DataFrame:
-    """Cells with spans, roles of their rows, header and label paths, footnote marker and the units that govern them."""
+    """Cells with spans, roles of their rows, header and label paths, footnote marker and the units that govern them.
+
+    Everything is partitioned by table, so cells are shuffled once at most. A
+    table's rows meet in one row, which tells what reaches over them: texts of
+    header rows, outermost first; units, of the whole table in the label column
+    or of single columns, of which the last ones hold; and label paths, which
+    rows under a spanning label share.
+    """
     spanned = with_spans(cells)
-    roles = row_roles(spanned)
-    whole, columns = unit_scopes(spanned, roles)
+    cell = F.struct("c", "text", "present", "row_span", "column_span")
+    rows = _judged(spanned.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.max(F.when(F.col("c") == 0, F.struct("present", "row_span"))).alias("head"), *_shape(spanned)))
+    order = Window.partitionBy("table_id").orderBy("r")
+    rows = rows.withColumn("at", F.row_number().over(order) - 1)
+    holder = F.last(F.when(F.col("head.present"), F.struct("r", "head.row_span", "at")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__h", holder).withColumn("owner", F.when(F.col("head").isNotNull() & (F.col("r") < F.col("__h.r") + F.col("__h.row_span")), F.col("__h.at")))
+    whole = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("r", "cells", "label", "indent", "is_units", "is_section", "is_header", "is_total", "owner"))).alias("rows"))
     none = F.array().cast("array<string>")
-    out = spanned.join(roles.select("table_id", "r", "is_units", "is_header", "is_total"), ["table_id", "r"])
-    out = out.join(header_paths(spanned, roles), ["table_id", "c"], "left").join(label_paths(spanned, roles), ["table_id", "r"], "left")
-    out = out.join(whole, "table_id", "left").join(columns, ["table_id", "c"], "left")
-    return out.select(
-        *KEYS, "text", "present", "row_span", "column_span", "is_header", "is_total",
-        F.when(F.col("is_header"), none).otherwise(F.coalesce("header_path", none)).alias("header_path"),
-        F.when(F.col("is_header") | (F.col("c") == 0), none).otherwise(F.coalesce("row_label_path", none)).alias("row_label_path"),
-        X.footnote_marker(F.col("text")).alias("footnote"),
-        F.when(~F.col("is_header") & ~F.col("is_units"), F.coalesce("column_units", "table_units")).alias("units"),
-    )
+
+    def out(rows):
+        columns = F.sequence(F.lit(0), F.array_max(F.flatten(F.transform(rows, lambda r: F.transform(r["cells"], lambda x: x["c"])))))
+        texts = F.struct(_texts(rows, "is_header").alias("heads"), _texts(rows, "is_units", X.states_units).alias("units"))
+        over = lambda t: F.struct(
+            F.transform(columns, lambda c: _over(t["heads"], c)).alias("heads"),
+            F.transform(columns, lambda c: F.when(c > 0, F.try_element_at(_over(F.filter(t["units"], lambda x: x["c"] > 0), c), F.lit(-1)))).alias("units"),
+            F.try_element_at(F.filter(t["units"], lambda x: x["c"] == 0), F.lit(-1))["t"].alias("all"),
+        )
+        told = F.struct(_named(texts, over).alias("over"), _label_paths(rows).alias("paths"))
+        return _named(told, lambda m: F.flatten(F.transform(rows, lambda r: F.transform(r["cells"], lambda x: full(r, x, m["over"], m["paths"])))))
+
+    def full(r, x, over, paths):
+        return F.struct(
+            r["r"].alias("r"), *(x[n].alias(n) for n in ("c", "text", "present", "row_span", "column_span")), r["is_header"].alias("is_header"), r["is_total"].alias("is_total"),
+            F.when(r["is_header"], none).otherwise(F.get(over["heads"], x["c"].cast("int"))).alias("header_path"),
+            F.when(r["is_header"] | (x["c"] == 0), none).otherwise(F.coalesce(F.get(paths, r["owner"].cast("int")), none)).alias("row_label_path"),
+            F.when(~r["is_header"] & ~r["is_units"], F.coalesce(F.get(over["units"], x["c"].cast("int")), over["all"])).alias("units"),
+        )
+
+    made = whole.select("table_id", F.inline(_named(F.col("rows"), out)))
+    return made.select(*KEYS, "text", "present", "row_span", "column_span", "is_header", "is_total", "header_path", "row_label_path", X.footnote_marker(F.col("text")).alias("footnote"), "units")
 
 
 def assess(derived: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ CASE l_partkey % 5 WHEN 0 THEN 'Total' WHEN 1 THEN '' WHEN 2 THEN '(Rs in crore)
 
 def _cells(t):
     """Order lines as grids of three columns, with labels, totals, unit rows and gaps."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # by the name that what follows is partitioned by: under another Spark would shuffle the cells again
+    w = Window.partitionBy("table_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     texts = F.expr("array(CASE l_partkey % 5 WHEN 0 THEN 'Total' WHEN 1 THEN '' WHEN 2 THEN '(Rs in crore)' ELSE l_returnflag END, IF(l_suppkey % 3 = 0, '', l_linestatus), IF(l_partkey % 7 = 0, '', CAST(l_linenumber AS string)))")
-    rows = t.lineitem.select(F.col("l_orderkey").alias("table_id"), (F.row_number().over(w) - 1).alias("r"), texts.alias("ts"))
+    rows = t.lineitem.withColumnRenamed("l_orderkey", "table_id").select("table_id", (F.row_number().over(w) - 1).alias("r"), texts.alias("ts"))
     return rows.select("table_id", "r", F.posexplode("ts").alias("c", "text")).withColumn("present", F.col("text") != "")
 
 
