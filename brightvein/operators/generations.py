@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lifecycle import latest
 
@@ -129,25 +130,34 @@ class Pruned:
 
 
 def prune(spark: SparkSession, events: DataFrame, index: str, include_failed: bool = False, confirm: bool = False) -> Pruned:
-    """What pruning would remove from the index under `index` (Parquet by `generation_id`); with `confirm`, removes it.
+    """What pruning would remove from the index under `index` (Parquet with `generation_id`, as a column or as folders); with `confirm`, removes it.
 
-    The number of active points must be the same before and after, and no
-    generation may be both active and prunable.
+    The number of active points must be the same before and after. Folders suit
+    few generations; with many, keep the id as a column.
     """
     from ..sources import sinks
 
     ids = [r["generation_id"] for r in prunable(events, include_failed).collect()]
-    active = [r["generation_id"] for r in active_ids(events).collect()]
-    if set(ids) & set(active):
-        raise Refused("generations are both active and prunable")
-    count = lambda which: spark.read.parquet(index).filter(F.col("generation_id").isin(which)).count() if which else 0
-    report = Pruned(ids, spark.read.parquet(index).count(), count(ids), count(active))
+    states = current(events).select("generation_id", "state")
+    gone = (SUPERSEDED, FAILED) if include_failed else (SUPERSEDED,)
+
+    def points() -> dict:
+        """Points by the state of their generation, in one pass over the index."""
+        found = spark.read.parquet(index).schema
+        # folders that look like numbers are read as such: the ids are texts
+        read = spark.read.schema(T.StructType([T.StructField("generation_id", T.StringType()) if f.name == "generation_id" else f for f in found]))
+        each = read.parquet(index).groupBy("generation_id").agg(F.count("*").alias("n"))
+        return {r["state"]: r["n"] for r in each.join(states, "generation_id", "left").groupBy("state").agg(F.sum("n").alias("n")).collect()}
+
+    before = points()
+    report = Pruned(ids, sum(before.values()), sum(before.get(s, 0) for s in gone), before.get(ACTIVE, 0))
     if not confirm or not ids:
         return report
-    report.removed = sinks.delete_generations(spark, index, ids)
-    if count(active) != report.active_before:
+    report.removed = sinks.delete_generations(spark, index, states.filter(F.col("state").isin(*gone)))
+    after = points() if report.removed < report.points_before else {}
+    if after.get(ACTIVE, 0) != report.active_before:
         raise Refused("active points changed while pruning: rebuild the index")
-    report.points_after, report.applied = spark.read.parquet(index).count(), True
+    report.points_after, report.applied = sum(after.values()), True
     return report
 
 

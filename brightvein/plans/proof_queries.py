@@ -137,13 +137,9 @@ def j2_activated(t):
 def j8_pruned(t):
     """An index of `events` from which superseded generations are pruned, counted before and after."""
     at = fresh_path(t.spark, "points")
-    t.events.select(F.col("user_id").cast("string").alias("generation_id"), "event_id").repartition("generation_id").write.partitionBy("generation_id").parquet(at)
-    # partitions that look like numbers are read as such: the ids are texts
-    t.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    try:
-        told = generations.prune(t.spark, _log(t), at, confirm=True)
-    finally:
-        t.spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
+    # a folder a generation would be one a user: the ids stay a column that files are sorted by
+    t.events.select(F.col("user_id").cast("string").alias("generation_id"), "event_id").repartition("generation_id").sortWithinPartitions("generation_id").write.parquet(at)
+    told = generations.prune(t.spark, _log(t), at, confirm=True)
     row = (told.points_before, told.points_prunable, told.removed, told.points_after, told.active_before, len(told.prunable))
     return t.spark.createDataFrame([row], "points_before long, points_prunable long, removed long, points_after long, active_before long, generations long")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lifecycle import insert_missing
+from ..operators.retrieval import sized_broadcast
 
 
 def flattened(pages: DataFrame, children: str = "children") -> DataFrame:
@@ -142,18 +143,29 @@ def upsert_points(points: DataFrame, path: str) -> int:
     return points.sparkSession.read.parquet(path).count() - before
 
 
-def delete_generations(spark: SparkSession, path: str, ids: list[str]) -> int:
-    """Drop the partitions of these generations; the points that went, by counts before and after."""
+def delete_generations(spark: SparkSession, path: str, gone: DataFrame) -> int:
+    """Drop the points of these generations (`generation_id`); how many went, by counts before and after.
+
+    Generations that have folders of their own lose these; an index without
+    such folders is written anew, beside its place, without their points.
+    """
     before = spark.read.parquet(path).count()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for g in ids:
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/generation_id={escape(g)}")
-        at.getFileSystem(conf).delete(at, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(conf)
+    folders = lambda: any(s.getPath().getName().startswith("generation_id=") for s in files.listStatus(at))
+    if folders():
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for r in gone.toLocalIterator():
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/generation_id={escape(r['generation_id'])}"), True)
+        spark.catalog.refreshByPath(path)
+        return before - (spark.read.parquet(path).count() if folders() else 0)
+    left = jvm.org.apache.hadoop.fs.Path(f"{path}-left")
+    spark.read.parquet(path).join(sized_broadcast(gone.select("generation_id"), 1_000_000), "generation_id", "left_anti").write.mode("overwrite").parquet(f"{path}-left")
+    if not (files.delete(at, True) and files.rename(left, at)):
+        raise OSError(f"{path}-left could not take the place of {path}")
     spark.catalog.refreshByPath(path)
-    left = jvm.org.apache.hadoop.fs.Path(path)
-    some = any(s.getPath().getName().startswith("generation_id=") for s in left.getFileSystem(conf).listStatus(left))
-    return before - (spark.read.parquet(path).count() if some else 0)
+    return before - spark.read.parquet(path).count()
 
 
 def record_answers(decisions: DataFrame, claims: DataFrame, path: str, key: str = "answer_id", claim: str = "claim_index") -> None:
