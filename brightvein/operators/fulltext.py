@@ -2,7 +2,7 @@
 
 A query is words that must all be there, "phrases" in quotes, -words that must
 not, and OR between alternatives. It is answered from postings with positions
-(`retrieval.postings`, kept by `retrieval.write_index`): a phrase is the
+(`retrieval.postings`, or kept by `write_positions`): a phrase is the
 intersection of its terms' position lists, an alternative that of its phrases'
 chunks. Scores are cover densities: every shortest stretch of a text that holds
 all wanted terms adds more the less else it holds.
@@ -13,11 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import analysis
 from . import retrieval as R
+from . import segments
 
 _PART = regex.compile(r'(-?)"([^"]*)"|(\S+)')
 _TERM = regex.compile(analysis.TERM)
@@ -117,11 +119,33 @@ def density(slots: Column, need: Column) -> Column:
     return F.aggregate(events, start, step)["total"]
 
 
+def _words(text: Column, config: str) -> Column:
+    """A text's terms where they stand; stop words leave their places empty."""
+    words = analysis.words(analysis.for_analysis(text))
+    return words if config == "simple" else F.transform(words, lambda w: F.when(analysis.is_term(w, config), analysis.stem(w)))
+
+
+def write_positions(chunks: DataFrame, path: str, keys: list[str], text_col: str = "text", config: str = "simple") -> None:
+    """The places of every term of `chunks` as Parquet under `path`: rows of `term` and `entries` (`keys` and `at`), in sorted runs.
+
+    A run is made where its chunks lie, so nothing is shuffled.
+    """
+    entry = T.StructType([*(chunks.schema[c] for c in keys), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    shape = T.StructType([T.StructField("term", T.StringType()), T.StructField("entries", T.ArrayType(entry))])
+    own = chunks.select(*keys, _words(F.col(text_col), config).alias("ws"))
+    segments.written(own.mapInArrow(segments.placed(keys), shape), path)
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_positions` wrote: `term`, `keys`, `at`."""
+    return spark.read.parquet(path).select("term", F.inline("entries"))
+
+
 def search_positions(post: DataFrame, queries: list[tuple[int, str]], keys: list[str], k: int | None = None, config: str = "simple") -> DataFrame:
     """`query_id`, `keys`, `score`, `rank` of the chunks that match; ties by key. `post` has `keys`, `term` and `at`, the term's places; `queries` is a stated list of (query_id, text)."""
     plan = planned(post.sparkSession, queries, config).persist()
     terms = [r["term"] for r in plan.select("term").distinct().limit(10_001).collect()]
-    own = post.filter(F.col("term").isin(terms)) if len(terms) <= 10_000 else post
+    own = post.filter(segments.holds(terms)) if len(terms) <= 10_000 else post
     by = ["query_id", "clause", *keys]
     hits = own.select(*keys, "term", "at").join(R.sized_broadcast(plan, 100_000), "term").withColumn("p", F.transform("at", lambda x: x - F.col("off")))
     phrases = hits.groupBy(*by, "need", "slot", "wanted", "span", "n").agg(F.collect_list("p").alias("ps")).filter(F.size("ps") == F.col("n"))
@@ -141,9 +165,7 @@ def full_text(chunks: DataFrame, queries: list[tuple[int, str]], key: str | list
     keys, spark = [key] if isinstance(key, str) else key, chunks.sparkSession
     plan = planned(spark, queries, config).persist()
     terms = R.sized_broadcast(plan.select("term").distinct(), 100_000)
-    words = analysis.words(analysis.for_analysis(F.col(text_col)))
-    # stop words leave their places empty
-    own = chunks.select(*keys, words.alias("ws") if config == "simple" else F.transform(words, lambda w: F.when(analysis.is_term(w, config), analysis.stem(w))).alias("ws"))
+    own = chunks.select(*keys, _words(F.col(text_col), config).alias("ws"))
     df = own.select(F.explode(F.array_distinct("ws")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df"))
     phrase = F.struct("slot", "wanted", "span", "parts")
     by = ["query_id", "clause", "need"]

@@ -123,9 +123,9 @@ SELECT query_id, doc_id, ordinal FROM w, q WHERE len(q) > 6 AND (({_HAS.format("
 def g9_positional_index(t):
     """The first eight of these queries from an index that is kept with its positions."""
     path = fresh_path(t.spark, "positions")
-    R.write_index(R.blocks(t.documents), path, ["doc_id", "ordinal"], positions=True)
+    fulltext.write_positions(R.blocks(t.documents), path, ["doc_id", "ordinal"])
     asked = [q for q in _boolean_queries(t) if q[0] < 8]
-    return fulltext.search_positions(t.spark.read.parquet(path), asked, ["doc_id", "ordinal"]).select("query_id", "doc_id", "ordinal")
+    return fulltext.search_positions(fulltext.read_positions(t.spark, path), asked, ["doc_id", "ordinal"]).select("query_id", "doc_id", "ordinal")
 
 
 _DENSE = "n AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings), d AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_dot_product(a.v, b.v), 9) AS score FROM n a, n b WHERE a.vec_id % 100 = 0)"
