@@ -20,8 +20,12 @@ GROUP = 8 << 20
 ONE_BY_ONE = 256
 
 
-def stretches(batches, width: int) -> Iterator[tuple]:
-    """Columns before the last, and of the last (lists of terms, null for an empty place) the lists' owners, places and terms: of `STRETCH` occurrences or so at a time."""
+def stretches(batches, width: int, groups: Callable | None = None) -> Iterator[tuple]:
+    """Columns before the last, and of the last (lists of terms, null for an empty place) the lists' owners, places and terms: of `STRETCH` occurrences or so at a time.
+
+    With `groups`, which numbers the rows of a table, neighbours of one number
+    come together.
+    """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -39,8 +43,15 @@ def stretches(batches, width: int) -> Iterator[tuple]:
         held.append(b)
         n += len(b.column(width).flatten())
         if n >= STRETCH:
-            yield made(held)
-            held, n = [], 0
+            whole = pa.Table.from_batches(held)
+            cut = whole.num_rows
+            if groups:
+                number = groups(whole)
+                cut = int(np.searchsorted(number, number[-1]))
+            if cut:
+                yield made(whole.slice(0, cut).to_batches())
+            held = whole.slice(cut).to_batches()
+            n = sum(len(x.column(width).flatten()) for x in held)
     if held:
         yield made(held)
 
